@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import ann, topk
+from crawlsift.llm import ann, mixing, topk
 
 QUERIES = {
     "op2_exact_topk": topk.op2_exact_topk,
     "op6_approximate_neighbours": ann.op6_approximate_neighbours,
+    "op7_entropy_mixing": mixing.op7_entropy_mixing,
 }
 ORACLES = {"op2_exact_topk": topk.OP2_SQL, "op6_approximate_neighbours": ann.OP6_SQL}
