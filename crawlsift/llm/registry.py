@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import ann, mixing, topk
+from crawlsift.llm import ann, mixing, topk, warc
 
 QUERIES = {
     "op2_exact_topk": topk.op2_exact_topk,
+    "op4_warc": warc.op4_warc,
     "op6_approximate_neighbours": ann.op6_approximate_neighbours,
     "op7_entropy_mixing": mixing.op7_entropy_mixing,
 }
-ORACLES = {"op2_exact_topk": topk.OP2_SQL, "op6_approximate_neighbours": ann.OP6_SQL}
+ORACLES = {"op2_exact_topk": topk.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_approximate_neighbours": ann.OP6_SQL}
