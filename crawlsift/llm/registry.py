@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import ann, mixing, topk, warc
+from crawlsift.llm import ann, bpe, mixing, topk, warc
 
 QUERIES = {
     "op2_exact_topk": topk.op2_exact_topk,
     "op4_warc": warc.op4_warc,
+    "op5_bpe": bpe.op5_bpe,
     "op6_approximate_neighbours": ann.op6_approximate_neighbours,
     "op7_entropy_mixing": mixing.op7_entropy_mixing,
 }
