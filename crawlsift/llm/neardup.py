@@ -2,47 +2,235 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.llm.components import components
+from crawlsift.llm.marks import among, marked
 from crawlsift.llm.storage import saved
 from crawlsift.llm.words import mix, shingles, steps, words
 
 SIGNED = "doc_id long, k1 long, k2 long, n long, signature binary"
+SETS = "doc_id long, k1 long, k2 long, shingles binary"
+LINKS = "doc_id long, links long, root long"
 
 
 @dataclass(frozen=True)
 class Forest:
-    """trees sorted prefix tries over depth MinHash values each."""
+    """trees sorted prefix tries, each over depth MinHash values."""
 
     words: int = 5
     threshold: float = 0.8
-    trees: int = 16
-    depth: int = 8
+    trees: int = 20
+    depth: int = 6
     recall: float = 0.999
-    chunk: int = 512
+    chunk: int = 256
 
-    def found(self, similarity, depth: int):
+    def found(self, similarity: float, depth: int) -> float:
         """Chance that a pair of this similarity shares a prefix of `depth` values in some tree."""
         return 1 - (1 - similarity**depth) ** self.trees
 
-    @property
-    def shortest(self) -> int:
-        """The longest prefix at which even pairs at the threshold are found as often as the recall asks."""
-        return next(d for d in range(self.depth, -1, -1) if self.found(self.threshold, d) >= self.recall or d == 1)
 
-
-def distinct_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, shingle hash) without repeats, ordered by text and hash."""
+def distinct_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle hashes without repeats within a text, first of each text that has any, those texts' numbers)."""
     row, value = shingles(words(data, offsets), size)
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return row[keep], value[keep]
+    row, value = row[keep], value[keep]
+    texts, first = np.unique(row, return_index=True)
+    return value, first, texts
+
+
+def set_keys(value: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """128 bits that tell sets apart, as two longs."""
+    if not len(first):
+        return [np.zeros(0, np.int64)] * 2
+    return [np.add.reduceat(mix(value, seed), first).view(np.int64) for seed in (1, 2)]
+
+
+def _sign(f: Forest) -> Callable:
+    rng = np.random.default_rng(20)
+    factor = rng.integers(1, 1 << 63, f.trees * f.depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in steps(batch.column(1)):
+                value, first, texts = distinct_shingles(data, offsets, f.words)
+                n, keys, signature = np.zeros(b - a, np.int64), np.zeros((2, b - a), np.int64), np.zeros((b - a, len(factor)), ">u4")  # big-endian: bytes sort as the values do
+                if len(value):
+                    n[texts] = np.diff(np.append(first, len(value)))
+                    keys[:, texts] = set_keys(value, first)
+                    for k, x in enumerate(factor):
+                        signature[texts, k] = np.minimum.reduceat((value * x) >> np.uint64(32), first)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), pa.array(keys[0]), pa.array(keys[1]), pa.array(n), pa.array([s.tobytes() for s in signature], pa.binary())], ["doc_id", "k1", "k2", "n", "signature"])
+
+    return sign
+
+
+def _sets(f: Forest, bits: Broadcast) -> Callable:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(among(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in steps(batch.column(1)):
+                value, first, texts = distinct_shingles(data, offsets, f.words)
+                k1, k2 = set_keys(value, first)
+                end = np.append(first[1:], len(value))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][texts]), pa.array(k1), pa.array(k2), pa.array([value[i:j].tobytes() for i, j in zip(first, end, strict=True)], pa.binary())], ["doc_id", "k1", "k2", "shingles"])
+
+    return sets
+
+
+def similar_pairs(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Boolean matrix: which of these sets have a Jaccard similarity of the threshold or more.
+
+    Set sizes of intersections come from a matrix product over the shingles that two or more sets share, those
+    with equal occurrences taken together as one weighted column.
+    """
+    m, sizes = len(sets), np.array([len(s) for s in sets], np.float64)
+    of = np.repeat(np.arange(m), sizes.astype(np.int64))
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = seen[column] > 1
+    of, column = of[keep], column[keep]
+    pattern = np.zeros(len(seen), np.uint64)
+    np.add.at(pattern, column, mix(of.astype(np.uint64) + np.uint64(1), 9))
+    live = np.flatnonzero(seen > 1)
+    _, kept, kind, weight = np.unique(pattern[live], return_index=True, return_inverse=True, return_counts=True)
+    place = np.full(len(seen), -1)
+    place[live[kept]] = np.arange(len(kept))
+    chosen = place[column] >= 0
+    of, column = of[chosen], place[column[chosen]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    inter = np.zeros((m, m))
+    for at in range(0, len(kept), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        block = np.zeros((m, min(4096, len(kept) - at)), np.float32)
+        block[of[a:b], column[a:b] - at] = 1
+        inter += (block * weight[at : at + 4096].astype(np.float32)) @ block.T
+    return inter * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+
+
+def _verify(f: Forest) -> Callable:
+    def verify(key: tuple, rows: pa.Table) -> pa.Table:
+        _, i, j = (x.as_py() for x in key)
+        ids, chunk, copies = (rows.column(c).to_numpy() for c in ("doc_id", "part", "copies"))
+        near = similar_pairs([np.frombuffer(s, np.uint64) for s in rows.column("shingles").to_pylist()], f.threshold)
+        np.fill_diagonal(near, False)
+        if i != j:  # pairs inside either part are another task's
+            near &= chunk[:, None] != chunk[None, :]
+        links = near @ copies
+        root = ids.copy()
+        while True:  # least id reachable inside this task: few rounds, as near copies are mostly near each other
+            least = np.minimum(root, np.where(near, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if (least == root).all():
+                break
+            root = least
+        some = links > 0
+        return pa.table({"doc_id": ids[some], "links": links[some], "root": root[some]})
+
+    return verify
+
+
+def _runs(reps: DataFrame, f: Forest, depth: int) -> DataFrame:
+    """(a, b) of documents that share a prefix of `depth` values in a tree, each with the least such document.
+
+    Sorted signatures are a tree's trie; those under one prefix are a run. Runs are counted before they are joined,
+    and give one edge a member, never all pairs.
+    """
+    width = 4 * f.depth
+    prefix = F.expr(f"substring(signature, tree * {width} + 1, {4 * depth})")
+    keyed = reps.select("doc_id", "signature", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree")).select("doc_id", F.xxhash64("tree", prefix).alias("run"))
+    heads = saved(keyed.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1").drop("n"), "near-heads")
+    return saved(keyed.join(heads, "run").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "near-edges")
+
+
+def _recall(edges: DataFrame, reps: DataFrame, f: Forest, depth: int) -> float:
+    """Share of near pairs that prefixes of this length find, each pair found standing for 1 / its chance of it."""
+    values = lambda c: F.transform(F.sequence(F.lit(0), F.lit(f.trees * f.depth - 1)), lambda k: F.substring(c, k * 4 + 1, 4))
+    of = lambda c: reps.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}"))
+    both = edges.join(of("a"), "a").join(of("b"), "b")
+    alike = F.aggregate(F.zip_with(values(F.col("sa")), values(F.col("sb")), lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / (f.trees * f.depth)
+    near = both.select(alike.alias("s")).where(F.col("s") >= f.threshold)
+    found = 1 - F.pow(1 - F.pow(F.col("s"), depth), F.lit(f.trees))
+    row = near.agg(F.count("*"), F.sum(1 / found)).first()
+    return row[0] / row[1] if row[0] else 1.0
+
+
+def near_duplicates(documents: DataFrame, f: Forest = Forest()) -> DataFrame:
+    """doc_id, class_id, n_links of each document: one row a row of documents that has a doc_id.
+
+    Two documents are linked if the sets of their shingles of f.words words (lower case; all words if they are
+    fewer) have a Jaccard similarity of f.threshold or more. A class is a connected component of links and has its
+    least doc_id as class_id; n_links counts a document's links, copies included. A text without words, empty or
+    null has no links and is its own class. Texts that share a doc_id share a class.
+
+    Equal sets are one candidate, whatever their number. The forest's matches, shortened until the recall asked for
+    is reached, only bound the groups; within a group all pairs are compared exactly, part by part, and a task
+    gives counts and roots but no pairs.
+    """
+    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    signed = saved(docs.mapInArrow(_sign(f), SIGNED), "near-signed")
+    reps = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    reps = saved(reps, "near-reps")
+    for depth in range(f.depth, 0, -1):
+        edges = _runs(reps, f, depth)
+        if _recall(edges, reps, f, depth) >= f.recall:
+            break
+    groups = saved(components(edges), "near-groups")
+    parts = saved(groups.groupBy("root").agg(F.ceil(F.count("*") / f.chunk).cast("int").alias("parts")), "near-parts")
+    placed = groups.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    members = placed.join(reps.select(F.col("doc_id").alias("id"), "copies", "k1", "k2"), "id")
+    sets = docs.mapInArrow(_sets(f, marked(groups.select("id"))), SETS)
+    sets = sets.groupBy("doc_id", "k1", "k2").agg(F.first("shingles").alias("shingles"))
+    whole = members.withColumnRenamed("id", "doc_id").join(sets, ["doc_id", "k1", "k2"])
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    paired = whole.withColumn("other", other).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "part", "copies", "shingles")
+    links = saved(paired.groupBy("root", "i", "j").applyInArrow(_verify(f), LINKS), "near-links")
+    classes = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
+    totals = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
+    judged = reps.select("k1", "k2", "doc_id", "copies").join(totals, "doc_id", "left").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    judged = judged.select("k1", "k2", F.coalesce("root", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = signed.select("doc_id", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(saved(judged, "near-judged"), ["k1", "k2"], "left")
+    return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without the documents that are in a class but do not have its id. Rows without a doc_id stay."""
+    found = near_duplicates(docs)
+    return docs.join(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(lower(text), '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g
+  FROM w WHERE len(w) > 0
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (
+  SELECT x.a, x.b FROM (
+    SELECT s.doc_id AS a, t.doc_id AS b, count(*) AS c FROM s JOIN s t USING (g) WHERE s.doc_id <> t.doc_id GROUP BY ALL
+  ) x JOIN n na ON na.doc_id = x.a JOIN n nb ON nb.doc_id = x.b
+  WHERE x.c * 1.8 >= 0.8 * (na.n + nb.n) - 1e-6
+), reach AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a
+), k AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+c AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, least(d.doc_id, coalesce(k.m, d.doc_id)) AS class_id, coalesce(c.n_links, 0) AS n_links
+FROM documents d LEFT JOIN k ON k.a = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""
