@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import ann, bpe, mixing, neardup, topk, warc
+from crawlsift.llm import ann, bpe, langid, mixing, neardup, quality, topk, toxicity, warc
 
 QUERIES = {
     "op2_exact_topk": topk.op2_exact_topk,
+    "op3_quality": quality.op3_quality,
     "op4_warc": warc.op4_warc,
     "op5_bpe": bpe.op5_bpe,
     "op6_approximate_neighbours": ann.op6_approximate_neighbours,
-    "op9_ngram_join": neardup.op9_ngram_join,
     "op7_entropy_mixing": mixing.op7_entropy_mixing,
+    "op8_language": langid.op8_language,
+    "op9_ngram_join": neardup.op9_ngram_join,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
+ORACLES = {
+    "op2_exact_topk": topk.OP2_SQL,
+    "op4_warc": warc.OP4_SQL,
+    "op6_approximate_neighbours": ann.OP6_SQL,
+    "op9_ngram_join": neardup.OP9_SQL,
 }
-ORACLES = {"op9_ngram_join": neardup.OP9_SQL, "op2_exact_topk": topk.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_approximate_neighbours": ann.OP6_SQL}

@@ -17,6 +17,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -38,6 +40,24 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+class Rolling:
+    """64-bit hashes of any stretches of bytes, from one running sum."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        up, self.down = _power_tables(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.down[start], seed)
+
+
+def ascii_lower(data: np.ndarray) -> np.ndarray:
+    """Bytes with ASCII capitals as small letters; offsets stay what they were."""
+    return _LOWER[data]
+
+
 def steps(texts: pa.Array, limit: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of consecutive texts: (first row, end row, bytes, offsets into them). A null is an empty text.
 
@@ -83,10 +103,7 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     row = np.searchsorted(offsets, start, "right") - 1
     if not hashed:
         return Words(start, end, row, np.zeros(0, np.uint64))
-    up, down = _power_tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return Words(start, end, row, mix((total[end] - total[start]) * down[start]))
+    return Words(start, end, row, Rolling(data).of(start, end))
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
