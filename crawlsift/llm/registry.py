@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import ann, bpe, langid, mixing, neardup, quality, topk, toxicity, warc
+from crawlsift.llm import ann, bpe, langid, lines, mixing, neardup, quality, topk, toxicity, warc
 
 QUERIES = {
+    "op1_line_dedup": lines.op1_line_dedup,
     "op2_exact_topk": topk.op2_exact_topk,
     "op3_quality": quality.op3_quality,
     "op4_warc": warc.op4_warc,
