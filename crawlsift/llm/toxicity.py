@@ -159,12 +159,14 @@ def unlike(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def summary(p: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
-    """Of each text: a one, log of the expected toxic words, log-odds of the most toxic word, log of the words."""
-    total, count = np.bincount(row, p, texts), np.bincount(row, minlength=texts)
-    most = np.zeros(texts)
+    """Of each text: a one, log of the expected toxic words, log-odds of the most toxic word.
+
+    Words of little chance do not add up, so a text does not become toxic by its length.
+    """
+    total, most = np.bincount(row, np.where(p >= 0.2, p, 0.0), texts), np.zeros(texts)
     np.maximum.at(most, row, p)
-    most = np.clip(most, 1e-6, 1 - 1e-6)
-    return np.stack([np.ones(texts), np.log(total + 1e-2), np.log(most / (1 - most)), np.log1p(count)], axis=1)
+    most = np.clip(most, 1e-3, 1 - 1e-3)
+    return np.stack([np.ones(texts), np.log(total + 0.05), np.log(most / (1 - most))], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -200,7 +202,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     rows = sample(documents, known, sorted(counts))
     if len({y for _, y in rows}) < 2:
         prior = np.clip(np.mean([y for _, y in rows] or [0.0]), 1e-3, 1 - 1e-3)
-        return Model(CRF(np.zeros(1 << BITS), np.zeros((2, 2)), -2.0), np.array([np.log(prior / (1 - prior)), 0, 0, 0]))
+        return Model(CRF(np.zeros(1 << BITS), np.zeros((2, 2)), -2.0), np.array([np.log(prior / (1 - prior)), 0, 0]))
     text = [t.encode() for t, _ in rows]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])])
     data = ascii_lower(np.frombuffer(b"".join(text), np.uint8))
