@@ -35,9 +35,12 @@ def file_parts(name: Column) -> list[Column]:
 
 def read_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(captures with file_parts, rejects): files that are not JSON go to the rejects, nothing fails later."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path).withColumn("file", F.input_file_name())
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    rows = texts.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("j"), F.input_file_name().alias("file"), "value")
     named = rows.select("*", *file_parts(F.col("file")))
-    return named.where("_corrupt_record IS NULL").drop("_corrupt_record"), named.where("_corrupt_record IS NOT NULL").select("file", "_corrupt_record")
+    bad = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull()
+    good = named.where(~bad).select("j.*", *(c for c in named.columns if c not in ("j", "value"))).drop("_corrupt_record")
+    return good, named.where(bad).select("file", F.col("value").alias("_corrupt_record"))
 
 
 def inventory(captures: DataFrame) -> DataFrame:
