@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from crawlsift.llm.marks import among, marked
 from crawlsift.llm.storage import saved
-from crawlsift.llm.words import ascii_lower, mix, steps, words
+from crawlsift.llm.words import mix, steps, words
 
 #: Token counts are kept by hash in this many places, so that the table of rarity has one size for any corpus.
 #: Tokens that share a place count as less rare than they are, which costs candidates but no match.
-COUNT_BITS, COUNT_BLOCK = 22, 1 << 13
+COUNT_BITS, COUNT_BLOCK = 24, 1 << 14
 #: Tokens counted more often than this are frequent: their lines are first held against each token's first line.
-FREQUENT = 64
-LINES = "doc_id long, version long, line int, n int, k1 long, k2 long, parity long, rare int, prefix array<int>"
+FREQUENT = 1024
+LINES = "doc_id long, version long, line int, n int, k1 long, k2 long, parity long, parity2 long, single int, rare int, prefix array<int>"
 SETS = "doc_id long, version long, line int, k1 long, k2 long, tokens array<long>"
 
 
@@ -38,6 +38,11 @@ class Rule:
         """Tokens that sets of these sizes must share."""
         return F.ceil((a + b) * F.lit(self.threshold / (1 + self.threshold)) - 1e-9)
 
+    def similar(self, a: Column, b: Column) -> Column:
+        """The Jaccard similarity of two arrays of distinct tokens is the threshold or more."""
+        shared = F.size(F.array_intersect(a, b))
+        return shared * F.lit(1 + self.threshold) >= (F.size(a) + F.size(b)) * F.lit(self.threshold) - 1e-9
+
     def index_length(self, n: Column) -> Column:
         """Prefix of a set that is matched by sets of its size or larger ones only."""
         return n - F.ceil(n * F.lit(2 * self.threshold / (1 + self.threshold)) - 1e-9) + 1
@@ -52,10 +57,13 @@ def _place(h: np.ndarray) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << COUNT_BITS, np.int32)
+    counts = np.zeros(1 << COUNT_BITS, np.uint16)
     for batch in batches:
         for _, _, data, offsets in steps(batch.column(0)):
-            np.add.at(counts, _place(words(ascii_lower(data), offsets).hash), 1)
+            places = np.sort(_place(words(data, offsets).hash).astype(np.uint32))
+            first = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else places
+            at = places[first]
+            counts[at] = np.minimum(counts[at] + np.diff(np.append(first, len(places))), 65535)
     yield _blocks({i: b for i, b in enumerate(counts.reshape(-1, COUNT_BLOCK)) if b.any()})
 
 
@@ -63,7 +71,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(data, np.int32).astype(np.int64)
+            part = np.frombuffer(data, np.uint16).astype(np.int64)
             found[block] = part + found[block] if block in found else part
     yield _blocks({i: rarity_class(b) for i, b in found.items()})
 
@@ -99,14 +107,13 @@ class Lines:
         return [np.add.reduceat(mix(self.token, seed), self.first).view(np.int64) for seed in (1, 2)]
 
 
-def token_sets(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, min_words: int) -> Iterator[Lines]:
-    """The lines of min_words words or more."""
-    low = ascii_lower(data)
-    w = words(low, offsets)
+def token_sets(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None, min_words: int) -> Iterator[Lines]:
+    """The lines of min_words words or more. Without classes all tokens count as equally rare."""
+    w = words(data, offsets)
     if not len(w.start):
         return
-    newlines = np.concatenate([[0], np.cumsum(low == 10)])
-    number = newlines[w.start] - newlines[offsets[w.row]]
+    newlines = np.flatnonzero(data == 10)
+    number = np.searchsorted(newlines, w.start) - np.searchsorted(newlines, offsets[:-1])[w.row]
     new = np.ones(len(w.row), bool)
     new[1:] = (w.row[1:] != w.row[:-1]) | (number[1:] != number[:-1])
     line = np.cumsum(new) - 1
@@ -119,7 +126,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, min_w
     cuts = np.searchsorted(line, np.arange(0, line[-1] + 1, 1 << 14))
     for a, b in zip(cuts, np.append(cuts[1:], len(line)), strict=True):
         part, token = line[a:b] - line[a], h[a:b]
-        rarity = classes[_place(token)]
+        rarity = classes[_place(token)] if classes is not None else np.zeros(len(token), np.uint8)
         order = np.argsort(part.astype(np.uint64) << np.uint64(50) | rarity.astype(np.uint64) << np.uint64(42) | token >> np.uint64(22))
         token, part, rarity = token[order], part[order], rarity[order]
         fresh = np.ones(len(token), bool)
@@ -130,7 +137,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, min_w
 
 
 def _lines(rule: Rule, shared: Broadcast) -> Callable:
-    frequent = int(rarity_class(np.array([FREQUENT]))[0])
+    once, frequent = rarity_class(np.array([1, FREQUENT])).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, np.uint8)
@@ -143,22 +150,27 @@ def _lines(rule: Rule, shared: Broadcast) -> Callable:
                     length[n / (n + 1) < rule.threshold - 1e-9] = 0  # no other set can be similar
                     within = np.arange(len(x.token)) - np.repeat(x.first, n)
                     taken = within < np.repeat(length, n)
-                    rare = np.add.reduceat(taken & (x.rarity <= frequent), x.first)
-                    parity = np.bitwise_xor.reduceat(np.uint64(1) << (x.token & np.uint64(63)), x.first).view(np.int64)
-                    prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), (x.token[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    # a token counted once is in no other line; such tokens come first and keep their places
+                    single = np.add.reduceat(taken & (x.rarity <= once), x.first, dtype=np.int32)
+                    rare = np.add.reduceat(taken & (x.rarity <= frequent), x.first, dtype=np.int32)
+                    bit = np.uint64(1) << (x.token & np.uint64(63))
+                    half = x.token & np.uint64(64) > 0
+                    parity, parity2 = (np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), x.first).view(np.int64) for h in (False, True))
+                    taken &= x.rarity > once
+                    prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length - single)]).astype(np.int32), (x.token[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     at = pa.array(x.row + a)
-                    yield pa.RecordBatch.from_arrays([ids.take(at), versions.take(at), pa.array(x.number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, x.keys()), pa.array(parity), pa.array(rare.astype(np.int32)), prefix], [c.split()[0] for c in LINES.split(", ")])
+                    yield pa.RecordBatch.from_arrays([ids.take(at), versions.take(at), pa.array(x.number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, x.keys()), pa.array(parity), pa.array(parity2), pa.array(single), pa.array(rare), prefix], [c.split()[0] for c in LINES.split(", ")])
 
     return run
 
 
-def _sets(rule: Rule, shared: Broadcast, bits: Broadcast) -> Callable:
+def _sets(rule: Rule, texts: Broadcast, bits: Broadcast) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
+            batch = batch.filter(pa.array(among(texts.value, batch.column(3).to_numpy(zero_copy_only=False))))
             ids, versions = batch.column(0), batch.column(1)
             for a, b, data, offsets in steps(batch.column(2)):
-                for x in token_sets(data, offsets, classes, rule.min_words):
+                for x in token_sets(data, offsets, None, rule.min_words):
                     k1, k2 = x.keys()
                     hit = among(bits.value, k1)
                     taken = np.repeat(hit, x.size)
@@ -176,7 +188,7 @@ def _may_match(rule: Rule, x: str, y: str) -> Column:
     return (
         (F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * F.lit(rule.threshold) - 1e-9)
         & (F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) >= need)
-        & (F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) <= c(x, "n") + c(y, "n") - 2 * need)
+        & (F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) + F.bit_count(c(x, "parity2").bitwiseXOR(c(y, "parity2"))) <= c(x, "n") + c(y, "n") - 2 * need)
     )
 
 
@@ -184,8 +196,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     """(k1, k2) of every set that is similar to the other one of a pair (a, b) of k1s and comes later."""
     side = lambda c: sets.select(F.col("k1").alias(c), F.struct("first", "k1", "k2").alias(f"who_{c}"), F.col("tokens").alias(f"t{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    near = both.where(shared * F.lit(1 + rule.threshold) >= (F.size("ta") + F.size("tb")) * F.lit(rule.threshold) - 1e-9)
+    near = both.where(rule.similar(F.col("ta"), F.col("tb")))
     return near.where(F.col("who_a") != F.col("who_b")).select(F.greatest("who_a", "who_b").alias("who")).select("who.k1", "who.k2").distinct()
 
 
@@ -200,29 +211,39 @@ def duplicate_lines(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").where(F.length("text") > 0)
     rarity = token_rarity(docs)
     lines = saved(docs.mapInArrow(_lines(rule, rarity), LINES), "lines")
-    best = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version", "line", "n", "parity", "rare", "prefix")).alias("r"))
-    reps = saved(best.select("k1", "k2", F.struct("r.doc_id", "r.version", "r.line").alias("first"), "r.n", "r.parity", "r.rare", "r.prefix"), "line-reps")
-    tokens = reps.where(F.size("prefix") > 0).select("k1", "n", "parity", "rare", "first", F.posexplode("prefix").alias("at", "token"))
+    best = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version", "line", "n", "parity", "parity2", "single", "rare", "prefix")).alias("r"))
+    reps = saved(best.select("k1", "k2", F.struct("r.doc_id", "r.version", "r.line").alias("first"), "r.n", "r.parity", "r.parity2", "r.single", "r.rare", "r.prefix"), "line-reps")
+    probe = ["k1", "n", "parity", "parity2"]
+    tokens = reps.where(F.size("prefix") > 0).select(*probe, "single", "rare", "first", F.posexplode("prefix").alias("place", "token")).withColumn("at", F.col("place") + F.col("single"))
     # rare tokens: all pairs of a token's lines; at most FREQUENT lines have such a token
-    rare = tokens.where(F.col("at") < F.col("rare")).select("token", "k1", "n", "parity", "at")
+    rare = tokens.where(F.col("at") < F.col("rare")).select("token", "at", *probe)
     larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.k1") > F.col("y.k1")))
     pairs = rare.alias("x").join(rare.alias("y"), (F.col("x.token") == F.col("y.token")) & larger & (F.col("y.at") < rule.index_length(F.col("y.n"))) & _may_match(rule, "x", "y"))
-    pairs = saved(pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct(), "line-pairs")
+    pairs = pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
     # frequent tokens: each line against the first line of the token, then only lines not known as copies yet
-    often = saved(tokens.where(F.col("at") >= F.col("rare")).select("token", "k1", "n", "parity", "at", "first"), "line-often")
-    heads = often.groupBy("token").agg(F.min(F.struct("first", "k1", "n", "parity", "at")).alias("h")).select("token", "h.k1", "h.n", "h.parity", "h.at")
+    often = saved(tokens.where(F.col("at") >= F.col("rare")).select("token", "at", *probe, "first"), "line-often")
+    heads = often.groupBy("token").agg(F.min(F.struct("first", "at", *probe)).alias("h")).select("token", "h.at", *(f"h.{c}" for c in probe))
     heads = saved(heads, "line-heads")
-    led = often.alias("x").join(heads.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.k1") != F.col("y.k1")) & _may_match(rule, "x", "y"))
-    pairs = pairs.unionByName(led.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct())
-    wanted = pairs.select("a").union(pairs.select("b")).union(often.select("k1"))
-    sets = docs.mapInArrow(_sets(rule, rarity, marked(wanted)), SETS)
+    match = (F.col("x.token") == F.col("y.token")) & (F.col("x.k1") != F.col("y.k1")) & _may_match(rule, "x", "y")
+    led = often.alias("x").join(heads.alias("y"), match)
+    pairs = saved(pairs.unionByName(led.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()), "line-pairs")
+    often = often.drop("first")
+    open_lines = saved(often.alias("x").join(often.alias("y"), match, "left_semi"), "line-open")  # lines with any candidate
+    # token sets of those lines only, from the texts that have them first
+    wanted = saved(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).union(open_lines.select("k1")).distinct(), "line-wanted")
+    text = F.xxhash64("doc_id", "version")
+    texts = reps.select("k1", "first.doc_id", "first.version").join(wanted, "k1", "left_semi").select(text)
+    sets = docs.withColumn("key", text).mapInArrow(_sets(rule, marked(texts), marked(wanted)), SETS)
     sets = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version", "line", "tokens")).alias("r"))
     sets = saved(sets.select("k1", "k2", F.struct("r.doc_id", "r.version", "r.line").alias("first"), "r.tokens"), "line-sets")
     known = saved(_verified(pairs, sets, rule), "line-known")
-    left = saved(often.select("token", "k1", "n", "parity", "at").join(known.select("k1").distinct(), "k1", "left_anti"), "line-left")
-    more = left.alias("x").join(often.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.k1") != F.col("y.k1")) & _may_match(rule, "x", "y"))
-    more = more.select(F.least("x.k1", "y.k1").alias("a"), F.greatest("x.k1", "y.k1").alias("b")).distinct()
-    late = saved(known.unionByName(_verified(more, sets, rule)).distinct(), "line-late")
+    whole = sets.select("k1", "first", "tokens")
+    left = open_lines.join(known.select("k1").distinct(), "k1", "left_anti")
+    x, y = saved(left.join(whole, "k1"), "line-left").alias("x"), saved(open_lines.join(whole, "k1"), "line-whole").alias("y")
+    # a semi join stops at a line's first match and gives no pairs
+    same = rule.similar(F.col("x.tokens"), F.col("y.tokens")) & (F.col("y.first") < F.col("x.first"))
+    more = x.join(y, match & same, "left_semi").select("k1").distinct()
+    late = saved(known.unionByName(sets.select("k1", "k2").join(more, "k1", "left_semi")).distinct(), "line-late")
     kept = reps.select("k1", "k2", "first").join(late, ["k1", "k2"], "left_anti").select("first.*", F.lit(True).alias("kept"))
     every = lines.select("doc_id", "version", "line", F.lit(False).alias("kept")).unionByName(kept)
     listed = every.groupBy("doc_id", "version").agg(F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("all"), F.collect_set(F.when(F.col("kept"), F.col("line"))).alias("good"))

@@ -12,13 +12,14 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step works on; bounds the memory of the arrays beside the text.
-STEP = 1 << 20
+STEP = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -41,13 +42,15 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hashes of any stretches of bytes, from one running sum."""
+    """64-bit hashes of any stretches of bytes, from one running sum; ASCII capitals count as small letters."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         up, self.down = _power_tables(n + 1)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=self.total[1:])
+        value = _VALUE[data]
+        value *= up[:n]
+        np.cumsum(value, out=self.total[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         return mix((self.total[end] - self.total[start]) * self.down[start], seed)
@@ -93,14 +96,16 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(0, np.uint64))
-    inside = _ALNUM[data]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
+    # bounds are where letters and other characters meet, and where a text ends inside letters
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = _ALNUM[data]
+    bounds = np.flatnonzero(inside[1:] != inside[:-1])
     edges = offsets[(offsets > 0) & (offsets < n)]
-    before[edges] = False
-    after[edges - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    row = np.searchsorted(offsets, start, "right") - 1
+    cut = np.unique(edges[inside[edges] & inside[edges + 1]])
+    if len(cut):
+        bounds = np.sort(np.concatenate([bounds, cut, cut]))
+    start, end = bounds[::2], bounds[1::2]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
     if not hashed:
         return Words(start, end, row, np.zeros(0, np.uint64))
     return Words(start, end, row, Rolling(data).of(start, end))
