@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -19,24 +20,22 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 STEP_CHARS, CACHE_WORDS = 4_000_000, 1_000_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-#: Each round joins every live word's neighbouring tokens with the merge table and contracts the pair of least
-#: rank, the leftmost among equals; a word without such a pair leaves the recursion.
+#: Each round unrolls every word to its token positions, joins neighbours with the merge table and contracts the
+#: pair of least rank, the leftmost among equals; a word without such a pair is at its fixpoint. The recursion keeps
+#: each word's last state only.
 ENCODE = """
-WITH RECURSIVE t(w, pos, tok, live) AS (
-  SELECT w, pos, tok, true FROM start
-  UNION ALL
-  SELECT w, pos, CASE WHEN pos = best % 4294967296 THEN CAST(best // 4294967296 AS INTEGER) ELSE tok END, best IS NOT NULL
-  FROM (
-    SELECT w, pos, tok, lag(pos) OVER (PARTITION BY w ORDER BY pos) AS prev, min(key) OVER (PARTITION BY w) AS best
-    FROM (
-      SELECT p.w, p.pos, p.tok, m.id * 4294967296 + p.pos AS key
-      FROM (SELECT w, pos, tok, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS next FROM t WHERE live) p
-      LEFT JOIN merges m ON m.pair = CAST(p.tok AS BIGINT) * 65536 + p.next
-    )
-  )
-  WHERE best IS NULL OR prev IS NULL OR prev <> best % 4294967296
+WITH RECURSIVE t(w, tokens) USING KEY (w) AS (
+  SELECT w, list(tok ORDER BY pos) FROM start GROUP BY w
+  UNION
+  SELECT t.w, list_concat(list_append(tokens[:best.k - 1], best.id), tokens[best.k + 2:])
+  FROM t JOIN (
+    SELECT w, arg_min(i, m.id * 4294967296 + i) AS k, CAST(min(m.id) AS INTEGER) AS id
+    FROM (SELECT w, unnest(tokens[:-2]) AS a, unnest(tokens[2:]) AS b, unnest(range(1, len(tokens))) AS i FROM t WHERE len(tokens) > 1) p
+    JOIN merges m ON m.pair = CAST(p.a AS BIGINT) * 65536 + p.b
+    GROUP BY w
+  ) best USING (w)
 )
-SELECT w, tok FROM t WHERE NOT live ORDER BY w, pos
+SELECT w, tokens FROM t ORDER BY w
 """
 
 DECODE = """
@@ -87,23 +86,26 @@ class Tokenizer:
         lengths = np.array([len(w) for w in raw])
         number = np.repeat(np.arange(len(new), dtype=np.int32), np.where(whole < 0, lengths, 0))
         data = np.frombuffer(b"".join(w for w, i in zip(raw, whole.tolist(), strict=True) if i < 0), np.uint8)
-        start = pa.table({"w": number, "pos": np.arange(len(data), dtype=np.int64), "tok": self.byte[data]})  # noqa: F841
-        found = self.db.execute(ENCODE).fetchnumpy() if len(data) else {"w": np.zeros(0, np.int64), "tok": np.zeros(0, np.int32)}
-        single = np.flatnonzero(whole >= 0)
-        w = np.concatenate([np.asarray(found["w"]), single])
-        tok = np.concatenate([np.asarray(found["tok"]), whole[single]]).astype(np.int32)
-        tok = tok[np.argsort(w, kind="stable")]
-        counts = np.bincount(w, minlength=len(new))
+        start = pa.table({"w": number, "pos": np.arange(len(data), dtype=np.int64), "tok": self.byte[data]})
+        counts, tokens = (whole >= 0).astype(np.int64), whole[whole >= 0].astype(np.int32)
+        if len(data):
+            self.db.register("start", start)
+            found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
+            self.db.unregister("start")
+            lists = found.column("tokens").combine_chunks()
+            counts[found.column("w").to_numpy()] = lists.value_lengths().to_numpy()
+            tokens = np.concatenate([lists.flatten().to_numpy(), tokens]).astype(np.int32)
+            words = np.concatenate([np.repeat(found.column("w").to_numpy(), lists.value_lengths().to_numpy()), np.flatnonzero(whole >= 0)])
+            tokens = tokens[np.argsort(words, kind="stable")]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
-        self.flat = np.concatenate([self.flat, tok])
+        self.flat = np.concatenate([self.flat, tokens])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's begin and the last's end)."""
         split = [self.split.findall(t) for t in texts]
         self.learn(set().union(*split))
-        known = self.known
-        words = np.fromiter((known[w] for x in split for w in x), np.int64, sum(map(len, split)))
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
         begin, count = self.first[words], self.first[words + 1] - self.first[words]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
