@@ -16,7 +16,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 LEVELS, SMALL_WIDTH, SMALL_HEIGHT = 10, 120, 57
 IGNORED_ATTRIBUTES = ("class", "id", "style", "alt", "title", "name", "rel", "target", "type", "width", "height")
 IGNORE_WORDS = ("facebook", "twitter", "instagram", "linkedin", "pinterest", "youtube", "tumblr", "whatsapp", "telegram", "reddit", "snapchat", "rss", "logo", "avatar", "gravatar", "icon", "captcha", "paypal", "appstore")
-ELEMENTS = "number int, parent int, depth int, tag string, attributes map<string,string>, children int, siblings int, text string, in_noscript boolean, ancestors array<int>"
+ELEMENTS = "number int, parent int, depth int, tag string, attributes map<string,string>, children int, siblings int, text string, in_noscript boolean, ancestors array<int>, path string"
 
 
 class _Elements(HTMLParser):
@@ -30,7 +30,8 @@ class _Elements(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         parent = self.open[-1] if self.open else -1
         inside = tag == "noscript" or parent >= 0 and self.rows[parent][5]
-        self.rows.append([parent, tag, {k: v or "" for k, v in attrs}, 0, [], inside, self.open[-LEVELS:][::-1]])
+        path = f"{self.rows[parent][7]}>{tag}" if parent >= 0 else tag
+        self.rows.append([parent, tag, {k: v or "" for k, v in attrs}, 0, [], inside, self.open[-LEVELS:][::-1], path])
         if parent >= 0:
             self.rows[parent][3] += 1
         if tag not in VOID:
@@ -59,7 +60,7 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     kept = [c for c in pages.columns if c != html]
     names = [c.split(" ")[0] for c in ELEMENTS.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int32())]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.string()]
     kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html), ELEMENTS])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,10 +71,10 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
                 parser = _Elements()
                 parser.feed(source or "")
                 parser.close()
-                for n, (parent, tag, attrs, children, data, inside, above) in enumerate(parser.rows):
+                for n, (parent, tag, attrs, children, data, inside, above, path) in enumerate(parser.rows):
                     siblings = parser.rows[parent][3] - 1 if parent >= 0 else 0
                     depth = rows[len(rows) - n + parent][2] + 1 if parent >= 0 else 0
-                    rows.append((n, parent, depth, tag, list(attrs.items()), children, siblings, "".join(data), inside, above))
+                    rows.append((n, parent, depth, tag, list(attrs.items()), children, siblings, "".join(data), inside, above, path))
                     of.append(i)
             columns = [c.take(pa.array(of, pa.int64())) for c in batch.columns[:-1]]
             columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
@@ -142,6 +143,39 @@ def qualified(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("hidden") & ~small & ~ignorable())
 
 
+def ancestry(page: list[str], rows: DataFrame, everything: DataFrame) -> DataFrame:
+    """Adds what the nearest ancestors of each row say (at most LEVELS up, body excluded).
+
+    link_level: steps to the nearest ancestor with target or rel; ancestor_word: some ancestor has an ignored word;
+    far_siblings and far_level: siblings of the farthest ancestor that has any; sibling_levels: ancestors with any.
+    rows may be few selected elements, everything all elements of their pages.
+    """
+    up = everything.where(F.col("tag") != "body").select(*page, F.col("number").alias("_up"), F.col("siblings").alias("_siblings"), (F.map_contains_key("attributes", F.lit("target")) | F.map_contains_key("attributes", F.lit("rel"))).alias("_link"), ignorable().alias("_word"))
+    each = rows.select(*page, "number", F.posexplode("ancestors").alias("_level", "_up")).join(up, [*page, "_up"])
+    some = F.col("_siblings") > 0
+    found = each.groupBy(*page, "number").agg(
+        F.min(F.when(F.col("_link"), F.col("_level") + 1)).alias("link_level"),
+        F.max("_word").alias("ancestor_word"),
+        F.max_by(F.when(some, F.col("_siblings")), F.when(some, F.col("_level"))).alias("far_siblings"),
+        F.max(F.when(some, F.col("_level") + 1)).alias("far_level"),
+        F.sum(some.cast("long")).alias("sibling_levels"),
+    )
+    return rows.join(found, [*page, "number"], "left").fillna({"ancestor_word": False, "far_siblings": 0, "far_level": 0, "sibling_levels": 0})
+
+
+def corresponding(site: list[str], control: DataFrame, variant: DataFrame, tag: str, most: int = 10) -> DataFrame:
+    """(site, places, matched): places of the control's elements of this tag, and the variant's such elements there.
+
+    A place is the parent's path of tags. A place counts at most `most` of the variant's elements, so that a page
+    that is one long list does not match by its form alone.
+    """
+    parent = F.regexp_replace("path", ">[^>]*$", "")
+    there = control.where(F.col("tag") == tag).select(*site, parent.alias("place")).distinct()
+    here = variant.where(F.col("tag") == tag).groupBy(*site, parent.alias("place")).agg(F.count("*").alias("n"))
+    both = there.join(here, [*site, "place"], "left")
+    return both.groupBy(*site).agg(F.count("*").alias("places"), F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(most))).cast("long").alias("matched"))
+
+
 def page_features(page: list[str], rows: DataFrame) -> DataFrame:
     """A row a page: of each class, elements, mean depth and siblings, and those with siblings."""
     out = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
-from crawlsift.operators import dom, requests
+from crawlsift.operators import dom, requests, rules
 from crawlsift.sources import captures, lists, sinks
 
 
@@ -139,8 +139,8 @@ def test_lists(spark, tmp_path):
     assert [r.url for r in lists.read_sites(spark, str(tmp_path / "sites"), 0, 1, by_rank=False).collect()] == ["a"]
     assert lists.read_tracking(spark, write("tracking", "p;;s;;u;;script\nbad;;line\np;;s;;u;;script\n")).count() == 1
     assert {tuple(r) for r in lists.read_image_sizes(spark, write("sizes", "http://x/i;;10.7;;5\nhttps://x/i;;20;;6\n")).collect()} == {("//x/i", 20, 6)}
-    rules = lists.read_rules(spark, write("rules", "[Adblock]\n! c\n||a.com^\nb.com,-c.com##.x\n@@||d.com^\ne.com#$#abort-on x\n/p$domain=f.com|~g.com\nh.com#?#div\n"))
-    assert {(r["class"], tuple(r.domains)) for r in rules.collect()} == {("request_blocking", ("a.com",)), ("element_hiding", ("b.com", "c.com")), ("whitelist", ()), ("snippet_abort", ("e.com",)), ("request_blocking", ("f.com", "g.com")), ("extended_hiding", ("h.com",))}
+    read = lists.read_rules(spark, write("rules", "[Adblock]\n! c\n||a.com^\nb.com,-c.com##.x\n@@||d.com^\ne.com#$#abort-on x\n/p$domain=f.com|~g.com\nh.com#?#div\n"))
+    assert {(r["class"], tuple(r.domains)) for r in read.collect()} == {("request_blocking", ("a.com",)), ("element_hiding", ("b.com", "c.com")), ("whitelist", ()), ("snippet_abort", ("e.com",)), ("request_blocking", ("f.com", "g.com")), ("extended_hiding", ("h.com",))}
     commit = spark.createDataFrame([("--- a",), ("+++ b",), ("-||a.com^",), ("+||a.com^$script",), ("+||b.com^",), ("-||c.com^",)], "line string")
     assert {tuple(r) for r in lists.commit_domains(commit).collect()} == {("a.com", "modified"), ("b.com", "added"), ("c.com", "removed")}
 
@@ -155,3 +155,12 @@ def test_sinks(spark, tmp_path):
     sinks.feature_csv(table, str(tmp_path / "csv"))
     back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert back.columns == ["crawl_url", "y", "z", "cv_detect"] and back.first().crawl_url == "http://a__b"
+
+
+def test_rule_matching(spark):
+    text = ["||ads.net^", "||cdn.org^$script,third-party", "||img.io^$~image", "@@||ok.ads.net^", "||t.com^$domain=a.com|~b.a.com", "/banner/*", "##.ad"]
+    known, rest = rules.parsed(spark.createDataFrame([(t,) for t in text], "rule string"))
+    assert rest.count() == 2
+    seen = [(1, "x.ads.net", "a.com", "image", True), (2, "ok.ads.net", "a.com", "image", True), (3, "cdn.org", "a.com", "script", True), (4, "cdn.org", "cdn.org", "script", False), (5, "img.io", "a.com", "image", True), (6, "img.io", "a.com", "font", True), (7, "t.com", "www.a.com", "image", True), (8, "t.com", "b.a.com", "image", True), (9, "myads.net", "a.com", "image", True)]
+    table = spark.createDataFrame(seen, "id int, host string, site_host string, resource_type string, third_party_request boolean")
+    assert {r.id for r in rules.blocked(table, known, ["id"]).where("blocked").collect()} == {1, 3, 6, 7}

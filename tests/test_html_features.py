@@ -43,6 +43,15 @@ def test_selection(rows):
     assert urls == {"//f.example.com/i"}
 
 
+def test_ancestry_and_places(rows):
+    images = rows.where("page = 1 and tag = 'img'")
+    up = {r.attributes["src"]: r for r in html.ancestry(["page"], images, rows).collect()}
+    assert up["/ad.png"].link_level == 1 and up["/small.png"].link_level is None
+    assert up["/ad.png"].far_siblings > 1 and up["/hid.png"].sibling_levels == 1 and not up["/ad.png"].ancestor_word
+    got = html.corresponding(["page"], rows, rows.where("attributes['src'] != '/ad.png'"), "img", most=1).first()
+    assert (got.places, got.matched) == (4, 3)
+
+
 def test_links(spark):
     page = '<a href="/a/b/c">1</a><a href="/d">2</a><a rel="x" href="/r">3</a><a href="#f">4</a><a href="javascript:1">5</a><a href="/">6</a>'
     found = html.links(spark.createDataFrame([(1, page)], "p int, html string"), ["p"], F.lit("h.com"))
