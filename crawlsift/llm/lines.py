@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.llm.marks import among, marked
-from crawlsift.llm.storage import saved
+from crawlsift.llm.storage import saved, saving
 from crawlsift.llm.words import mix, steps, words
 
 #: Token counts are kept by hash in this many places, so that the table of rarity has one size for any corpus.
@@ -20,7 +20,7 @@ from crawlsift.llm.words import mix, steps, words
 COUNT_BITS, COUNT_BLOCK = 24, 1 << 14
 #: Tokens counted more often than this are frequent: their lines are first held against each token's first line.
 FREQUENT = 1024
-LINES = "doc_id long, version long, line int, n int, k1 long, k2 long, parity long, parity2 long, single int, rare int, prefix array<int>"
+LINES = "doc_id long, version long, line int, n int, k1 long, k2 long, parity long, parity2 long, rare int, prefix array<int>"
 SETS = "doc_id long, version long, line int, k1 long, k2 long, tokens array<long>"
 
 
@@ -84,7 +84,9 @@ def token_rarity(documents: DataFrame) -> Broadcast:
     """Rarity class of every place: counts of all tokens of all documents, added up by Spark."""
     kind = "block int, data binary"
     classes = np.zeros(1 << COUNT_BITS, np.uint8).reshape(-1, COUNT_BLOCK)
-    for row in documents.select("text").mapInArrow(_count, kind).repartition("block").mapInArrow(_sum, kind).collect():
+    with saving(documents.sparkSession):
+        rows = documents.select("text").mapInArrow(_count, kind).repartition("block").mapInArrow(_sum, kind).collect()
+    for row in rows:
         classes[row.block] = np.frombuffer(row.data, np.uint8)
     return documents.sparkSession.sparkContext.broadcast(classes.tobytes())
 
@@ -137,7 +139,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None
 
 
 def _lines(rule: Rule, shared: Broadcast) -> Callable:
-    once, frequent = rarity_class(np.array([1, FREQUENT])).tolist()
+    frequent = int(rarity_class(np.array([FREQUENT]))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(shared.value, np.uint8)
@@ -150,16 +152,13 @@ def _lines(rule: Rule, shared: Broadcast) -> Callable:
                     length[n / (n + 1) < rule.threshold - 1e-9] = 0  # no other set can be similar
                     within = np.arange(len(x.token)) - np.repeat(x.first, n)
                     taken = within < np.repeat(length, n)
-                    # a token counted once is in no other line; such tokens come first and keep their places
-                    single = np.add.reduceat(taken & (x.rarity <= once), x.first, dtype=np.int32)
                     rare = np.add.reduceat(taken & (x.rarity <= frequent), x.first, dtype=np.int32)
                     bit = np.uint64(1) << (x.token & np.uint64(63))
                     half = x.token & np.uint64(64) > 0
                     parity, parity2 = (np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), x.first).view(np.int64) for h in (False, True))
-                    taken &= x.rarity > once
-                    prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length - single)]).astype(np.int32), (x.token[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                    prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), (x.token[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     at = pa.array(x.row + a)
-                    yield pa.RecordBatch.from_arrays([ids.take(at), versions.take(at), pa.array(x.number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, x.keys()), pa.array(parity), pa.array(parity2), pa.array(single), pa.array(rare), prefix], [c.split()[0] for c in LINES.split(", ")])
+                    yield pa.RecordBatch.from_arrays([ids.take(at), versions.take(at), pa.array(x.number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, x.keys()), pa.array(parity), pa.array(parity2), pa.array(rare), prefix], [c.split()[0] for c in LINES.split(", ")])
 
     return run
 
@@ -181,14 +180,35 @@ def _sets(rule: Rule, texts: Broadcast, bits: Broadcast) -> Callable:
     return run
 
 
+def packed(token: Column, n: Column, at: Column) -> Column:
+    """Token, size and place in one long: what a prefix row carries decides how much the join moves.
+
+    Sizes end at 2^20 - 1 and places at 4095, which only loosens the filters.
+    """
+    return F.shiftleft(token.cast("long"), 32).bitwiseOR(F.shiftleft(F.least(n, F.lit((1 << 20) - 1)).cast("long"), 12)).bitwiseOR(F.least(at, F.lit(4095)).cast("long"))
+
+
+def token(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.head"), 32)
+
+
+def size(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.head"), 12).bitwiseAND(F.lit((1 << 20) - 1))
+
+
+def place(side: str) -> Column:
+    return F.col(f"{side}.head").bitwiseAND(F.lit(4095))
+
+
 def _may_match(rule: Rule, x: str, y: str) -> Column:
     """Length, positional and parity filters for rows x, y that share a prefix token."""
     c = lambda side, name: F.col(f"{side}.{name}")
-    need = rule.overlap(c(x, "n"), c(y, "n"))
+    need = rule.overlap(size(x), size(y))
+    differ = F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) + F.bit_count(c(x, "parity2").bitwiseXOR(c(y, "parity2")))
     return (
-        (F.least(c(x, "n"), c(y, "n")) >= F.greatest(c(x, "n"), c(y, "n")) * F.lit(rule.threshold) - 1e-9)
-        & (F.least(c(x, "n") - c(x, "at"), c(y, "n") - c(y, "at")) >= need)
-        & (F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) + F.bit_count(c(x, "parity2").bitwiseXOR(c(y, "parity2"))) <= c(x, "n") + c(y, "n") - 2 * need)
+        (F.least(size(x), size(y)) >= F.greatest(size(x), size(y)) * F.lit(rule.threshold) - 1e-9)
+        & (F.least(size(x) - place(x), size(y) - place(y)) >= need)
+        & (differ <= size(x) + size(y) - 2 * need)
     )
 
 
@@ -211,31 +231,36 @@ def duplicate_lines(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text").where(F.length("text") > 0)
     rarity = token_rarity(docs)
     lines = saved(docs.mapInArrow(_lines(rule, rarity), LINES), "lines")
-    best = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version", "line", "n", "parity", "parity2", "single", "rare", "prefix")).alias("r"))
-    reps = saved(best.select("k1", "k2", F.struct("r.doc_id", "r.version", "r.line").alias("first"), "r.n", "r.parity", "r.parity2", "r.single", "r.rare", "r.prefix"), "line-reps")
-    probe = ["k1", "n", "parity", "parity2"]
-    tokens = reps.where(F.size("prefix") > 0).select(*probe, "single", "rare", "first", F.posexplode("prefix").alias("place", "token")).withColumn("at", F.col("place") + F.col("single"))
+    rarity.destroy()
+    best = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version", "line", "n", "parity", "parity2", "rare", "prefix")).alias("r"))
+    reps = saved(best.select("k1", "k2", F.struct("r.doc_id", "r.version", "r.line").alias("first"), "r.n", "r.parity", "r.parity2", "r.rare", "r.prefix"), "line-reps")
+    probe = ["head", "k1", "parity", "parity2"]
+    tokens = reps.where(F.size("prefix") > 0).select("k1", "n", "parity", "parity2", "rare", "first", F.posexplode("prefix").alias("at", "token")).withColumn("head", packed(F.col("token"), F.col("n"), F.col("at")))
     # rare tokens: all pairs of a token's lines; at most FREQUENT lines have such a token
-    rare = tokens.where(F.col("at") < F.col("rare")).select("token", "at", *probe)
-    larger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.k1") > F.col("y.k1")))
-    pairs = rare.alias("x").join(rare.alias("y"), (F.col("x.token") == F.col("y.token")) & larger & (F.col("y.at") < rule.index_length(F.col("y.n"))) & _may_match(rule, "x", "y"))
-    pairs = pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()
+    rare = tokens.where(F.col("at") < F.col("rare"))
+    x, y = rare.select(*probe).alias("x"), rare.where(F.col("at") < rule.index_length(F.col("n"))).select(*probe).alias("y")
+    larger = (size("x") > size("y")) | ((size("x") == size("y")) & (F.col("x.k1") > F.col("y.k1")))
+    pairs = x.join(y, (token("x") == token("y")) & larger & _may_match(rule, "x", "y"))
+    pairs = saved(pairs.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct(), "line-pairs")
     # frequent tokens: each line against the first line of the token, then only lines not known as copies yet
-    often = saved(tokens.where(F.col("at") >= F.col("rare")).select("token", "at", *probe, "first"), "line-often")
-    heads = often.groupBy("token").agg(F.min(F.struct("first", "at", *probe)).alias("h")).select("token", "h.at", *(f"h.{c}" for c in probe))
+    often = saved(tokens.where(F.col("at") >= F.col("rare")).select(*probe, "token", "first"), "line-often")
+    heads = often.groupBy("token").agg(F.min(F.struct("first", *probe)).alias("h")).select(*(f"h.{c}" for c in probe))
     heads = saved(heads, "line-heads")
-    match = (F.col("x.token") == F.col("y.token")) & (F.col("x.k1") != F.col("y.k1")) & _may_match(rule, "x", "y")
-    led = often.alias("x").join(heads.alias("y"), match)
-    pairs = saved(pairs.unionByName(led.select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b")).distinct()), "line-pairs")
-    often = often.drop("first")
+    match = (token("x") == token("y")) & (F.col("x.k1") != F.col("y.k1")) & _may_match(rule, "x", "y")
+    led = often.alias("x").join(heads.alias("y"), match).select(F.col("x.k1").alias("a"), F.col("y.k1").alias("b"))
+    pairs = pairs.unionByName(saved(led.distinct(), "line-led"))
+    often = often.select(*probe)
     open_lines = saved(often.alias("x").join(often.alias("y"), match, "left_semi"), "line-open")  # lines with any candidate
     # token sets of those lines only, from the texts that have them first
     wanted = saved(pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).union(open_lines.select("k1")).distinct(), "line-wanted")
     text = F.xxhash64("doc_id", "version")
     texts = reps.select("k1", "first.doc_id", "first.version").join(wanted, "k1", "left_semi").select(text)
-    sets = docs.withColumn("key", text).mapInArrow(_sets(rule, marked(texts), marked(wanted)), SETS)
+    marks = marked(texts), marked(wanted)
+    sets = docs.withColumn("key", text).mapInArrow(_sets(rule, *marks), SETS)
     sets = sets.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "version", "line", "tokens")).alias("r"))
     sets = saved(sets.select("k1", "k2", F.struct("r.doc_id", "r.version", "r.line").alias("first"), "r.tokens"), "line-sets")
+    for m in marks:
+        m.destroy()
     known = saved(_verified(pairs, sets, rule), "line-known")
     whole = sets.select("k1", "first", "tokens")
     left = open_lines.join(known.select("k1").distinct(), "k1", "left_anti")

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from crawlsift.llm.storage import saving
 from crawlsift.llm.words import mix
 
 #: 2^26 bits, 8 MB. Where very many keys are marked it lets more strangers through, which cost time but no row.
@@ -44,7 +45,9 @@ def marked(keys: DataFrame) -> Broadcast:
     """The bitmap of a table of one long column, united over partitions before it reaches the driver."""
     kind = "block int, data binary"
     bits = np.zeros(1 << (BITS - 3), np.uint8).reshape(-1, BLOCK)
-    for row in keys.mapInArrow(_partial, kind).repartition("block").mapInArrow(_union, kind).collect():
+    with saving(keys.sparkSession):
+        rows = keys.mapInArrow(_partial, kind).repartition("block").mapInArrow(_union, kind).collect()
+    for row in rows:
         bits[row.block] = np.frombuffer(row.data, np.uint8)
     return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 

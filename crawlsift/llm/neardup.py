@@ -190,12 +190,14 @@ def near_duplicates(documents: DataFrame, f: Forest = Forest()) -> DataFrame:
     parts = saved(groups.groupBy("root").agg(F.ceil(F.count("*") / f.chunk).cast("int").alias("parts")), "near-parts")
     placed = groups.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     members = placed.join(reps.select(F.col("doc_id").alias("id"), "copies", "k1", "k2"), "id")
-    sets = docs.mapInArrow(_sets(f, marked(groups.select("id"))), SETS)
+    marks = marked(groups.select("id"))
+    sets = docs.mapInArrow(_sets(f, marks), SETS)
     sets = sets.groupBy("doc_id", "k1", "k2").agg(F.first("shingles").alias("shingles"))
     whole = members.withColumnRenamed("id", "doc_id").join(sets, ["doc_id", "k1", "k2"])
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     paired = whole.withColumn("other", other).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "part", "copies", "shingles")
     links = saved(paired.groupBy("root", "i", "j").applyInArrow(_verify(f), LINKS), "near-links")
+    marks.destroy()
     classes = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     totals = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
     judged = reps.select("k1", "k2", "doc_id", "copies").join(totals, "doc_id", "left").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")

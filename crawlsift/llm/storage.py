@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +24,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+#: Of a job that writes an intermediate table: its shuffle files go as soon as it is done, as only the table is used
+#: afterwards, and Python gets its rows in batches of few megabytes, however long the texts are.
+WHILE_SAVING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
+@contextmanager
+def saving(spark: SparkSession) -> Iterator[None]:
+    """Settings for jobs of which only the result is used afterwards."""
+    before = {k: spark.conf.get(k, None) for k in WHILE_SAVING}
+    for k, v in WHILE_SAVING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read again, so that a lost executor costs no recomputation of it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with saving(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
