@@ -18,7 +18,7 @@ FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 BITS, CHAIN = 18, 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
 RESULT = "score double, predicted int, spans array<struct<start:int,end:int>>"
-LIMIT = 30.0
+LIMIT, LEAST_RATIO = 30.0, 16.0
 
 
 def features(data: np.ndarray, w: Words) -> np.ndarray:
@@ -129,7 +129,8 @@ def train(places: np.ndarray, chain: np.ndarray, label: np.ndarray, rounds: int
 def word_labels(places: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Labels of words from labels of their documents: 1 where a word of a toxic document has a toxic feature.
 
-    A feature is toxic if it is in several toxic documents and its share of them is many times that of the others.
+    A feature is toxic if its share of the toxic documents is many times that of the others, and the log-likelihood
+    ratio of the two shares is beyond what chance makes of as many features.
     """
     n_bad, n_good = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
@@ -139,7 +140,10 @@ def word_labels(places: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarra
         bad += np.bincount(place[y[docs] == 1], minlength=1 << BITS)
         good += np.bincount(place[y[docs] == 0], minlength=1 << BITS)
     share, other = bad / n_bad, (good + 0.5) / n_good
-    toxic = (bad >= max(3, 0.008 * n_bad)) & (share > 12 * other)
+    part = n_bad / (n_bad + n_good)
+    part_of = lambda n, p: n * np.log(np.maximum(n, 1e-9) / np.maximum((bad + good) * p, 1e-9))
+    ratio = 2 * (part_of(bad, part) + part_of(good, 1 - part))
+    toxic = (bad >= max(3, 0.008 * n_bad)) & (share > 12 * other) & (ratio >= LEAST_RATIO)
     return (toxic[places].any(axis=1) & (y[row] == 1)).astype(np.int8)
 
 
