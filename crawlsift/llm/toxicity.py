@@ -18,7 +18,7 @@ FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 BITS, CHAIN = 18, 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
 RESULT = "score double, predicted int, spans array<struct<start:int,end:int>>"
-LIMIT, LEAST_RATIO = 30.0, 16.0
+LIMIT, LEAST_RATIO = 30.0, 13.0
 
 
 def features(data: np.ndarray, w: Words) -> np.ndarray:
