@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of a training sample: rows of each class, and characters of a text (longer ones are not trained on).
-PER_CLASS, TEXT_CHARS = 2500, 12_000
+PER_CLASS, TEXT_CHARS = 1000, 12_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -25,15 +25,15 @@ def class_counts(labels: DataFrame) -> dict:
     return {r.y: r["count"] for r in labels.groupBy("y").count().collect()}
 
 
-def sample(documents: DataFrame, labels: DataFrame, classes: list, per_class: int = PER_CLASS, chars: int = TEXT_CHARS) -> list[tuple[str, object]]:
+def sample(documents: DataFrame, labels: DataFrame, classes: list, per_class: int | dict = PER_CLASS, chars: int = TEXT_CHARS) -> list[tuple[str, object]]:
     """(text, y) of up to per_class labelled documents a class, the same ones at each run.
 
-    labels: (doc_id, y). The ids are chosen by a hash before any text moves; at most per_class ids a class are
+    labels: (doc_id, y). per_class: one bound, or one for each class. The ids are chosen by a hash before any text moves; at most per_class ids a class are
     broadcast and as many texts of at most `chars` characters reach the driver.
     """
     chosen = None
     for y in classes:
-        part = labels.where(F.col("y") == F.lit(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = labels.where(F.col("y") == F.lit(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y] if isinstance(per_class, dict) else per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     if chosen is None:
         return []

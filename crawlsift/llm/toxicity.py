@@ -14,6 +14,8 @@ from crawlsift.llm.sample import binary_labels, class_counts, fold, sample
 from crawlsift.llm.words import Rolling, Words, ascii_lower, shingles, steps, words
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
+#: Training texts that are not toxic, and that are.
+PER_CLASS = {0: 2500, 1: 1000}
 #: Hashed weights; words of one chain (a line, or so many words of a longer line).
 BITS, CHAIN = 18, 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
@@ -24,10 +26,13 @@ LIMIT, LEAST_RATIO = 30.0, 13.0
 def features(data: np.ndarray, w: Words) -> np.ndarray:
     """Places in the weight table of each word's features: the word, its first and last few bytes."""
     rolling, length = Rolling(data), w.end - w.start
-    out = [rolling.of(w.start, w.end, 1)]
-    out += [rolling.of(w.start, w.start + np.minimum(k, length), 10 + k) for k in PREFIXES]
-    out += [rolling.of(w.end - np.minimum(k, length), w.end, 20 + k) for k in SUFFIXES]
-    return np.stack([(h >> np.uint64(64 - BITS)).astype(np.int32) for h in out], axis=1)
+    bounds = [(w.start, w.end, 1)]
+    bounds += [(w.start, w.start + np.minimum(k, length), 10 + k) for k in PREFIXES]
+    bounds += [(w.end - np.minimum(k, length), w.end, 20 + k) for k in SUFFIXES]
+    out = np.empty((len(w.start), len(bounds)), np.int32)
+    for i, (start, end, seed) in enumerate(bounds):
+        out[:, i] = rolling.of(start, end, seed) >> np.uint64(64 - BITS)
+    return out
 
 
 def chains(data: np.ndarray, w: Words) -> np.ndarray:
@@ -143,7 +148,7 @@ def word_labels(places: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarra
     part = n_bad / (n_bad + n_good)
     part_of = lambda n, p: n * np.log(np.maximum(n, 1e-9) / np.maximum((bad + good) * p, 1e-9))
     ratio = 2 * (part_of(bad, part) + part_of(good, 1 - part))
-    toxic = (bad >= max(3, 0.008 * n_bad)) & (share > 12 * other) & (ratio >= LEAST_RATIO)
+    toxic = (bad >= max(3, 0.012 * n_bad)) & (share > 12 * other) & (ratio >= LEAST_RATIO)
     return (toxic[places].any(axis=1) & (y[row] == 1)).astype(np.int8)
 
 
@@ -201,9 +206,9 @@ class Model:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
     """Trains on a bounded sample of the labelled documents outside the held-out fold (see sample)."""
-    known = binary_labels(labels, "toxic", FOLDS, HELD_OUT)
+    known = binary_labels(labels, "toxic", FOLDS, HELD_OUT).withColumn("y", (F.col("y") > 0).cast("int"))
     counts = class_counts(known)
-    rows = sample(documents, known, sorted(counts))
+    rows = sample(documents, known, sorted(counts), PER_CLASS)
     if len({y for _, y in rows}) < 2:
         prior = np.clip(np.mean([y for _, y in rows] or [0.0]), 1e-3, 1 - 1e-3)
         return Model(CRF(np.zeros(1 << BITS), np.zeros((2, 2)), -2.0), np.array([np.log(prior / (1 - prior)), 0, 0]))
