@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Characters of text that one round of queries covers, and distinct words that a worker remembers.
-STEP_CHARS, CACHE_WORDS = 4_000_000, 1_000_000
+STEP_CHARS, CACHE_WORDS = 4_000_000, 600_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Each round unrolls every word to its token positions, joins neighbours with the merge table and contracts the

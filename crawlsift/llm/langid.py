@@ -99,13 +99,11 @@ def fit(documents: DataFrame) -> Model:
     rows = sample(documents, known, languages, PER_LANGUAGE)
     if not rows:
         return Model(languages[:1], np.zeros((1 << BITS, len(languages[:1]))), np.zeros(len(languages[:1])))
-    text = [t.encode() for t, _ in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])])
-    data = np.frombuffer(b"".join(text), np.uint8)
-    row, place = subwords(data, offsets)
-    order = np.argsort(row, kind="stable")
-    row, place = row[order], place[order]
-    bags = [place[a:b] for a, b in zip(*(np.searchsorted(row, np.arange(len(rows)) + k) for k in (0, 1)), strict=True)]
+    bags: list[np.ndarray] = []
+    for _, _, data, offsets in steps(pa.array([t for t, _ in rows], pa.string())):
+        row, place = subwords(data, offsets)
+        place, row = place[np.argsort(row, kind="stable")], np.sort(row)
+        bags += np.split(place, np.searchsorted(row, np.arange(1, len(offsets) - 1)))
     y = np.array([languages.index(v) for _, v in rows])
     test = np.arange(len(rows)) % 5 == 4
     # pieces of texts of varying length, so that short texts are learned too

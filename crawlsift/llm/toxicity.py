@@ -152,21 +152,45 @@ def word_labels(places: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarra
     return (toxic[places].any(axis=1) & (y[row] == 1)).astype(np.int8)
 
 
-def unlike(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts that are not near copies of an earlier one, by three MinHash values; copies would count as evidence."""
+def least_hashes(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, ...]]:
+    """Three MinHash values of each text's five-word shingles; none of a text without words."""
     row, value = shingles(words(data, offsets), 5)
-    keep, seen = np.ones(len(offsets) - 1, bool), [set(), set(), set()]
+    found: list[tuple[int, ...]] = [()] * (len(offsets) - 1)
     if len(row):
         texts, first = np.unique(row, return_index=True)
         least = [np.minimum.reduceat(value * np.uint64(x), first) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
         for i, t in enumerate(texts):
-            mine = [int(v[i]) for v in least]
-            keep[t] = not any(v in s for v, s in zip(mine, seen, strict=True))
-            for v, s in zip(mine, seen, strict=True):
-                s.add(v)
+            found[t] = tuple(int(v[i]) for v in least)
+    return found
+
+
+def unlike(hashes: list[tuple[int, ...]]) -> np.ndarray:
+    """Texts that share no MinHash value with an earlier one: near copies would count as evidence of their own."""
+    keep, seen = np.ones(len(hashes), bool), [set(), set(), set()]
+    for i, mine in enumerate(hashes):
+        keep[i] = not any(v in s for v, s in zip(mine, seen, strict=False))
+        for v, s in zip(mine, seen, strict=False):
+            s.add(v)
     return keep
 
 
+def prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, chain and text of each word, texts that are no near copies), a step of text at a time."""
+    places, chain, row, hashes, chains_before = [], [], [], [], 0
+    for a, _, data, offsets in steps(pa.array(texts, pa.string())):
+        low = ascii_lower(data)
+        w = words(low, offsets, hashed=False)
+        hashes += least_hashes(low, offsets)
+        if len(w.start):
+            places.append(features(low, w))
+            chain.append(chains(low, w) + chains_before)
+            row.append(w.row + a)
+            chains_before = int(chain[-1][-1]) + 1
+    if not places:
+        return np.zeros((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), unlike(hashes)
+    return np.concatenate(places), np.concatenate(chain), np.concatenate(row), unlike(hashes)
+
+
 def summary(p: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
     """Of each text: a one, log of the expected toxic words, log-odds of the most toxic word.
 
@@ -212,21 +236,16 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     if len({y for _, y in rows}) < 2:
         prior = np.clip(np.mean([y for _, y in rows] or [0.0]), 1e-3, 1 - 1e-3)
         return Model(CRF(np.zeros(1 << BITS), np.zeros((2, 2)), -2.0), np.array([np.log(prior / (1 - prior)), 0, 0]))
-    text = [t.encode() for t, _ in rows]
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])])
-    data = ascii_lower(np.frombuffer(b"".join(text), np.uint8))
     y = np.array([v for _, v in rows])
-    fresh = unlike(data, offsets)
-    w = words(data, offsets, hashed=False)
-    places, chain = features(data, w), chains(data, w)
-    keep = fresh[w.row]
-    label = np.zeros(len(w.row), np.int8)
-    label[keep] = word_labels(places[keep], w.row[keep], np.where(fresh, y, -1))
+    places, chain, row, fresh = prepared([t for t, _ in rows])
+    keep = fresh[row]
+    label = np.zeros(len(row), np.int8)
+    label[keep] = word_labels(places[keep], row[keep], np.where(fresh, y, -1))
     # the chain model learns from two thirds of the texts, the score's scale from the others
     third = np.arange(len(y)) % 3 == 0
-    learn = keep & ~third[w.row]
+    learn = keep & ~third[row]
     crf = train(places[learn], np.unique(chain[learn], return_inverse=True)[1], label[learn])
-    x = summary(crf.marginals(places, chain), w.row, len(y))
+    x = summary(crf.marginals(places, chain), row, len(y))
     taken = {v: max(1, int((y == v).sum())) for v in counts}
     weight = np.array([counts[v] / taken[v] for v in y])
     rest = third & fresh if len(set(y[third & fresh])) == 2 else np.ones(len(y), bool)
@@ -277,7 +296,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.concatenate([shared.value.score(data, offsets)[0] < CUT for _, _, data, offsets in steps(batch.column(at))] or [np.zeros(0, bool)])
-            yield batch.filter(pa.array(keep))
+            for a, b, data, offsets in steps(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(shared.value.score(data, offsets)[0] < CUT))
 
     return docs.mapInArrow(run, docs.schema)
