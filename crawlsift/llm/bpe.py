@@ -15,9 +15,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.llm.words import steps
+
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Characters of text that one round of queries covers, and distinct words that a worker remembers.
-STEP_CHARS, CACHE_WORDS = 4_000_000, 600_000
+#: Bytes of text that one round of queries covers, words that one query encodes, and words that a worker remembers.
+STEP_BYTES, QUERY_WORDS, CACHE_WORDS = 1_500_000, 25_000, 400_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Each round unrolls every word to its token positions, joins neighbours with the merge table and contracts the
@@ -58,7 +60,7 @@ class Tokenizer:
                 if left is not None and right is not None:
                     pairs.append(left * 65536 + right)
                     ids.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(ids, pa.int64())})  # noqa: F841
         vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
@@ -77,8 +79,8 @@ class Tokenizer:
         if len(self.known) > CACHE_WORDS:
             self.forget()
         new = [w for w in found if w not in self.known]
-        for at in range(0, len(new), 50_000):
-            self._learn(new[at : at + 50_000])
+        for at in range(0, len(new), QUERY_WORDS):
+            self._learn(new[at : at + QUERY_WORDS])
 
     def _learn(self, new: list[str]) -> None:
         raw = [w.encode() for w in new]
@@ -140,22 +142,11 @@ def tokenizer(rank_file: bytes) -> Tokenizer:
     return _tokenizers[key]
 
 
-def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= STEP_CHARS:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def encoded(documents: DataFrame, rank_path: str = RANKS, with_ids: bool = False) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of each whole text beside all columns of documents but text.
 
     with_ids adds ids (array<int>). A null text is an empty one: no tokens, the digests of nothing. Extra columns
-    pass through. Texts are not shuffled; a task holds one Arrow batch and about STEP_CHARS of text in queries.
+    pass through. Texts are not shuffled; a task holds one Arrow batch and about STEP_BYTES of text in queries.
     """
     with open(rank_path, "rb") as f:
         ranks = documents.sparkSession.sparkContext.broadcast(f.read())
@@ -165,9 +156,9 @@ def encoded(documents: DataFrame, rank_path: str = RANKS, with_ids: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(ranks.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            for a, b in _steps(texts):
-                ids, bounds = tok.encode(texts[a:b])
+            column = batch.column(batch.num_columns - 1)
+            for a, b, _, _ in steps(column, STEP_BYTES):
+                ids, bounds = tok.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
                 shas, decimal = [], tok.decimal
                 for i in range(b - a):
                     joined = ",".join(map(decimal.__getitem__, ids[bounds[i] : bounds[i + 1]].tolist()))
