@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
-from crawlsift.operators import diff, features, html, series
+from crawlsift.operators import diff, features, html, requests, rules, series
 from crawlsift.operators.requests import CONTENT_CLASSES
 from crawlsift.sources import lists
 
@@ -199,6 +199,21 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("domains")).alias("domains"))
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = ["||example.net^$image", "||example.org^$third-party", "@@||example.org^$font", "/other/*"]
+    known, _ = rules.parsed(spark.createDataFrame([(t,) for t in text], "rule string"))
+    kind = F.element_at(F.array(*map(F.lit, ("script", "image", "font"))), (F.col("page_id") % 3 + 1).cast("int"))
+    seen = _pages(spark, sf_dir).select("page_id", "host", F.lit("www.example.com").alias("site_host"), kind.alias("resource_type"), (F.col("registrable") != "example.com").alias("third_party_request"))
+    return rules.blocked(seen, known, ["page_id"])
+
+
+def _request_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (n % len(v) + 1).cast("int"))
+    seen = _pages(spark, sf_dir).withColumns({"first_party": urls.first_party(F.col("host"), F.lit("tion")), "content_type": pick("text/css", "image/png", "text/html"), "resource_type": pick("script", "image"), "cache_control": pick("max-age=60", "no-store", "public, max-age=9"), "length": n % 5000})
+    return requests.request_features(seen, ["registrable"])
+
+
 FLAGSHIP = "spike_stats"
 QUERIES = {
     "bin_counts": bin_counts,
@@ -238,6 +253,8 @@ QUERIES = {
     "scale_minmax": _scaled("minmax"),
     "scale_robust": _scaled("robust"),
     "rule_classify": _rules,
+    "rule_matching": _matched,
+    "request_features": _request_features,
 }
 
 _E = """e AS (
@@ -348,6 +365,8 @@ ORACLES = {
     "scale_standard": _scale_sql("avg({c})", "stddev_pop({c})"),
     "scale_minmax": _scale_sql("min({c})", "max({c}) - min({c})"),
     "scale_robust": _scale_sql("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"),
+    "rule_matching": f"""WITH {_P} SELECT page_id, NOT (registrable = 'example.org' AND page_id % 3 = 2) AS blocked FROM p
+      WHERE (registrable = 'example.net' AND page_id % 3 = 1) OR registrable = 'example.org'""",
     "rule_classify": f"""WITH {_P}, r AS (SELECT page_id % 6 AS k FROM p)
       SELECT ['request_blocking', 'element_hiding', 'whitelist', 'extended_hiding', 'snippet_abort', 'request_blocking'][k + 1] AS class, count(*) AS n, CAST(sum([1, 1, 0, 2, 1, 2][k + 1]) AS BIGINT) AS domains FROM r GROUP BY 1""",
 }
