@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import duckdb
 import numpy as np
@@ -19,7 +19,7 @@ from crawlsift.llm.words import steps
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of text that one round of queries covers, words that one query encodes, and words that a worker remembers.
-STEP_BYTES, QUERY_WORDS, CACHE_WORDS = 1_500_000, 25_000, 400_000
+STEP_BYTES, QUERY_WORDS, CACHE_WORDS = 1_500_000, 25_000, 600_000
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Each round unrolls every word to its token positions, joins neighbours with the merge table and contracts the
@@ -75,10 +75,8 @@ class Tokenizer:
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def learn(self, found: set[str]) -> None:
-        """Encodes the words that are not known yet."""
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        new = [w for w in found if w not in self.known]
+        """Encodes words that are not known yet."""
+        new = list(found)
         for at in range(0, len(new), QUERY_WORDS):
             self._learn(new[at : at + QUERY_WORDS])
 
@@ -105,9 +103,16 @@ class Tokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's begin and the last's end)."""
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
         split = [self.split.findall(t) for t in texts]
-        self.learn(set().union(*split))
-        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        flat = list(chain.from_iterable(split))
+        words = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(words < 0)
+        if len(missing):
+            new = [flat[i] for i in missing.tolist()]
+            self.learn(set(new))
+            words[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         begin, count = self.first[words], self.first[words + 1] - self.first[words]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
