@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crawlsift.llm.marks import among, marked
 from crawlsift.llm.sample import binary_labels, class_counts, fold, sample
+from crawlsift.llm.storage import saved, saving
 from crawlsift.llm.words import Rolling, Words, ascii_lower, shingles, steps, words
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
@@ -20,7 +22,13 @@ PER_CLASS = {0: 2500, 1: 1000}
 BITS, CHAIN = 18, 64
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
 RESULT = "score double, predicted int, spans array<struct<start:int,end:int>>"
-LIMIT, LEAST_RATIO = 30.0, 13.0
+LIMIT = 30.0
+#: A toxic feature stands in so many toxic documents at least, has so many times the share of them that it has of the
+#: others, and a likelihood ratio beyond chance. None of the three grows with the corpus.
+LEAST_DOCS, LEAST_TIMES, LEAST_RATIO = 3, 12, 13.0
+#: Weights: one a feature, then those of words without and with a toxic feature.
+PLACES = (1 << BITS) + 2
+HASHES, HASHED, BLOCK = 3, "doc_id long, version long, h array<long>", 1 << 12
 
 
 def features(data: np.ndarray, w: Words) -> np.ndarray:
@@ -90,8 +98,8 @@ class CRF:
 
 def train(places: np.ndarray, chain: np.ndarray, label: np.ndarray, rounds: int = 6, batch: int = 512, rate: float = 0.2) -> CRF:
     """Gradient ascent (AdaGrad) on the chains' log-likelihood: what the labels have less what the model expects."""
-    crf = CRF(np.zeros(1 << BITS), np.zeros((2, 2)), -2.0)
-    seen_w, seen_m, seen_s = np.full(1 << BITS, 1e-2), np.full((2, 2), 1e-2), 1e-2
+    crf = CRF(np.zeros(PLACES), np.zeros((2, 2)), -2.0)
+    seen_w, seen_m, seen_s = np.full(PLACES, 1e-2), np.full((2, 2), 1e-2), 1e-2
     if not len(chain):
         return crf
     at, length = crf.grid(chain)
@@ -131,25 +139,98 @@ def train(places: np.ndarray, chain: np.ndarray, label: np.ndarray, rounds: int
     return crf
 
 
-def word_labels(places: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Labels of words from labels of their documents: 1 where a word of a toxic document has a toxic feature.
+def toxic_places(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
+    """Which features are toxic, from the documents of each class that have them.
 
     A feature is toxic if its share of the toxic documents is many times that of the others, and the log-likelihood
     ratio of the two shares is beyond what chance makes of as many features.
     """
-    n_bad, n_good = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    bad, good = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for k in range(places.shape[1]):
-        doc_place = np.unique(row.astype(np.int64) << BITS | places[:, k])
-        docs, place = doc_place >> BITS, doc_place & (1 << BITS) - 1
-        bad += np.bincount(place[y[docs] == 1], minlength=1 << BITS)
-        good += np.bincount(place[y[docs] == 0], minlength=1 << BITS)
+    n_bad, n_good = max(1, n_bad), max(1, n_good)
     share, other = bad / n_bad, (good + 0.5) / n_good
     part = n_bad / (n_bad + n_good)
     part_of = lambda n, p: n * np.log(np.maximum(n, 1e-9) / np.maximum((bad + good) * p, 1e-9))
     ratio = 2 * (part_of(bad, part) + part_of(good, 1 - part))
-    toxic = (bad >= max(3, 0.012 * n_bad)) & (share > 12 * other) & (ratio >= LEAST_RATIO)
-    return (toxic[places].any(axis=1) & (y[row] == 1)).astype(np.int8)
+    return (bad >= LEAST_DOCS - 1e-6) & (share > LEAST_TIMES * other) & (ratio >= LEAST_RATIO)
+
+
+def flagged(places: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """features with one more column, by which the chain model knows toxic words that its sample does not have."""
+    return np.column_stack([places, (1 << BITS) + toxic[places].any(axis=1)]).astype(np.int32)
+
+
+def word_labels(places: np.ndarray, row: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Labels of words from labels of their documents: 1 where a word of a toxic document has a toxic feature."""
+    return ((places[:, -1] == PLACES - 1) & (y[row] == 1)).astype(np.int8)
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, data, offsets in steps(batch.column(2)):
+            found = [np.array(h, np.uint64).view(np.int64) for h in least_hashes(ascii_lower(data), offsets)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "version", "h"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with each feature, of either class; texts that are there several times count once in all."""
+    counts = np.zeros((2, 1 << BITS))
+    for batch in batches:
+        y, part = batch.column(0).to_numpy(), 1 / batch.column(1).to_numpy()
+        for a, _, data, offsets in steps(batch.column(2)):
+            low = ascii_lower(data)
+            w = words(low, offsets, hashed=False)
+            if not len(w.start):
+                continue
+            for column in features(low, w).T:
+                doc_place = np.unique(w.row.astype(np.int64) << BITS | column)
+                docs, place = (doc_place >> BITS) + a, doc_place & (1 << BITS) - 1
+                for v in (0, 1):
+                    mine = y[docs] == v
+                    counts[v] += np.bincount(place[mine], part[docs[mine]], 1 << BITS)
+    yield _blocks({i: counts[:, i * BLOCK : (i + 1) * BLOCK] for i in range((1 << BITS) // BLOCK)})
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found[block] = np.frombuffer(data) + found.get(block, 0.0)
+    yield _blocks(found)
+
+
+def _blocks(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"block": pa.array(list(found), pa.int32()), "data": pa.array([b.tobytes() for b in found.values()], pa.binary())})
+
+
+def evidence(documents: DataFrame, known: DataFrame) -> np.ndarray:
+    """Toxic features, from all labelled documents (known: doc_id, y) whatever their number and length.
+
+    Near copies count once: a text counts if it is the first of those with its value of each of its MinHashes. The
+    counts are added up by Spark in a table of fixed size.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    rows = docs.mapInArrow(_hashes, HASHED).where(F.size("h") == HASHES).join(known, "doc_id")
+    texts = rows.groupBy("doc_id", "version").agg(F.max("y").alias("y"), F.count("*").alias("copies"), F.first("h").alias("h"))
+    own = texts.select(F.struct("doc_id", "version", "y", "copies").alias("who"), F.posexplode("h").alias("k", "v"))
+    firsts = own.groupBy("k", "v").agg(F.min("who").alias("who")).groupBy("who").agg(F.count("*").alias("n"))
+    fresh = saved(firsts.where(F.col("n") == HASHES).select("who.*"), "toxic-fresh")
+    n = class_counts(fresh)
+    counts, kind = np.zeros(((1 << BITS) // BLOCK, 2, BLOCK)), "block int, data binary"
+    marks = marked(fresh.select("doc_id"))
+
+    def among_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(among(marks.value, batch.column(0).to_numpy())))
+
+    with saving(documents.sparkSession):
+        # few unlabelled texts move; the hint keeps one plan at every size, as labels are not bounded
+        likely = docs.where(F.col("doc_id").isNotNull()).mapInArrow(among_them, docs.schema)
+        labelled = likely.join(fresh.hint("merge"), ["doc_id", "version"]).select("y", "copies", "text")
+        found = labelled.mapInArrow(_count, kind).repartition("block").mapInArrow(_sum, kind).collect()
+    marks.destroy()
+    for r in found:
+        counts[r.block] = np.frombuffer(r.data).reshape(2, BLOCK)
+    good, bad = counts.swapaxes(0, 1).reshape(2, -1)
+    return toxic_places(bad, good, n.get(1, 0), n.get(0, 0))
 
 
 def least_hashes(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, ...]]:
@@ -218,26 +299,29 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
 class Model:
     crf: CRF
     head: np.ndarray
+    toxic: np.ndarray
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, Words]:
         """(score of each text, marginal of each word, the words)."""
         low = ascii_lower(data)
         w = words(low, offsets, hashed=False)
-        p = self.crf.marginals(features(low, w), chains(low, w)) if len(w.start) else np.zeros(0)
+        p = self.crf.marginals(flagged(features(low, w), self.toxic), chains(low, w)) if len(w.start) else np.zeros(0)
         z = summary(p, w.row, len(offsets) - 1) @ self.head
         return 1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT))), p, w
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Trains on a bounded sample of the labelled documents outside the held-out fold (see sample)."""
+    """Finds toxic features in all labelled documents outside the held-out fold, and trains on a bounded sample of them."""
     known = binary_labels(labels, "toxic", FOLDS, HELD_OUT).withColumn("y", (F.col("y") > 0).cast("int"))
     counts = class_counts(known)
     rows = sample(documents, known, sorted(counts), PER_CLASS)
     if len({y for _, y in rows}) < 2:
         prior = np.clip(np.mean([y for _, y in rows] or [0.0]), 1e-3, 1 - 1e-3)
-        return Model(CRF(np.zeros(1 << BITS), np.zeros((2, 2)), -2.0), np.array([np.log(prior / (1 - prior)), 0, 0]))
+        return Model(CRF(np.zeros(PLACES), np.zeros((2, 2)), -2.0), np.array([np.log(prior / (1 - prior)), 0, 0]), np.zeros(1 << BITS, bool))
     y = np.array([v for _, v in rows])
+    toxic = evidence(documents, known)
     places, chain, row, fresh = prepared([t for t, _ in rows])
+    places = flagged(places, toxic)
     keep = fresh[row]
     label = np.zeros(len(row), np.int8)
     label[keep] = word_labels(places[keep], row[keep], np.where(fresh, y, -1))
@@ -250,7 +334,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     weight = np.array([counts[v] / taken[v] for v in y])
     rest = third & fresh if len(set(y[third & fresh])) == 2 else np.ones(len(y), bool)
     weight = weight[rest] * rest.sum() / weight[rest].sum()
-    return Model(crf, logistic(x[rest], y[rest].astype(float), weight, ridge=0.1))
+    return Model(crf, logistic(x[rest], y[rest].astype(float), weight, ridge=0.1), toxic)
 
 
 def _spans(p: np.ndarray, w: Words, data: np.ndarray, texts: int, offsets: np.ndarray) -> pa.Array:

@@ -54,6 +54,27 @@ def test_toxicity(spark, tables):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in rows)
 
 
+def test_rare_toxic_words(spark, monkeypatch):
+    """Toxic words that under 1.2% of the toxic documents have each, and one or two texts of the sample or none."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", {0: 250, 1: 150})
+    rng = random.Random(12)
+    stem = [a + b for a in ("than", "onde", "ingl", "erti", "ouvi", "ment", "caru", "elle") for b in ("ra", "so", "ti", "mu", "ke", "vo")]
+    rare = ["".join(rng.sample("bcdfghjklmnpqrstvwxz", 9)) for _ in range(90)]
+    docs, labels = [], []
+    for i in range(3000):
+        w = [rng.choice(stem) + rng.choice(stem) for _ in range(rng.randrange(15, 40))]
+        toxic = int(i % 3 == 0)
+        if toxic:
+            w[rng.randrange(len(w))] = rare[i // 3 % 90]
+        docs.append((i, " ".join(w), "xx", "s", 0, "", "", ""))
+        labels.append((i, 1, toxic, ""))
+    docs, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    rows = toxicity.scored(docs, toxicity.fit(docs, labels)).collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([r.predicted for r in held if r.doc_id % 3 == 0]) > 0.9
+    assert np.mean([r.predicted for r in held if r.doc_id % 3]) < 0.05
+
+
 def _saved(spark, labels):
     import tempfile
 
