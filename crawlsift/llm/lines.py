@@ -48,6 +48,11 @@ class Rule:
         return n - F.ceil(n * F.lit(2 * self.threshold / (1 + self.threshold)) - 1e-9) + 1
 
 
+#: The operator's rule: all lines with a word take part. Sets of up to three words are similar to equal ones only, which
+#: grouping finds, so they have no prefix.
+EVERY = Rule(min_words=1)
+
+
 def rarity_class(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, (8 * np.log2(counts + 1.0)).astype(np.int64)).astype(np.uint8)
 
@@ -60,7 +65,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNT_BITS, np.uint16)
     for batch in batches:
         for _, _, data, offsets in steps(batch.column(0)):
-            places = np.sort(_place(words(data, offsets).hash).astype(np.uint32))
+            places = np.sort(_place(words(data, offsets, split=True).hash).astype(np.uint32))
             first = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else places
             at = places[first]
             counts[at] = np.minimum(counts[at] + np.diff(np.append(first, len(places))), 65535)
@@ -111,7 +116,7 @@ class Lines:
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray | None, min_words: int) -> Iterator[Lines]:
     """The lines of min_words words or more. Without classes all tokens count as equally rare."""
-    w = words(data, offsets)
+    w = words(data, offsets, split=True)
     if not len(w.start):
         return
     newlines = np.flatnonzero(data == 10)
@@ -156,6 +161,7 @@ def _lines(rule: Rule, shared: Broadcast) -> Callable:
                     bit = np.uint64(1) << (x.token & np.uint64(63))
                     half = x.token & np.uint64(64) > 0
                     parity, parity2 = (np.bitwise_xor.reduceat(np.where(half == h, bit, np.uint64(0)), x.first).view(np.int64) for h in (False, True))
+                    parity[length == 0] = parity2[length == 0] = 0  # no filter asks for them
                     prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), (x.token[taken] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     at = pa.array(x.row + a)
                     yield pa.RecordBatch.from_arrays([ids.take(at), versions.take(at), pa.array(x.number.astype(np.int32)), pa.array(n.astype(np.int32)), *map(pa.array, x.keys()), pa.array(parity), pa.array(parity2), pa.array(rare), prefix], [c.split()[0] for c in LINES.split(", ")])
@@ -224,7 +230,7 @@ def duplicate_lines(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, version, lines, removed) of each distinct pair of doc_id and text with a line long enough to compare.
 
     version is xxhash64(text); lines counts lines of rule.min_words words or more, removed lists (from 0) those
-    whose set of words (ASCII letters in lower case) is similar to that of an earlier line: one of a smaller doc_id
+    whose set of words (ASCII letters in lower case; each character of scripts without spaces) is similar to that of an earlier line: one of a smaller doc_id
     (null first), then version, then line number. Lines removed still count as earlier. Equal sets are found by
     grouping, so a line that very many documents share is one row of the join.
     """
@@ -278,7 +284,7 @@ def duplicate_lines(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Per document: how many of its lines were compared, and which are removed. Texts of one doc_id make a row each."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = duplicate_lines(documents)
+    found = duplicate_lines(documents, EVERY)
     keys = documents.select("doc_id", F.xxhash64("text").alias("version"))
     of = found.select(F.col("doc_id").alias("of"), F.col("version").alias("of_version"), "lines", "removed")
     rows = keys.join(of, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version")), "left")
@@ -297,9 +303,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts, and texts without copied lines, stay as they are.
     """
-    found = saved(duplicate_lines(docs).where(F.size("removed") > 0), "line-removed")
+    found = saved(duplicate_lines(docs, EVERY).where(F.size("removed") > 0), "line-removed")
     of = found.select(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version"), "removed")
     joined = docs.alias("d").join(of, F.col("d.doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("d.text") == F.col("of_version")), "left")
     text = F.when(F.col("removed").isNull(), F.col("d.text")).otherwise(without_lines(F.col("d.text"), F.col("removed")))
-    gone = F.col("removed").isNotNull() & (F.trim(text) == "")
+    gone = F.col("removed").isNotNull() & ~text.rlike(r"\S")
     return joined.where(~gone).select(*(text.alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns))

@@ -1,6 +1,7 @@
 """Words of many texts at once, in numpy over Arrow's string buffers.
 
 A word is a run of ASCII letters and digits and of all non-ASCII characters; every other ASCII character separates.
+Where asked for, each character of a script that is written without spaces is a word of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tr
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
+#: Bounds of the scripts written without spaces: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese (but not Korean).
+_UNSPACED = np.array([0x0E00, 0x1000, 0x1000, 0x10A0, 0x1780, 0x1800, 0x2E80, 0x3130, 0x3190, 0xA000, 0xAA60, 0xAA80, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x20000, 0x40000])
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
@@ -90,8 +93,22 @@ class Words:
     hash: np.ndarray
 
 
-def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
-    """Bounds, text number and 64-bit hash of each word, in order."""
+def unspaced(data: np.ndarray) -> np.ndarray:
+    """Where characters of scripts without spaces begin and end."""
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return at
+    lead = data[at].astype(np.int64)
+    size = np.where(lead >= 0xF0, 4, 3)
+    byte = lambda k: data[np.minimum(at + k, len(data) - 1)].astype(np.int64) & 63
+    code = (lead & 15) << 12 | byte(1) << 6 | byte(2)
+    code = np.where(size == 4, (lead & 7) << 18 | byte(1) << 12 | byte(2) << 6 | byte(3), code)
+    hit = np.searchsorted(_UNSPACED, code, "right") % 2 == 1
+    return np.concatenate([at[hit], (at + size)[hit]])
+
+
+def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True, split: bool = False) -> Words:
+    """Bounds, text number and 64-bit hash of each word, in order; split: see unspaced."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -100,7 +117,8 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True) -> Words:
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = _ALNUM[data]
     bounds = np.flatnonzero(inside[1:] != inside[:-1])
-    edges = offsets[(offsets > 0) & (offsets < n)]
+    edges = np.concatenate([offsets, unspaced(data)]) if split else offsets
+    edges = edges[(edges > 0) & (edges < n)]
     cut = np.unique(edges[inside[edges] & inside[edges + 1]])
     if len(cut):
         bounds = np.sort(np.concatenate([bounds, cut, cut]))

@@ -64,3 +64,21 @@ def test_stage(spark):
     assert got.columns == frame.columns
     assert sorted(((r.doc_id or -1), r.text) for r in got.collect() if r.text is not None) == [(-1, "q r s t u"), (1, "a b c d e\nkept"), (2, "other"), (5, ""), (6, "x"), (7, "more"), (8, "same of this very text"), (8, "same of this very text")]
     assert lines.stage(spark, frame.limit(0), "").count() == 0
+
+
+def test_short_lines(spark, tmp_path):
+    docs = [(1, "All rights reserved.\nOne\none two three four"), (2, "all rights  reserved\nnew"), (3, "ONE!\n\n"), (4, "one two three four five"), (5, "one two three six"), (6, "---"), (7, "---")]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], SCHEMA)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: (r.n_lines, r.removed) for r in lines.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {1: (3, []), 2: (2, [0]), 3: (1, [0]), 4: (1, [0]), 5: (1, []), 6: (0, []), 7: (0, [])}
+    # of text 3 only line feeds are left
+    assert sorted((r.doc_id, r.text) for r in lines.stage(spark, frame, "").collect()) == [(1, docs[0][1]), (2, "new"), (5, "one two three six"), (6, "---"), (7, "---")]
+
+
+def test_scripts_without_spaces(spark):
+    chinese, thai, korean = "敏捷的棕色狐狸跳过了懒狗然后回家", "สุนัขจิ้งจอกสีน้ำตาลกระโดด", "빠른갈색여우가게으른개를뛰어넘는다"
+    docs = [(1, chinese), (2, chinese[:-1] + "去"), (3, "𠀀" + thai), (4, thai + "นะ"), (5, korean), (6, korean + "요"), (7, "漢字 " + chinese[:4])]
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], SCHEMA)
+    found = {r.doc_id: r.removed for r in lines.duplicate_lines(frame, lines.EVERY).collect()}
+    assert found == {1: [], 2: [0], 3: [], 4: [0], 5: [], 6: [], 7: []}
