@@ -23,7 +23,7 @@ LINKS = "doc_id long, links long, root long"
 
 @dataclass(frozen=True)
 class Forest:
-    """trees sorted prefix tries, each over depth MinHash values."""
+    """trees sorted prefix tries, each over depth MinHash values. recall: chance by which any one similar pair is found."""
 
     words: int = 5
     threshold: float = 0.8
@@ -36,6 +36,16 @@ class Forest:
         """Chance that a pair of this similarity shares a prefix of `depth` values in some tree."""
         return 1 - (1 - similarity**depth) ** self.trees
 
+    def prefix(self) -> int:
+        """The longest prefix that finds a pair just at the threshold, the hardest one, with the chance asked for.
+
+        Pairs of more similarity are found with a higher chance, so no mix of pairs in the data can lower it.
+        """
+        enough = [d for d in range(1, self.depth + 1) if self.found(self.threshold, d) >= self.recall]
+        if not enough:
+            raise ValueError(f"{self.trees} trees cannot find pairs at {self.threshold} with a chance of {self.recall}")
+        return enough[-1]
+
 
 def distinct_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle hashes without repeats within a text, first of each text that has any, those texts' numbers)."""
@@ -154,18 +164,6 @@ def _runs(reps: DataFrame, f: Forest, depth: int) -> DataFrame:
     return saved(keyed.join(heads, "run").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "near-edges")
 
 
-def _recall(edges: DataFrame, reps: DataFrame, f: Forest, depth: int) -> float:
-    """Share of near pairs that prefixes of this length find, each pair found standing for 1 / its chance of it."""
-    values = lambda c: F.transform(F.sequence(F.lit(0), F.lit(f.trees * f.depth - 1)), lambda k: F.substring(c, k * 4 + 1, 4))
-    of = lambda c: reps.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}"))
-    both = edges.join(of("a"), "a").join(of("b"), "b")
-    alike = F.aggregate(F.zip_with(values(F.col("sa")), values(F.col("sb")), lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x) / (f.trees * f.depth)
-    near = both.select(alike.alias("s")).where(F.col("s") >= f.threshold)
-    found = 1 - F.pow(1 - F.pow(F.col("s"), depth), F.lit(f.trees))
-    row = near.agg(F.count("*"), F.sum(1 / found)).first()
-    return row[0] / row[1] if row[0] else 1.0
-
-
 def near_duplicates(documents: DataFrame, f: Forest = Forest()) -> DataFrame:
     """doc_id, class_id, n_links of each document: one row a row of documents that has a doc_id.
 
@@ -174,19 +172,15 @@ def near_duplicates(documents: DataFrame, f: Forest = Forest()) -> DataFrame:
     least doc_id as class_id; n_links counts a document's links, copies included. A text without words, empty or
     null has no links and is its own class. Texts that share a doc_id share a class.
 
-    Equal sets are one candidate, whatever their number. The forest's matches, shortened until the recall asked for
-    is reached, only bound the groups; within a group all pairs are compared exactly, part by part, and a task
+    Equal sets are one candidate, whatever their number. The forest's matches, by prefixes short enough for the recall
+    asked for at the threshold itself, only bound the groups; within a group all pairs are compared exactly, part by part, and a task
     gives counts and roots but no pairs.
     """
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     signed = saved(docs.mapInArrow(_sign(f), SIGNED), "near-signed")
     reps = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     reps = saved(reps, "near-reps")
-    for depth in range(f.depth, 0, -1):
-        edges = _runs(reps, f, depth)
-        if _recall(edges, reps, f, depth) >= f.recall:
-            break
-    groups = saved(components(edges), "near-groups")
+    groups = saved(components(_runs(reps, f, f.prefix())), "near-groups")
     parts = saved(groups.groupBy("root").agg(F.ceil(F.count("*") / f.chunk).cast("int").alias("parts")), "near-parts")
     placed = groups.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     members = placed.join(reps.select(F.col("doc_id").alias("id"), "copies", "k1", "k2"), "id")

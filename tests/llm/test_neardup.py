@@ -3,6 +3,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from crawlsift.llm import neardup
 from crawlsift.llm.components import components
 
@@ -64,6 +68,27 @@ def test_against_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(heads)
 
 
+def test_pair_at_the_threshold_beside_a_large_group(spark):
+    f = neardup.Forest()
+    assert f.found(f.threshold, f.prefix()) >= f.recall
+    with pytest.raises(ValueError):
+        neardup.Forest(trees=1).prefix()
+    # pairs of 40 shingles each with 36 in both (36 / 44 = 0.82), of which the longest prefixes miss a few
+    pairs = [([f"p{i}x{j}" for j in range(44)], [f"p{i}x{j}" if j < 40 else f"p{i}y{j}" for j in range(44)]) for i in range(3000)]
+    texts = [" ".join(w) for pair in pairs for w in pair]
+    batches = neardup._sign(f)([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])
+    signed = np.concatenate([np.frombuffer(b"".join(b.column(4).to_pylist()), ">u4").reshape(-1, f.trees, f.depth) for b in batches])
+    same = signed[::2] == signed[1::2]
+    shares = lambda depth: same[:, :, :depth].all(axis=2).any(axis=1)
+    hard = np.flatnonzero(~shares(f.depth) & shares(f.prefix()))
+    assert len(hard)
+    docs = [(2 * int(i) + k, " ".join(pairs[i][k])) for i in hard for k in (0, 1)]
+    for i in range(300):  # close copies, found at any depth
+        docs.append((10_000 + i, " ".join("z" if j == i else f"k{j}" for j in range(400))))
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], SCHEMA)
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.near_duplicates(frame).collect()) == brute(docs)
+
+
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
