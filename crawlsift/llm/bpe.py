@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import duckdb
 import numpy as np
@@ -18,8 +18,13 @@ from pyspark.sql import functions as F
 from crawlsift.llm.words import steps
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Bytes of text that one round of queries covers, words that one query encodes, and words that a worker remembers.
-STEP_BYTES, QUERY_WORDS, CACHE_WORDS = 1_500_000, 25_000, 600_000
+#: Bytes of text that one step encodes, bytes of words that one query contracts, and bytes of words that a worker
+#: remembers. All three bound memory only.
+STEP_BYTES, QUERY_BYTES, CACHE_BYTES = 1 << 20, 160 << 10, 80 << 20
+#: Bytes that a remembered word takes beside its own, about.
+WORD_BYTES = 200
+#: Longer words are contracted in pieces of so many bytes, whose seams are then contracted anew over so many tokens.
+PIECE, SEAM = 64, 8
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 #: Each round unrolls every word to its token positions, joins neighbours with the merge table and contracts the
@@ -60,64 +65,164 @@ class Tokenizer:
                 if left is not None and right is not None:
                     pairs.append(left * 65536 + right)
                     ids.append(rank)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         merges = pa.table({"pair": pa.array(pairs, pa.int64()), "id": pa.array(ids, pa.int64())})  # noqa: F841
         vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.decimal = {r: str(r) for r in self.ranks.values()}
+        self.bytes = {r: t for t, r in self.ranks.items()}
         self.split = regex.compile(pattern())
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.first, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.forget()
+
+    def forget(self, kept: np.ndarray | None = None) -> None:
+        """Drops all words but those with the numbers in kept."""
+        kept = np.zeros(0, np.int64) if kept is None else np.sort(kept)
+        words = np.array(list(self.known), object)[kept] if len(kept) else []
+        count = np.diff(self.first)[kept] if len(kept) else kept
+        places = np.repeat(self.first[kept] - np.cumsum(count) + count, count) + np.arange(count.sum()) if len(kept) else kept
+        self.flat = self.flat[places] if len(kept) else np.zeros(0, np.int32)
+        self.known = {w: i for i, w in enumerate(words)}
+        self.first = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        self.uses = np.zeros(len(kept), np.int64)
+        self.held = sum(map(len, self.known)) + WORD_BYTES * len(self.known)
+
+    def make_room(self) -> None:
+        """Beyond CACHE_BYTES, only the words that were used most since the last time are remembered, a third of them."""
+        if self.held > CACHE_BYTES:
+            self.forget(np.argsort(-self.uses, kind="stable")[: len(self.known) // 3])
+        if self.held > CACHE_BYTES:  # very long words
+            self.forget()
+
+    def contract(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens of each word, all tokens in a row), from the recursive query."""
+        upto = np.cumsum([len(w) for w in raw])
+        counts, tokens, at = [], [], 0
+        while at < len(raw):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + QUERY_BYTES, "right")))
+            data = np.frombuffer(b"".join(raw[at:end]), np.uint8)
+            number = np.repeat(np.arange(end - at, dtype=np.int32), [len(w) for w in raw[at:end]])
+            start = pa.table({"w": number, "pos": np.arange(len(data), dtype=np.int64), "tok": self.byte[data]})
+            self.db.register("start", start)
+            lists = self.db.sql(ENCODE).to_arrow_table().column("tokens").combine_chunks()
+            self.db.unregister("start")
+            counts.append(lists.value_lengths().to_numpy())
+            tokens.append(lists.flatten().to_numpy())
+            at = end
+        return np.concatenate(counts).astype(np.int64), np.concatenate(tokens).astype(np.int32)
+
+    def contract_lists(self, raw: list[bytes]) -> list[list[int]]:
+        if not raw:
+            return []
+        counts, tokens = self.contract(raw)
+        return [x.tolist() for x in np.split(tokens, np.cumsum(counts)[:-1])]
+
+    def contract_long(self, raw: list[bytes]) -> list[list[int]]:
+        """Tokens of words of any length, in a time that grows with the length and its logarithm.
+
+        A sequence of tokens is a text's encoding if and only if each two neighbours are the encoding of their own
+        bytes: the first merge across a boundary in the whole text would be the first one across it in those two
+        tokens as well. So pieces are contracted apart, and at a seam the last tokens of one and the first of the
+        next are contracted together; where that gives a token that the piece has too, at the same place, the rest
+        of the piece stands. Where it gives none, more tokens are taken, all of both pieces in the end.
+        """
+        parts = [[w[i : i + PIECE] for i in range(0, len(w), PIECE)] for w in raw]
+        flat = iter(self.contract_lists([p for w in parts for p in w]))
+        lists = [[next(flat) for _ in w] for w in parts]
+        while any(len(x) > 1 for x in lists):
+            seams = [(i, j) for i, x in enumerate(lists) for j in range(0, len(x) - 1, 2)]
+            span = dict.fromkeys(seams, SEAM)
+            while span:
+                windows = [(lists[i][j][-m:], lists[i][j + 1][:m]) for (i, j), m in span.items()]
+                found = self.contract_lists([b"".join(self.bytes[t] for t in [*a, *b]) for a, b in windows])
+                for ((i, j), m), (a, b), between in zip(list(span.items()), windows, found, strict=True):
+                    left, right = lists[i][j], lists[i][j + 1]
+                    head = 0 if len(a) == len(left) else self._shared(a, between)
+                    tail = 0 if len(b) == len(right) else self._shared(b[::-1], between[::-1])
+                    if head is None or tail is None:
+                        span[i, j] = 4 * m
+                        continue
+                    del span[i, j]
+                    lists[i][j] = self._joined(left, a, right, b, between, head, tail)
+                    lists[i][j + 1] = []
+            lists = [[p for p in x if p] for x in lists]
+        return [x[0] if x else [] for x in lists]
+
+    def _shared(self, own: list[int], window: list[int]) -> int | None:
+        """Bytes from the start to the end of the last token that both sequences have at the same place, else None.
+
+        Only places inside own count: window goes on beyond it.
+        """
+        ends, at = {}, 0
+        for t in own:
+            at += len(self.bytes[t])
+            ends[at] = t
+        total, at, last = at, 0, None
+        for t in window:
+            at += len(self.bytes[t])
+            if at > total:
+                break
+            if ends.get(at) == t:
+                last = at
+        return last
+
+    def _joined(self, left: list[int], a: list[int], right: list[int], b: list[int], between: list[int], head: int, tail: int) -> list[int]:
+        """left as far as the token that ends head bytes into a, between's middle, right from its mirror image on."""
+
+        def upto(tokens: list[int], size: int) -> int:
+            n = 0
+            while size > 0:
+                size -= len(self.bytes[tokens[n]])
+                n += 1
+            return n
+
+        first, last = upto(between, head), len(between) - upto(between[::-1], tail)
+        return left[: len(left) - len(a)] + a[: upto(a, head)] + between[first:last] + b[len(b) - upto(b[::-1], tail) :] + right[len(b) :]
 
     def learn(self, found: set[str]) -> None:
         """Encodes words that are not known yet."""
         new = list(found)
-        for at in range(0, len(new), QUERY_WORDS):
-            self._learn(new[at : at + QUERY_WORDS])
-
-    def _learn(self, new: list[str]) -> None:
         raw = [w.encode() for w in new]
         whole = np.array([self.ranks.get(w, -1) for w in raw], np.int64)
-        lengths = np.array([len(w) for w in raw])
-        number = np.repeat(np.arange(len(new), dtype=np.int32), np.where(whole < 0, lengths, 0))
-        data = np.frombuffer(b"".join(w for w, i in zip(raw, whole.tolist(), strict=True) if i < 0), np.uint8)
-        start = pa.table({"w": number, "pos": np.arange(len(data), dtype=np.int64), "tok": self.byte[data]})
-        counts, tokens = (whole >= 0).astype(np.int64), whole[whole >= 0].astype(np.int32)
-        if len(data):
-            self.db.register("start", start)
-            found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
-            self.db.unregister("start")
-            lists = found.column("tokens").combine_chunks()
-            counts[found.column("w").to_numpy()] = lists.value_lengths().to_numpy()
-            tokens = np.concatenate([lists.flatten().to_numpy(), tokens]).astype(np.int32)
-            words = np.concatenate([np.repeat(found.column("w").to_numpy(), lists.value_lengths().to_numpy()), np.flatnonzero(whole >= 0)])
-            tokens = tokens[np.argsort(words, kind="stable")]
+        length = np.array([len(w) for w in raw])
+        groups = [np.flatnonzero(whole >= 0), np.flatnonzero((whole < 0) & (length <= PIECE)), np.flatnonzero((whole < 0) & (length > PIECE))]
+        counts, tokens = np.ones(len(new), np.int64), [whole[groups[0]]]
+        if len(groups[1]):
+            counts[groups[1]], short = self.contract([raw[i] for i in groups[1]])
+            tokens.append(short)
+        if len(groups[2]):
+            long = self.contract_long([raw[i] for i in groups[2]])
+            counts[groups[2]] = [len(x) for x in long]
+            tokens += long
+        order = np.concatenate(groups)
+        tokens = np.concatenate([np.asarray(t, np.int32) for t in tokens])[np.argsort(np.repeat(order, counts[order]), kind="stable")]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         self.flat = np.concatenate([self.flat, tokens])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        self.held += int(length.sum() + 4 * counts.sum()) + WORD_BYTES * len(new)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, where each text's begin and the last's end)."""
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
-        split = [self.split.findall(t) for t in texts]
-        flat = list(chain.from_iterable(split))
+        self.make_room()
+        flat, upto = [], [0]
+        for t in texts:
+            flat += self.split.findall(t)
+            upto.append(len(flat))
         words = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         missing = np.flatnonzero(words < 0)
         if len(missing):
             new = [flat[i] for i in missing.tolist()]
             self.learn(set(new))
             words[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.uses += np.bincount(words, minlength=len(self.uses))
         begin, count = self.first[words], self.first[words + 1] - self.first[words]
         ends = np.cumsum(count)
         ids = self.flat[np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.concatenate([[0], np.cumsum([len(x) for x in split])])
-        return ids, np.concatenate([[0], ends])[upto]
+        return ids, np.concatenate([[0], ends])[np.array(upto)]
 
     def decoded_sha256(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """SHA-256 of each text's bytes, put together from its ids by an ordered aggregation."""
@@ -151,12 +256,15 @@ def encoded(documents: DataFrame, rank_path: str = RANKS, with_ids: bool = False
     """n_tokens, ids_sha256 and decoded_sha256 of each whole text beside all columns of documents but text.
 
     with_ids adds ids (array<int>). A null text is an empty one: no tokens, the digests of nothing. Extra columns
-    pass through. Texts are not shuffled; a task holds one Arrow batch and about STEP_BYTES of text in queries.
+    pass through, but for those that have a result's name: the result takes their place. Repeated rows give a row
+    each; no rows give none. Texts are not shuffled; a task holds one Arrow batch and about STEP_BYTES of text in
+    queries, however long a text or a word of it is.
     """
     with open(rank_path, "rb") as f:
         ranks = documents.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in documents.columns if c != "text"]
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name != "text"), RESULT, *["ids array<int>"] * with_ids])
+    made = {"text", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids}
+    kept = [c for c in documents.columns if c not in made]
+    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in kept), RESULT, *["ids array<int>"] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(ranks.value)

@@ -3,14 +3,13 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import tiktoken
 
 from crawlsift.llm import bpe
 
-SCHEMA = "doc_id long, text string, n_tokens string"
-
 
 def reference():
     with open(bpe.RANKS, "rb") as f:
@@ -35,5 +34,38 @@ def test_as_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_long_words_in_about_linear_time():
+    """Unbroken letters, one word each: random ones, repeats, and scripts of several bytes a letter."""
+    rng, enc = random.Random(6), reference()
+    with open(bpe.RANKS, "rb") as f:
+        tok = bpe.Tokenizer(f.read())
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = [letters(n, "abcdefghijklmnopqrstuvwxyz") for n in (64, 65, 66, 129, 1000, 1_000_000)]
+    texts += ["a" * n for n in (64, 65, 127, 40_000)] + ["ab" * 20_000, letters(20_000, "ab"), letters(20_000, "漢字語文ßé"), "thering" * 3000]
+    for text in texts:
+        began = time.process_time()
+        assert tok.encode([text])[0].tolist() == enc.encode_ordinary(text), text[:20]
+        assert time.process_time() - began < 60
+
+
+def test_forgetting_changes_no_result(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    rng, enc = random.Random(7), reference()
+    with open(bpe.RANKS, "rb") as f:
+        tok = bpe.Tokenizer(f.read())
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 7))) for _ in range(60)) for _ in range(3)] + ["x" * rng.randrange(200)]
+        ids, bounds = tok.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [enc.encode_ordinary(t) for t in texts]
+    tok.make_room()
+    assert tok.held <= bpe.CACHE_BYTES
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", 3), (None, None, None, None)], "doc_id long, text string, n_tokens string, ids int")
+    rows = {r.doc_id: r for r in bpe.encoded(docs, with_ids=True).collect()}
+    assert rows[1].n_tokens == 2 == len(rows[1].ids) and rows[None].n_tokens == 0
+
+
 def test_empty_table(spark):
     assert bpe.encoded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
