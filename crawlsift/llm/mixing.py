@@ -12,18 +12,24 @@ from crawlsift.llm.storage import saved
 
 #: A word, for sizes: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-NEWTON_STEPS = 60
+#: Newton's method ends when every source's words are within TOLERANCE of its target (relative), after NEWTON_STEPS at most.
+NEWTON_STEPS, TOLERANCE, LARGEST_STEP = 60, 1e-9, 2.0
 
 
 def numbered_sources(sizes: DataFrame) -> DataFrame:
     """(source, source_size, n) for each source, n from 0 by code point, null last.
 
-    Sorted by range over partitions; only the partitions' counts meet in one place.
+    Ranges of sources are numbered apart; what lies before a range comes from the ranges' counts, a row a partition.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    kind = f"source {by_source.schema['source'].dataType.simpleString()}, source_size long, n long"
-    ordered = by_source.orderBy(F.col("source").asc_nulls_last())
-    return saved(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(kind), "mix-sources")
+    ranged = by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    ranged = saved(ranged, "mix-ranges")
+    counts = ranged.groupBy("part").agg(F.count("*").alias("rows"))
+    before = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    numbered = ranged.withColumn("place", place).join(starts, "part").select("source", "source_size", (F.col("before") + F.col("place") - 1).alias("n"))
+    return saved(numbered, "mix-sources")
 
 
 def with_targets(sources: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
@@ -46,19 +52,37 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...], most: float) ->
     return sources.withColumn("target", F.least(F.col("bound"), F.col("weight") * F.lit(0.0 if math.isinf(level) else level)))
 
 
-def with_rates(targets: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
+def balanced(targets: DataFrame, statistics: DataFrame, most: int, tolerance: float = TOLERANCE, steps: int = NEWTON_STEPS) -> DataFrame:
     """Adds rate, the expected copies of a source's documents.
 
-    Entropy balancing over the words: the mix m nearest to the present words (in relative entropy) that meets each
-    source's target is m = size * exp(tilt). The dual, sum of size * exp(tilt) - target * tilt, is convex; its
-    Hessian is diagonal, as a document belongs to one source, so each source's tilt takes its own Newton steps,
-    all sources in parallel. A source's words are its documents' sufficient statistic.
+    Entropy balancing: of all mixes m that meet each source's target, the one nearest to the present words in relative
+    entropy, with m at most `most` times a document's size, is m = size * min(most, exp(tilt of its source)). The tilts
+    solve the convex dual, the sum of m less target * tilt. Each iteration adds up gradient and Hessian over the
+    documents' statistics (n, size, docs: how many documents of a source have a size) and takes a damped Newton step;
+    the Hessian is diagonal, as a document belongs to one source. The driver holds two numbers an iteration: the
+    largest error left and the number of sources still moving.
     """
-    ratio = F.col("target") / F.col("source_size")
-    step = lambda tilt, _: tilt + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.col("ratio") * F.exp(-tilt) - 1.0))
-    tilt = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step)
-    solved = targets.withColumn("ratio", F.when((F.col("source_size") > 0) & (F.col("target") > 0), ratio))
-    return solved.withColumn("rate", F.when(F.col("ratio").isNotNull(), F.exp(tilt)).otherwise(F.lit(0.0))).drop("ratio")
+    wanted = (F.col("source_size") > 0) & (F.col("target") > 0)
+    solved = saved(targets.withColumn("tilt", F.when(wanted, F.lit(0.0))), "mix-tilts")
+    for _ in range(steps):
+        at = statistics.join(solved.where(F.col("tilt").isNotNull()).select("n", "tilt"), "n")
+        words = F.col("size") * F.col("docs")
+        free = F.exp("tilt") < most
+        sums = at.groupBy("n").agg(
+            F.sum(words * F.least(F.lit(float(most)), F.exp("tilt"))).alias("taken"),
+            # at the bound the curvature is that of the bound itself, so that a step back is finite
+            F.sum(words * F.when(free, F.exp("tilt")).otherwise(F.lit(float(most)))).alias("curve"),
+        )
+        error = F.col("target") - F.col("taken")
+        step = F.greatest(F.lit(-LARGEST_STEP), F.least(F.lit(LARGEST_STEP), F.try_divide(error, F.col("curve"))))
+        both = solved.join(sums, "n", "left").withColumn("error", F.when(F.col("tilt").isNotNull(), F.try_divide(F.abs(error), F.col("target"))))
+        moved = both.withColumn("tilt", F.when(F.col("error") <= tolerance, F.col("tilt")).when(F.col("tilt").isNotNull(), F.least(F.lit(math.log(most)), F.col("tilt") + step)))
+        moved = saved(moved.drop("taken", "curve"), "mix-tilts")
+        left = moved.agg(F.max("error")).first()[0]
+        solved = moved.drop("error")
+        if left is None or left <= tolerance:
+            break
+    return solved.withColumn("rate", F.coalesce(F.exp("tilt"), F.lit(0.0))).drop("tilt")
 
 
 def _walk(most: int):
@@ -110,8 +134,12 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sizes = saved(documents.select("doc_id", "source", size.alias("size")), "mix-sizes")
-    rates = saved(with_rates(with_targets(numbered_sources(sizes), weights, most)), "mix-rates")
-    known = rates.select(F.col("source").alias("of"), "n", "source_size", "target", "rate")
+    targets = with_targets(numbered_sources(sizes), weights, most)
+    numbers = targets.select(F.col("source").alias("of"), "n")
+    counts = sizes.groupBy("source", "size").agg(F.count("*").alias("docs"))
+    statistics = saved(counts.join(numbers, F.col("source").eqNullSafe(F.col("of"))).select("n", "size", "docs"), "mix-statistics")
+    rates = balanced(targets, statistics, most)
+    known = saved(rates.select(F.col("source").alias("of"), "n", "source_size", "target", "rate"), "mix-rates")
     docs = saved(sizes.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "mix-docs")
     return with_copies(docs, most).withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -122,12 +150,18 @@ def op7_entropy_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, with the columns of docs."""
-    key = F.struct("doc_id", F.xxhash64("text", "source").alias("text_hash"))
-    # rows that agree in doc_id and text share what the mix takes of them
-    taken = mix(docs.withColumn("doc_id", key)).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    taken = taken.select("doc_id.*", (F.col("copies") / F.col("rows")).alias("each"))
-    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text", "source").alias("hash"))
-    joined = keyed.join(taken, keyed["id"].eqNullSafe(taken["doc_id"]) & (F.col("hash") == F.col("text_hash")))
-    times = F.ceil("each").cast("int")
-    return joined.where(times > 0).select("doc", F.explode(F.array_repeat(F.lit(0), times))).select("doc.*")
+    """Each document as often as the mix takes it, with the columns of docs.
+
+    Rows that agree in every column are one document that the mix takes as often as all of them together.
+    """
+    whole = F.struct(*docs.columns)
+    key = F.struct("doc_id", F.xxhash64(F.to_json(whole)).alias("h1"), F.xxhash64(F.lit(1), F.to_json(whole)).alias("h2"))
+    taken = mix(docs.withColumn("doc_id", key)).groupBy("doc_id").agg(F.sum("copies").cast("int").alias("copies"), F.count("*").alias("rows"))
+    taken = saved(taken.where(F.col("copies") > 0).select(F.col("doc_id.doc_id").alias("id"), "doc_id.h1", "doc_id.h2", "copies", "rows"), "mix-taken")
+    keyed = docs.select(whole.alias("doc"), key.alias("key")).alias("d")
+    same = F.col("d.key.doc_id").eqNullSafe(F.col("t.id")) & (F.col("d.key.h1") == F.col("t.h1")) & (F.col("d.key.h2") == F.col("t.h2"))
+    once = keyed.join(taken.where(F.col("rows") == 1).alias("t"), same).select("doc", "copies")
+    # equal rows meet in partial aggregates first, so very many of them are few rows of the shuffle
+    more = keyed.join(taken.where(F.col("rows") > 1).alias("t"), same)
+    more = more.groupBy("key").agg(F.first("doc").alias("doc"), F.first("copies").alias("copies")).select("doc", "copies")
+    return once.unionByName(more).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
