@@ -15,8 +15,8 @@ from crawlsift.llm.words import Rolling, ascii_lower, steps, words
 
 FOLDS, HELD_OUT, UNKNOWN = 3, 1, "und"
 BITS, SIZE, LENGTHS = 16, 16, (2, 3, 4)
-#: Training texts of a language. Languages beyond MAX_LANGUAGES, the rarest, are not learned.
-PER_LANGUAGE, MAX_LANGUAGES = 800, 256
+#: Training texts of a language, and of all languages together; every language has one at least. Texts of one step.
+PER_LANGUAGE, ALL_TEXTS, BATCH = 800, 40_000, 16
 
 
 def subwords(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,70 +61,89 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def gradients(embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray, bags: list[np.ndarray], y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(loss, places, gradient of those embeddings, of weights, of bias): cross entropy summed over the texts of a batch.
+
+    A text is the mean of its subwords' embeddings; no bag is empty.
+    """
+    size = np.array([len(b) for b in bags])
+    place, of = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+    first = np.cumsum(size) - size
+    mean = np.add.reduceat(embeddings[place], first, axis=0) / size[:, None]
+    p = softmax(mean @ weights + bias)
+    loss = -np.log(p[np.arange(len(y)), y] + 1e-300).sum()
+    p[np.arange(len(y)), y] -= 1
+    back = (p @ weights.T) / size[:, None]
+    places, inverse = np.unique(place, return_inverse=True)
+    g = np.stack([np.bincount(inverse, back[of, k], len(places)) for k in range(back.shape[1])], axis=1)
+    return loss, places, g, mean.T @ p, p.sum(axis=0)
+
+
 def train(bags: list[np.ndarray], y: np.ndarray, classes: int, rounds: int = 8, rate: float = 4.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(embeddings, weights, bias) by stochastic gradient descent on single texts, the rate falling to zero."""
+    """(embeddings, weights, bias) by stochastic gradient descent on batches of texts, the rate falling to zero."""
     rng = np.random.default_rng(8)
     embeddings = rng.uniform(-1 / SIZE, 1 / SIZE, (1 << BITS, SIZE))
     weights, bias = np.zeros((SIZE, classes)), np.zeros(classes)
-    steps_left = total = rounds * len(bags)
+    full = np.array([i for i, b in enumerate(bags) if len(b)], np.int64)
+    steps_left = total = rounds * max(1, -(-len(full) // BATCH))
     for _ in range(rounds):
-        for i in rng.permutation(len(bags)):
+        for at in range(0, len(full), BATCH):
+            if not at:
+                order = rng.permutation(full)
+            chosen = order[at : at + BATCH]
             lr = rate * steps_left / total
             steps_left -= 1
-            bag = bags[i]
-            if not len(bag):
-                continue
-            mean = embeddings[bag].mean(axis=0)
-            z = mean @ weights + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = weights @ p
-            weights -= lr * 0.1 * np.outer(mean, p)
-            bias -= lr * 0.01 * p
-            np.subtract.at(embeddings, bag, lr * back / len(bag))
+            _, places, g, g_weights, g_bias = gradients(embeddings, weights, bias, [bags[i] for i in chosen], y[chosen])
+            embeddings[places] -= lr * g
+            weights -= lr * 0.1 * g_weights
+            bias -= lr * 0.01 * g_bias
     return embeddings, weights, bias
 
 
+def calibrated(logits: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """(temperature of least cross entropy, the chance that 1% of the answers do not reach)."""
+    grid = np.geomspace(0.05, 20, 60)
+    loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid]
+    temperature = float(grid[int(np.argmin(loss))])
+    return temperature, float(np.quantile(softmax(logits / temperature).max(axis=1), 0.01))
+
+
 def fit(documents: DataFrame) -> Model:
     """Trains on a bounded sample of the documents outside the held-out fold, from text and lang alone.
 
-    A fifth of the sample sets the temperature and the least chance below which an answer counts as rejected: the
-    one that rejects 1% of it. Without any labelled text the model knows no language.
+    Every lang value is learned; an id that occurs repeatedly has its least one. A fifth of the sample sets the
+    temperature and the least chance below which an answer counts as rejected: the one that rejects 1% of it. Null ids,
+    languages and texts teach nothing; without any labelled text the model knows no language.
     """
-    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    known = known.select("doc_id", F.col("lang").alias("y")).dropDuplicates(["doc_id"])
-    top = known.groupBy("y").count().orderBy(F.col("count").desc(), "y").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.y for r in top)
-    rows = sample(documents, known, languages, PER_LANGUAGE)
+    known = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    known = known.groupBy("doc_id").agg(F.min("lang").alias("y"))
+    languages = sorted(r.y for r in known.select("y").distinct().collect())  # as many as the model has outputs
+    rows = sample(documents, known, languages, max(1, min(PER_LANGUAGE, ALL_TEXTS // max(1, len(languages)))))
     if not rows:
-        return Model(languages[:1], np.zeros((1 << BITS, len(languages[:1]))), np.zeros(len(languages[:1])))
+        return Model([], np.zeros((1 << BITS, 0)), np.zeros(0))
     bags: list[np.ndarray] = []
     for _, _, data, offsets in steps(pa.array([t for t, _ in rows], pa.string())):
         row, place = subwords(data, offsets)
         place, row = place[np.argsort(row, kind="stable")], np.sort(row)
         bags += np.split(place, np.searchsorted(row, np.arange(1, len(offsets) - 1)))
-    y = np.array([languages.index(v) for _, v in rows])
+    number = {v: i for i, v in enumerate(languages)}
+    y = np.array([number[v] for _, v in rows])
     test = np.arange(len(rows)) % 5 == 4
     # pieces of texts of varying length, so that short texts are learned too
     rng = np.random.default_rng(9)
     pieces, of = [], []
     for i in np.flatnonzero(~test):
         n = len(bags[i])
-        for size in (n, min(n, 300), min(n, 40)):
+        for size in (min(n, 2000), min(n, 300), min(n, 40)):
             at = rng.integers(0, n - size + 1)
             pieces.append(bags[i][at : at + size])
             of.append(y[i])
     embeddings, weights, bias = train(pieces, np.array(of), len(languages))
     model = Model(languages, (embeddings @ weights).astype(np.float32), bias)
-    if test.any():
-        held = [(bags[i], y[i]) for i in np.flatnonzero(test) if len(bags[i])]
-        logits = np.array([model.table[b].mean(axis=0) + bias for b, _ in held])
-        truth = np.array([v for _, v in held])
-        grid = np.geomspace(0.05, 20, 60)
-        loss = [-np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).mean() for t in grid] if held else [0.0]
-        model.temperature = float(grid[int(np.argmin(loss))]) if held else 1.0
-        model.reject_below = float(np.quantile(softmax(logits / model.temperature).max(axis=1), 0.01)) if held else 0.0
+    held = [i for i in np.flatnonzero(test) if len(bags[i])]
+    if held:
+        logits = np.array([model.table[bags[i]].mean(axis=0) + bias for i in held])
+        model.temperature, model.reject_below = calibrated(logits, y[held])
     return model
 
 
@@ -132,7 +151,8 @@ def predicted(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score and rejected of each whole text.
 
     A text that is null or has no letter is `und` with score 0; any other gets the likeliest learned language, also
-    where the answer is rejected (its chance is below the calibrated bound). No language learned: all are `und`.
+    where the answer is rejected (its chance is below the calibrated bound). No language learned: all are `und`. Each
+    row of documents gives one, repeated rows and rows without a doc_id as well; no rows give none.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

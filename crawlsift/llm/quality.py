@@ -79,6 +79,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
+def forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """factor^-1 b of a lower triangular factor, row by row for all columns of b at once."""
+    z = np.empty_like(b)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class QDA:
     """Of each class 0, 1: mean, Cholesky factor of the shrunk covariance, log-determinant and log-share."""
@@ -91,7 +99,7 @@ class QDA:
         """Chance of class 1: log-densities by Mahalanobis distances through the factors, as a difference."""
         density = []
         for mean, factor, constant in zip(self.means, self.factors, self.constants, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             density.append(constant - 0.5 * (z**2).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(density[0] - density[1], -LIMIT, LIMIT)))
 

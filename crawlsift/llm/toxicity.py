@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,19 +14,22 @@ from pyspark.sql import functions as F
 from crawlsift.llm.marks import among, marked
 from crawlsift.llm.sample import binary_labels, class_counts, fold, sample
 from crawlsift.llm.storage import saved, saving
-from crawlsift.llm.words import Rolling, Words, ascii_lower, shingles, steps, words
+from crawlsift.llm.words import Rolling, Words, ascii_lower, mix, shingles, steps, words
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
 #: Training texts that are not toxic, and that are.
 PER_CLASS = {0: 2500, 1: 1000}
-#: Hashed weights; words of one chain (a line, or so many words of a longer line).
+#: Hashed weights; words of a block. A line is one chain; a longer one goes through the model block by block.
 BITS, CHAIN = 18, 64
+#: Chains without a toxic word that training keeps, whatever the number of texts.
+PLAIN_CHAINS = 12_000
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4, 5)
 RESULT = "score double, predicted int, spans array<struct<start:int,end:int>>"
 LIMIT = 30.0
 #: A toxic feature stands in so many toxic documents at least, has so many times the share of them that it has of the
-#: others, and a likelihood ratio beyond chance. None of the three grows with the corpus.
-LEAST_DOCS, LEAST_TIMES, LEAST_RATIO = 3, 12, 13.0
+#: others, and is one of those of which a part of FALSE_PART at most is expected to be there by chance. None of the
+#: three grows with the corpus.
+LEAST_DOCS, LEAST_TIMES, FALSE_PART = 3, 12, 0.01
 #: Weights: one a feature, then those of words without and with a toxic feature.
 PLACES = (1 << BITS) + 2
 HASHES, HASHED, BLOCK = 3, "doc_id long, version long, h array<long>", 1 << 12
@@ -43,15 +47,16 @@ def features(data: np.ndarray, w: Words) -> np.ndarray:
     return out
 
 
-def chains(data: np.ndarray, w: Words) -> np.ndarray:
-    """Number of each word's chain, rising: a new one at each text, line and CHAIN words."""
+def chains(data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word's block, rising; place of each block in its line): a new one at each text, line and CHAIN words."""
     n = len(w.start)
     lines = np.concatenate([[0], np.cumsum(data == 10)])[w.start]
     new = np.ones(n, bool)
     new[1:] = (w.row[1:] != w.row[:-1]) | (lines[1:] != lines[:-1])
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    new |= (np.arange(n) - first) % CHAIN == 0
-    return np.cumsum(new) - 1
+    within = np.arange(n) - first
+    block = np.cumsum(within % CHAIN == 0) - 1
+    return block, (within[within % CHAIN == 0] // CHAIN)
 
 
 @dataclass
@@ -67,33 +72,41 @@ class CRF:
         length = np.bincount(chain) if len(chain) else np.zeros(0, np.int64)
         return np.arange(len(chain)) - np.repeat(np.cumsum(length) - length, length), length
 
-    def messages(self, emission: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of state 1 from the left (emission included) and from the right, by chain and place.
+    def messages(self, emission: np.ndarray, length: np.ndarray, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of state 1 from the left (emission included) and from the right, by block and place in it.
 
-        With two states a message is one number, so forward-backward is a recursion on log-odds.
+        With two states a message is one number, so forward-backward is a recursion on log-odds. place tells where a
+        block is in its line (none: each block is a line): messages go on from a block to the next one of its line.
+        Blocks of the same place go together, so a batch takes as many rounds as its longest line has blocks.
         """
         m = np.exp(np.clip(self.moves, -LIMIT, LIMIT))
         rows, span = emission.shape
         left, right = np.zeros((rows, span)), np.zeros((rows, span))
-        left[:, 0] = self.start + emission[:, 0]
-        for t in range(1, span):
-            r = np.exp(np.clip(left[:, t - 1], -LIMIT, LIMIT))
-            left[:, t] = emission[:, t] + np.log((m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r))
-        for t in range(span - 2, -1, -1):
-            r = np.exp(np.clip(emission[:, t + 1] + right[:, t + 1], -LIMIT, LIMIT))
-            after = np.log((m[1, 0] + m[1, 1] * r) / (m[0, 0] + m[0, 1] * r))
-            right[:, t] = np.where(t + 1 < length, after, 0.0)
+        step_right = lambda r: np.log((m[0, 1] + m[1, 1] * r) / (m[0, 0] + m[1, 0] * r))
+        step_left = lambda r: np.log((m[1, 0] + m[1, 1] * r) / (m[0, 0] + m[0, 1] * r))
+        odds = lambda x: np.exp(np.clip(x, -LIMIT, LIMIT))
+        groups = [np.arange(rows)] if place is None else np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+        for k, g in enumerate(groups):
+            left[g, 0] = emission[g, 0] + (self.start if k == 0 else step_right(odds(left[g - 1, span - 1])))
+            for t in range(1, span):
+                left[g, t] = emission[g, t] + step_right(odds(left[g, t - 1]))
+        goes_on = np.zeros(rows, bool) if place is None else np.append(place[1:] > 0, False)
+        for g in reversed(groups):
+            on = g[goes_on[g]]
+            right[on, span - 1] = step_left(odds(emission[on + 1, 0] + right[on + 1, 0]))
+            for t in range(span - 2, -1, -1):
+                right[g, t] = np.where(t + 1 < length[g], step_left(odds(emission[g, t + 1] + right[g, t + 1])), 0.0)
         return left, right
 
-    def marginals(self, places: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    def marginals(self, places: np.ndarray, block: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Chance of state 1 at each word."""
-        if not len(chain):
+        if not len(block):
             return np.zeros(0)
-        at, length = self.grid(chain)
+        at, length = self.grid(block)
         emission = np.zeros((len(length), CHAIN))
-        emission[chain, at] = self.weights[places].sum(axis=1)
-        left, right = self.messages(emission, length)
-        return 1 / (1 + np.exp(-np.clip((left + right)[chain, at], -LIMIT, LIMIT)))
+        emission[block, at] = self.weights[places].sum(axis=1)
+        left, right = self.messages(emission, length, place)
+        return 1 / (1 + np.exp(-np.clip((left + right)[block, at], -LIMIT, LIMIT)))
 
 
 def train(places: np.ndarray, chain: np.ndarray, label: np.ndarray, rounds: int = 6, batch: int = 512, rate: float = 0.2) -> CRF:
@@ -142,15 +155,25 @@ def train(places: np.ndarray, chain: np.ndarray, label: np.ndarray, rounds: int
 def toxic_places(bad: np.ndarray, good: np.ndarray, n_bad: float, n_good: float) -> np.ndarray:
     """Which features are toxic, from the documents of each class that have them.
 
-    A feature is toxic if its share of the toxic documents is many times that of the others, and the log-likelihood
-    ratio of the two shares is beyond what chance makes of as many features.
+    A feature is toxic if its share of the toxic documents is many times that of the others, and its likelihood ratio is
+    beyond chance: of all features in LEAST_DOCS toxic documents, as many of the largest ratios are taken as keep the
+    part that is there by chance under FALSE_PART (the step-up rule for false discoveries).
     """
     n_bad, n_good = max(1, n_bad), max(1, n_good)
     share, other = bad / n_bad, (good + 0.5) / n_good
     part = n_bad / (n_bad + n_good)
     part_of = lambda n, p: n * np.log(np.maximum(n, 1e-9) / np.maximum((bad + good) * p, 1e-9))
     ratio = 2 * (part_of(bad, part) + part_of(good, 1 - part))
-    return (bad >= LEAST_DOCS - 1e-6) & (share > LEAST_TIMES * other) & (ratio >= LEAST_RATIO)
+    asked = np.flatnonzero(bad >= LEAST_DOCS - 1e-6)
+    # chance of as large a ratio, on this side, of a feature that is equally frequent in both classes
+    chance = np.array([0.5 * math.erfc(math.sqrt(max(0.0, r) / 2)) for r in ratio[asked]])
+    chance = np.where(share[asked] > good[asked] / n_good, chance, 1.0)
+    order = np.argsort(chance, kind="stable")
+    fits = np.flatnonzero(chance[order] <= FALSE_PART * np.arange(1, len(asked) + 1) / max(1, len(asked)))
+    out = np.zeros(len(bad), bool)
+    if len(fits):
+        out[asked[order[: fits[-1] + 1]]] = True
+    return out & (share > LEAST_TIMES * other)
 
 
 def flagged(places: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -255,21 +278,83 @@ def unlike(hashes: list[tuple[int, ...]]) -> np.ndarray:
     return keep
 
 
-def prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(features, chain and text of each word, texts that are no near copies), a step of text at a time."""
-    places, chain, row, hashes, chains_before = [], [], [], [], 0
+@dataclass
+class Lessons:
+    """Blocks to learn from, and each text's standing: blocks with a toxic word, and a bounded part of the others."""
+
+    places: np.ndarray
+    block: np.ndarray
+    label: np.ndarray
+    fresh: np.ndarray
+
+
+def lessons(texts: list[str], y: np.ndarray, toxic: np.ndarray, third: np.ndarray) -> Lessons:
+    """From labelled texts, a step of text at a time: near copies and every third text teach nothing.
+
+    Of the blocks without a toxic word, those with the least hashes of their place are kept, PLAIN_CHAINS of them.
+    """
+    hashes: list[tuple[int, ...]] = []
+    for _, _, data, offsets in steps(pa.array(texts, pa.string())):
+        hashes += least_hashes(ascii_lower(data), offsets)
+    fresh = unlike(hashes)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    plain: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (keys, bounds, features)
+    before = 0
     for a, _, data, offsets in steps(pa.array(texts, pa.string())):
         low = ascii_lower(data)
         w = words(low, offsets, hashed=False)
-        hashes += least_hashes(low, offsets)
-        if len(w.start):
-            places.append(features(low, w))
-            chain.append(chains(low, w) + chains_before)
-            row.append(w.row + a)
-            chains_before = int(chain[-1][-1]) + 1
-    if not places:
-        return np.zeros((0, 1 + len(PREFIXES) + len(SUFFIXES)), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), unlike(hashes)
-    return np.concatenate(places), np.concatenate(chain), np.concatenate(row), unlike(hashes)
+        if not len(w.start):
+            continue
+        block, _ = chains(low, w)
+        row = w.row + a
+        use = (fresh & ~third)[row]
+        places = flagged(features(low, w), toxic)
+        label = word_labels(places, row, y)
+        some = np.bincount(block, label) > 0
+        taken = use & some[block]
+        for b in np.unique(block[taken]):
+            i, j = np.searchsorted(block, [b, b + 1])
+            kept.append((places[i:j], label[i:j]))
+        rest = use & ~some[block]
+        ids, first = np.unique(block[rest], return_index=True)
+        if len(ids):
+            plain.append((mix((ids + before).astype(np.uint64), 5), np.append(first, rest.sum()), places[rest]))
+        if sum(len(k) for k, _, _ in plain) > 2 * PLAIN_CHAINS:
+            plain = _least(plain)
+        before += int(block[-1]) + 1
+    plain = _least(plain)
+    every = kept + [(p[a:b], np.zeros(b - a, np.int8)) for _, bounds, p in plain for a, b in zip(bounds, bounds[1:], strict=False)]
+    if not every:
+        return Lessons(np.zeros((0, 2 + len(PREFIXES) + len(SUFFIXES)), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int8), fresh)
+    block = np.repeat(np.arange(len(every)), [len(p) for p, _ in every])
+    return Lessons(np.concatenate([p for p, _ in every]), block, np.concatenate([x for _, x in every]), fresh)
+
+
+def _least(plain: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The PLAIN_CHAINS blocks with the least keys, as one entry."""
+    if not plain:
+        return plain
+    keys = np.concatenate([k for k, _, _ in plain])
+    if len(keys) <= PLAIN_CHAINS:
+        return plain
+    cut = np.partition(keys, PLAIN_CHAINS - 1)[PLAIN_CHAINS - 1]
+    out = []
+    for k, bounds, p in plain:
+        keep = k <= cut
+        size = np.diff(bounds)
+        out.append((k[keep], np.concatenate([[0], np.cumsum(size[keep])]), p[np.repeat(keep, size)]))
+    return out
+
+
+def summaries(crf: CRF, texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """summary of each text, a step of text at a time."""
+    out = []
+    for _, _, data, offsets in steps(pa.array(texts, pa.string())):
+        low = ascii_lower(data)
+        w = words(low, offsets, hashed=False)
+        p = crf.marginals(flagged(features(low, w), toxic), *chains(low, w)) if len(w.start) else np.zeros(0)
+        out.append(summary(p, w.row, len(offsets) - 1))
+    return np.concatenate(out)
 
 
 def summary(p: np.ndarray, row: np.ndarray, texts: int) -> np.ndarray:
@@ -305,13 +390,17 @@ class Model:
         """(score of each text, marginal of each word, the words)."""
         low = ascii_lower(data)
         w = words(low, offsets, hashed=False)
-        p = self.crf.marginals(flagged(features(low, w), self.toxic), chains(low, w)) if len(w.start) else np.zeros(0)
+        p = self.crf.marginals(flagged(features(low, w), self.toxic), *chains(low, w)) if len(w.start) else np.zeros(0)
         z = summary(p, w.row, len(offsets) - 1) @ self.head
         return 1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT))), p, w
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Model:
-    """Finds toxic features in all labelled documents outside the held-out fold, and trains on a bounded sample of them."""
+    """Finds toxic features in all labelled documents outside the held-out fold, and trains on a bounded sample of them.
+
+    Labels of an id that occurs repeatedly count once, as the largest; rows of documents that repeat one, once a text.
+    Null ids, labels and texts teach nothing. Without texts of both classes every text gets the share of toxic ones.
+    """
     known = binary_labels(labels, "toxic", FOLDS, HELD_OUT).withColumn("y", (F.col("y") > 0).cast("int"))
     counts = class_counts(known)
     rows = sample(documents, known, sorted(counts), PER_CLASS)
@@ -319,17 +408,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         prior = np.clip(np.mean([y for _, y in rows] or [0.0]), 1e-3, 1 - 1e-3)
         return Model(CRF(np.zeros(PLACES), np.zeros((2, 2)), -2.0), np.array([np.log(prior / (1 - prior)), 0, 0]), np.zeros(1 << BITS, bool))
     y = np.array([v for _, v in rows])
+    texts = [t for t, _ in rows]
+    del rows
     toxic = evidence(documents, known)
-    places, chain, row, fresh = prepared([t for t, _ in rows])
-    places = flagged(places, toxic)
-    keep = fresh[row]
-    label = np.zeros(len(row), np.int8)
-    label[keep] = word_labels(places[keep], row[keep], np.where(fresh, y, -1))
     # the chain model learns from two thirds of the texts, the score's scale from the others
     third = np.arange(len(y)) % 3 == 0
-    learn = keep & ~third[row]
-    crf = train(places[learn], np.unique(chain[learn], return_inverse=True)[1], label[learn])
-    x = summary(crf.marginals(places, chain), row, len(y))
+    learn = lessons(texts, y, toxic, third)
+    fresh = learn.fresh
+    crf = train(learn.places, learn.block, learn.label)
+    x = summaries(crf, texts, toxic)
     taken = {v: max(1, int((y == v).sum())) for v in counts}
     weight = np.array([counts[v] / taken[v] for v in y])
     rest = third & fresh if len(set(y[third & fresh])) == 2 else np.ones(len(y), bool)
@@ -353,8 +440,9 @@ def _spans(p: np.ndarray, w: Words, data: np.ndarray, texts: int, offsets: np.nd
 def scored(documents: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """doc_id, score, predicted and toxic spans (character offsets) of each whole text.
 
-    A null text counts as empty: it has no words, so its score is that of a text without toxic words. Chains are
-    scored side by side; a text's length adds chains, not memory beyond the step of text at hand.
+    A null text counts as empty: it has no words, so its score is that of a text without toxic words. Each row of
+    documents gives one, repeated rows and rows without a doc_id as well; no rows give none; other columns take no
+    part. Lines are scored side by side, whole; a text's length adds lines, not memory beyond the step at hand.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -113,14 +114,19 @@ def test_nothing_to_learn_from(spark, tables):
     assert {r.lang_pred for r in langid.predicted(docs.limit(3), langid.fit(no_docs)).collect()} == {"und"}
 
 
-def test_marginals_against_all_labellings():
+def test_marginals_against_all_labellings(monkeypatch):
+    """Lines of one block and, cut after three words, of several: the cut changes nothing."""
+    monkeypatch.setattr(toxicity, "CHAIN", 3)
     rng = np.random.default_rng(0)
     crf = toxicity.CRF(np.zeros(1 << toxicity.BITS), rng.normal(size=(2, 2)), 0.3)
     crf.weights[:50] = rng.normal(size=50)
-    places, chain = rng.integers(0, 50, (9, 8)).astype(np.int32), np.array([0, 0, 0, 0, 0, 1, 1, 1, 2])
-    got = crf.marginals(places, chain)
-    for c in range(3):
-        at = np.flatnonzero(chain == c)
+    line = np.array([0] * 8 + [1, 1, 1] + [2] + [3] * 4 + [4] * 6)
+    places = rng.integers(0, 50, (len(line), 8)).astype(np.int32)
+    within = np.concatenate([np.arange(n) for n in np.bincount(line)])
+    block, place = np.cumsum(within % 3 == 0) - 1, within[within % 3 == 0] // 3
+    got = crf.marginals(places, block, place)
+    for c in range(5):
+        at = np.flatnonzero(line == c)
         e, total, one = crf.weights[places[at]].sum(axis=1), 0.0, np.zeros(len(at))
         for y in itertools.product((0, 1), repeat=len(at)):
             s = math.exp(crf.start * y[0] + sum(a * b for a, b in zip(e, y)) + sum(crf.moves[a, b] for a, b in zip(y, y[1:])))
@@ -129,6 +135,101 @@ def test_marginals_against_all_labellings():
         assert got[at] == pytest.approx(one / total)
 
 
+def test_language_gradients_against_differences():
+    rng = np.random.default_rng(3)
+    e, w, b = rng.normal(size=(9, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    bags, y = [np.array([0, 1, 1, 8]), np.array([2]), np.array([3, 4, 5, 1])], np.array([0, 2, 1])
+    loss, places, g_e, g_w, g_b = langid.gradients(e, w, b, bags, y)
+
+    def plain(e, w, b):
+        total = 0.0
+        for bag, k in zip(bags, y):
+            z = sum(e[i] for i in bag) / len(bag) @ w + b
+            total += math.log(sum(math.exp(v) for v in z)) - z[k]
+        return total
+
+    assert loss == pytest.approx(plain(e, w, b)) and sorted(places) == [0, 1, 2, 3, 4, 5, 8]
+    for array, g, rows in ((e, g_e, places), (w, g_w, range(4))):
+        for i, row in enumerate(rows):
+            for k in range(array.shape[1]):
+                kept = array[row, k]
+                array[row, k] = kept + 1e-6
+                up = plain(e, w, b)
+                array[row, k] = kept - 1e-6
+                down = plain(e, w, b)
+                array[row, k] = kept
+                assert g[i, k] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+    for k in range(3):
+        step = np.eye(3)[k] * 1e-6
+        assert g_b[k] == pytest.approx((plain(e, w, b + step) - plain(e, w, b - step)) / 2e-6, abs=1e-5)
+
+
+def test_language_calibration():
+    rng = np.random.default_rng(4)
+    z = rng.normal(size=(4000, 3))
+    truth = np.array([rng.choice(3, p=p) for p in langid.softmax(z)])
+    temperature, bound = langid.calibrated(z * 5, truth)
+    assert 4 < temperature < 6.2
+    top = langid.softmax(z * 5 / temperature).max(axis=1)
+    assert np.mean(top < bound) == pytest.approx(0.01, abs=0.002)
+
+
+def test_repeated_and_long_rows(spark):
+    """Repeated ids, conflicting languages and labels, and languages of long texts alone: defined and the same at each run."""
+    long = {"aa": "boku zano " * 3000, "bb": "lirt mesp " * 3000}
+    docs = [(i, long["aa" if i % 2 else "bb"], "aa" if i % 2 else "bb", "s", 0, "", "", "") for i in range(60)]
+    docs += [(1, "boku", "bb", "s", 0, "", "", ""), (1, "boku", "bb", "s", 0, "", "", "")]
+    table = spark.createDataFrame(docs, DOCS)
+    first = langid.fit(table)
+    again = langid.fit(table.repartition(7))
+    assert first.languages == ["aa", "bb"] and (first.table == again.table).all()
+    rows = langid.predicted(table, first).collect()
+    assert len(rows) == 62 and all(r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in rows if r.doc_id > 1)
+    labels = spark.createDataFrame([(i, i % 2, i % 2, "") for i in range(60)] + [(2, 1, 1, "")], LABELS)
+    assert toxicity.scored(table, toxicity.fit(table, labels)).count() == 62
+    measured = quality.measured(table)
+    assert quality.scored(measured, quality.fit(measured, labels)).count() == 62
+
+
+def test_statistics_against_plain_counts():
+    texts = ["Hello hello World, 12 apples!\n\nTwo lines $$", "", "x", "é é é 漢字", "a b a b a b a b"]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for t, r, x in zip(texts, raw, got):
+        w = [m.lower() for m in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t)]
+        size, n, length = [len(m.encode()) for m in w], len(w), len(r)
+        mean = (sum(size) + 25) / (n + 5)
+        logit = lambda part, whole, prior: math.log((p := min(1 - 1e-6, max(1e-6, (part + 5 * prior) / (whole + 5)))) / (1 - p))
+        of = lambda chars: sum(c in chars for c in r)
+        pairs = {a + " " + b for a, b in zip(w, w[1:])}
+        want = [
+            math.log1p(n), math.log(mean), math.log(math.sqrt((sum((s - mean) ** 2 for s in size) + 30) / (n + 5))),
+            logit(of(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), length, 0.02), logit(of(b"0123456789"), length, 0.001), logit(of(b".,;:?'\"()-"), length, 0.02), logit(of(b"!#$%&*+/<=>@[\\]^_`{|}~"), length, 0.0005),
+            logit(of(b" \t\r\x0b\x0c"), length, 0.15), logit(sum(c >= 128 for c in r), length, 0.02), logit(of(b"\n"), length, 0.004),
+            math.log(len(set(w)) + 5) - math.log(n + 5), math.log(len(pairs) + 5) - math.log(max(n - 1, 0) + 5), logit(sum(a == b for a, b in zip(w, w[1:])), n, 0.01),
+        ]
+        assert list(x) == pytest.approx(want)
+
+
+def test_sums_of_quality_against_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    d = len(quality.NAMES)
+    rows = [(i, [float(v) for v in rng.normal(i % 2, 1, d)]) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0, "") for i in range(70)] + [(0, 1, 0, "")], LABELS)
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, x array<double>"), labels)
+    used = [(x, 1 if i == 0 else i % 2) for i, x in rows[:70] if zlib.crc32(str(i).encode()) % 5]
+    for c in (0, 1):
+        mine = np.array([x for x, y in used if y == c])
+        assert model.means[c] == pytest.approx(mine.mean(axis=0))
+        every = np.array([x for x, _ in used])
+        pooled = every.T @ every / len(every) - np.outer(every.mean(axis=0), every.mean(axis=0))
+        own = mine.T @ mine / len(mine) - np.outer(mine.mean(axis=0), mine.mean(axis=0))
+        part = min(1.0, 0.05 + d / (len(mine) + d))
+        want = (1 - part) * own + part * pooled + 1e-3 * np.diag(np.diag(pooled))
+        assert model.factors[c] @ model.factors[c].T == pytest.approx(want, abs=1e-6)
+
+
 def test_densities_against_the_formula():
     rng = np.random.default_rng(1)
     x = [rng.normal(size=(60, 3)), rng.normal(2, 3, size=(90, 3))]
