@@ -229,6 +229,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
 def duplicate_lines(documents: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, version, lines, removed) of each distinct pair of doc_id and text with a line long enough to compare.
 
+    Null and empty texts have none; rows that repeat a doc_id and text are one; other columns take no part.
+
     version is xxhash64(text); lines counts lines of rule.min_words words or more, removed lists (from 0) those
     whose set of words (ASCII letters in lower case; each character of scripts without spaces) is similar to that of an earlier line: one of a smaller doc_id
     (null first), then version, then line number. Lines removed still count as earlier. Equal sets are found by
@@ -304,8 +306,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts, and texts without copied lines, stay as they are.
     """
     found = saved(duplicate_lines(docs, EVERY).where(F.size("removed") > 0), "line-removed")
-    of = found.select(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version"), "removed")
-    joined = docs.alias("d").join(of, F.col("d.doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("d.text") == F.col("of_version")), "left")
-    text = F.when(F.col("removed").isNull(), F.col("d.text")).otherwise(without_lines(F.col("d.text"), F.col("removed")))
+    # the documents' columns are one struct, so that none of them can have a name of the join's own
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    joined = whole.join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("version")), "left")
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(without_lines(F.col("doc.text"), F.col("removed")))
     gone = F.col("removed").isNotNull() & ~text.rlike(r"\S")
-    return joined.where(~gone).select(*(text.alias(c) if c == "text" else F.col(f"d.{c}") for c in docs.columns))
+    return joined.where(~gone).select(*(text.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsift.llm.components import components
 from crawlsift.llm.marks import among, marked
-from crawlsift.llm.storage import saved
+from crawlsift.llm.storage import drop, saved
 from crawlsift.llm.words import mix, shingles, steps, words
 
 SIGNED = "doc_id long, k1 long, k2 long, n long, signature binary"
@@ -151,17 +151,96 @@ def _verify(f: Forest) -> Callable:
     return verify
 
 
-def _runs(reps: DataFrame, f: Forest, depth: int) -> DataFrame:
-    """(a, b) of documents that share a prefix of `depth` values in a tree, each with the least such document.
+def _walk(f: Forest, depth: int) -> Callable:
+    width = 4 * depth
 
-    Sorted signatures are a tree's trie; those under one prefix are a run. Runs are counted before they are joined,
-    and give one edge a member, never all pairs.
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted keys of trees, depth first through their tries: the documents below each node of `depth` values.
+
+        A node's head is its first document; its members are given once it has two. What is open at a partition's
+        ends goes out as an edge, as the node may go on in the next partition.
+        """
+        part = TaskContext.get().partitionId()
+        open_key, head, told, first_key, first_head = None, 0, True, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(ids), -1)[:, : 1 + width]
+            new = np.ones(len(ids), bool)
+            new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+            new[0] = open_key is None or keys[0].tobytes() != open_key
+            if first_key is None:
+                first_key, first_head = keys[0].tobytes(), int(ids[0])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))
+            heads = np.where(start >= 0, ids[np.maximum(start, 0)], head)
+            run, doc = [heads[~new]], [ids[~new]]
+            # heads of nodes that turn out to have a second member
+            second = np.flatnonzero(~new & np.append(not told, new[:-1]))
+            run.append(heads[second])
+            doc.append(heads[second])
+            told, open_key, head = not new[-1], keys[-1].tobytes(), int(heads[-1])
+            run, doc = np.concatenate(run), np.concatenate(doc)
+            n = len(run)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "edge": pa.array([0] * n, pa.int32()), "node": pa.nulls(n, pa.binary()), "run": run, "doc_id": doc})
+        if first_key is not None:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * 2, pa.int32()), "edge": pa.array([1, 2], pa.int32()), "node": pa.array([first_key, open_key], pa.binary()), "run": pa.array([first_head, head], pa.int64()), "doc_id": pa.array([first_head, head], pa.int64())})
+
+    return walk
+
+
+def tries(reps: DataFrame, f: Forest, depth: int) -> DataFrame:
+    """(run, doc_id) of documents below a node of `depth` values in some tree's trie, with a document that names the node.
+
+    Signatures sorted by tree and value are the tries; ranges of them are walked in parallel, so a node with very many
+    documents is many ranges. Nodes that go over the end of a range get one name: the ranges' ends, two rows a range,
+    are all that meets in one place.
     """
     width = 4 * f.depth
-    prefix = F.expr(f"substring(signature, tree * {width} + 1, {4 * depth})")
-    keyed = reps.select("doc_id", "signature", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree")).select("doc_id", F.xxhash64("tree", prefix).alias("run"))
-    heads = saved(keyed.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("head")).where("n > 1").drop("n"), "near-heads")
-    return saved(keyed.join(heads, "run").where(F.col("doc_id") != F.col("head")).select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct(), "near-edges")
+    keyed = reps.select("doc_id", "signature", F.explode(F.sequence(F.lit(0), F.lit(f.trees - 1))).alias("tree"))
+    keyed = keyed.select("doc_id", F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(signature, tree * {width} + 1, {width})")).alias("key"))
+    ordered = keyed.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    walked = saved(ordered.mapInArrow(_walk(f, depth), "part int, edge int, node binary, run long, doc_id long"), "near-walk")
+    name, before, joined = {}, None, set()
+    for r in walked.where("edge > 0").orderBy("part", "edge").collect():
+        if r.edge == 1 and before is not None and before.node == r.node:
+            name[r.run] = name.get(before.run, before.run)
+            joined |= {r.run, before.run}
+        before = r
+    spark = reps.sparkSession
+    members = walked.where("edge = 0").select("run", "doc_id")
+    if not joined:
+        return members
+    same = spark.createDataFrame([(a, name.get(a, a)) for a in joined], "run long, name long")
+    # a head alone in its range is a member by its node's other ranges
+    alone = same.select(F.col("name").alias("run"), F.col("run").alias("doc_id"))
+    return members.join(F.broadcast(same), "run", "left").select(F.coalesce("name", "run").alias("run"), "doc_id").unionByName(alone).distinct()
+
+
+def _placed(groups: DataFrame, reps: DataFrame, f: Forest) -> DataFrame:
+    """(root, id, part, copies, k1, k2): members of groups in parts of about f.chunk, alike ones in one part where possible."""
+    sizes = saved(groups.groupBy("root").agg(F.ceil(F.count("*") / f.chunk).cast("int").alias("parts")), "near-sizes")
+    bucket = F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64(F.expr("substring(signature, 1, 8)")), "parts")).cast("long")
+    known = reps.select(F.col("doc_id").alias("id"), "copies", "k1", "k2", "signature")
+    members = groups.join(sizes, "root").join(known, "id").select("root", "id", "copies", "k1", "k2", "parts", bucket.alias("bucket"))
+    members = saved(members, "near-members")
+    filled = members.where("parts > 1").groupBy("root", "bucket").agg(F.ceil(F.count("*") / f.chunk).cast("int").alias("subs"))
+    sub = F.pmod(F.xxhash64("id"), F.coalesce("subs", F.lit(1)))
+    out = members.join(filled, ["root", "bucket"], "left").select("root", "id", "copies", "k1", "k2", "parts", (F.col("bucket") * (1 << 24) + sub).alias("part"))
+    out = saved(out, "near-parts")
+    drop(sizes, members)
+    return out
+
+
+def _meeting(placed: DataFrame, runs: DataFrame) -> DataFrame:
+    """(root, i, j) of parts, i <= j, whose members share a node: only such parts are compared."""
+    alone = placed.select("root", F.col("part").alias("i"), F.col("part").alias("j")).distinct()
+    large = placed.where("parts > 1").select("root", F.col("id").alias("doc_id"), "part")
+    at = saved(runs.join(large, "doc_id").select("run", "root", "part").distinct(), "near-at")
+    both = at.alias("x").join(at.alias("y"), (F.col("x.run") == F.col("y.run")) & (F.col("x.root") == F.col("y.root")) & (F.col("x.part") < F.col("y.part")))
+    pairs = saved(alone.unionByName(both.select("x.root", F.col("x.part").alias("i"), F.col("y.part").alias("j")).distinct()), "near-pairs")
+    drop(at)
+    return pairs
 
 
 def near_duplicates(documents: DataFrame, f: Forest = Forest()) -> DataFrame:
@@ -170,33 +249,36 @@ def near_duplicates(documents: DataFrame, f: Forest = Forest()) -> DataFrame:
     Two documents are linked if the sets of their shingles of f.words words (lower case; all words if they are
     fewer) have a Jaccard similarity of f.threshold or more. A class is a connected component of links and has its
     least doc_id as class_id; n_links counts a document's links, copies included. A text without words, empty or
-    null has no links and is its own class. Texts that share a doc_id share a class.
+    null has no links and is its own class. Texts that share a doc_id share a class. No rows give none; columns but
+    doc_id and text take no part.
 
-    Equal sets are one candidate, whatever their number. The forest's matches, by prefixes short enough for the recall
-    asked for at the threshold itself, only bound the groups; within a group all pairs are compared exactly, part by part, and a task
-    gives counts and roots but no pairs.
+    Equal sets are one candidate, whatever their number. Two documents are compared if they are below a common node in
+    some tree's trie, at a depth that was shortened until pairs at the threshold are found with the recall asked for.
+    Documents that nodes connect form a group; a large one is cut into parts, and parts are compared exactly, as matrix
+    products, if members of theirs share a node. A task gives counts and roots but no pairs.
     """
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     signed = saved(docs.mapInArrow(_sign(f), SIGNED), "near-signed")
     reps = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     reps = saved(reps, "near-reps")
-    groups = saved(components(_runs(reps, f, f.prefix())), "near-groups")
-    parts = saved(groups.groupBy("root").agg(F.ceil(F.count("*") / f.chunk).cast("int").alias("parts")), "near-parts")
-    placed = groups.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    members = placed.join(reps.select(F.col("doc_id").alias("id"), "copies", "k1", "k2"), "id")
-    marks = marked(groups.select("id"))
+    runs = saved(tries(reps, f, f.prefix()), "near-runs")
+    placed = _placed(saved(components(runs.select(F.col("doc_id").alias("a"), F.col("run").alias("b"))), "near-groups"), reps, f)
+    pairs = _meeting(placed, runs)
+    drop(runs)
+    marks = marked(placed.select("id"))
     sets = docs.mapInArrow(_sets(f, marks), SETS)
     sets = sets.groupBy("doc_id", "k1", "k2").agg(F.first("shingles").alias("shingles"))
-    whole = members.withColumnRenamed("id", "doc_id").join(sets, ["doc_id", "k1", "k2"])
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    paired = whole.withColumn("other", other).select("root", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "doc_id", "part", "copies", "shingles")
+    whole = placed.withColumnRenamed("id", "doc_id").join(sets, ["doc_id", "k1", "k2"])
+    asked = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+    paired = whole.join(asked, ["root", "part"]).select("root", "i", "j", "doc_id", "part", "copies", "shingles")
     links = saved(paired.groupBy("root", "i", "j").applyInArrow(_verify(f), LINKS), "near-links")
     marks.destroy()
     classes = components(links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")))
     totals = links.groupBy("doc_id").agg(F.sum("links").alias("links"))
     judged = reps.select("k1", "k2", "doc_id", "copies").join(totals, "doc_id", "left").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    judged = judged.select("k1", "k2", F.coalesce("root", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = signed.select("doc_id", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(saved(judged, "near-judged"), ["k1", "k2"], "left")
+    judged = saved(judged.select("k1", "k2", F.coalesce("root", "doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "near-judged")
+    drop(reps, placed, pairs, links)
+    rows = signed.select("doc_id", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(judged, ["k1", "k2"], "left")
     return rows.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
@@ -205,9 +287,20 @@ def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the documents that are in a class but do not have its id. Rows without a doc_id stay."""
-    found = near_duplicates(docs)
-    return docs.join(found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of docs: of the document with the class's id, the row of least hashes.
+
+    Rows without a doc_id are documents by their texts, after all others, so of equal ones one stays. Rows that repeat a doc_id are in
+    one class, whatever their texts.
+    """
+    unnamed = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("id"))
+    found = near_duplicates(rows.select(F.col("id").alias("doc_id"), F.col("doc.text").alias("text")))
+    # ids that stay, and in how many rows; a repeated id is few rows after the partial count
+    found = saved(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("stays"), F.count("*").alias("rows")).where(~F.col("stays") | (F.col("rows") > 1)), "near-found")
+    kept = rows.join(found.select(F.col("doc_id").alias("id")), "id", "left_anti").select("doc.*")
+    again = rows.join(found.where("stays").select(F.col("doc_id").alias("id")), "id")
+    order = F.struct(F.xxhash64("doc.text").alias("h"), F.xxhash64(F.to_json("doc")).alias("g"))
+    return kept.unionByName(again.groupBy("id").agg(F.min_by("doc", order).alias("doc")).select("doc.*"))
 
 
 OP9_SQL = r"""

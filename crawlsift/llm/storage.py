@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset on a local master, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = spark.conf.get("crawlsift.scratch", None) or f"file://{tempfile.mkdtemp(prefix='crawlsift-')}"
         spark.conf.set("crawlsift.scratch", named)
     return named.rstrip("/")
@@ -52,4 +55,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with saving(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more: all that read them are saved themselves."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._saved_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -130,7 +130,7 @@ def words(data: np.ndarray, offsets: np.ndarray, hashed: bool = True, split: boo
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, hash) of each run of `size` words; a text of fewer words has one shingle, of all its words."""
+    """(text number, hash) of each run of `size` words, by text; a text of fewer words has one shingle, of all its words."""
     n = len(w.hash)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -143,9 +143,15 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         total += w.hash[k : k + whole] * factor[k]
     keep = w.row[:whole] == w.row[size - 1 : size - 1 + whole]
     row, value = w.row[:whole][keep], total[keep]
-    for at, length, r in zip(first[counts < size], counts[counts < size], rows[counts < size], strict=True):
-        short = np.uint64(length)
-        for k in range(length):
-            short = np.uint64((int(short) + int(w.hash[at + k]) * int(factor[k])) & 0xFFFFFFFFFFFFFFFF)
-        row, value = np.append(row, r), np.append(value, short)
-    return row, mix(value)
+    # short texts, all at once: their words times the factors of their places, added up from the length
+    short = counts < size
+    if not short.any():
+        return row, mix(value)
+    begin, length = first[short], counts[short]
+    at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+    place = at - np.repeat(begin, length)
+    parts = w.hash[at] * np.array(factor)[place]
+    whole = np.add.reduceat(parts, np.cumsum(length) - length) + length.astype(np.uint64)
+    row, value = np.concatenate([row, rows[short]]), np.concatenate([value, whole])
+    order = np.argsort(row, kind="stable")
+    return row[order], mix(value[order])

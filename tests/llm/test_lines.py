@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from crawlsift.llm import lines
 
 SCHEMA = "doc_id long, text string, n int, version string"
@@ -82,3 +84,12 @@ def test_scripts_without_spaces(spark):
     frame = spark.createDataFrame([(i, t, 1, "x") for i, t in docs], SCHEMA)
     found = {r.doc_id: r.removed for r in lines.duplicate_lines(frame, lines.EVERY).collect()}
     assert found == {1: [], 2: [0], 3: [], 4: [0], 5: [], 6: [], 7: []}
+
+
+def test_stage_with_clashing_columns(spark):
+    line = "all of these words stand in one line"
+    docs = [(1, line, "a", "b"), (2, f"{line}\nand a line of its own here", "a", "b"), (3, None, None, None), (3, "", "c", "d")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, removed string, of_id string").withColumns({c: F.lit(1) for c in ("version", "id", "hash", "doc", "lines", "of_version")})
+    out = lines.stage(spark, frame, "")
+    assert out.columns == frame.columns
+    assert sorted((r.doc_id, r.text or "", r.removed or "") for r in out.collect()) == [(1, line, "a"), (2, "and a line of its own here", "a"), (3, "", ""), (3, "", "c")]

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from crawlsift.llm import neardup
+from crawlsift.llm import neardup, storage
 from crawlsift.llm.components import components
 
 SCHEMA = "doc_id long, text string, class_id string, links string"
@@ -89,7 +89,40 @@ def test_pair_at_the_threshold_beside_a_large_group(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in neardup.near_duplicates(frame).collect()) == brute(docs)
 
 
+def test_tries_over_small_batches_and_ranges(spark, monkeypatch):
+    """Nodes that go over batches and ranges have one name each and all their documents."""
+    monkeypatch.setitem(storage.WHILE_SAVING, "spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    monkeypatch.setitem(storage.WHILE_SAVING, "spark.sql.shuffle.partitions", "24")
+    monkeypatch.setitem(storage.WHILE_SAVING, "spark.sql.adaptive.coalescePartitions.enabled", "false")
+    f, rng = neardup.Forest(trees=3, depth=3), np.random.default_rng(2)
+    values = rng.integers(0, 3, (400, f.trees, f.depth))
+    values[:150] = values[0]
+    reps = spark.createDataFrame([(int(i), bytearray(v.astype(">u4").tobytes())) for i, v in enumerate(values)], "doc_id long, signature binary")
+    found = {}
+    for r in neardup.tries(reps, f, 2).collect():
+        found.setdefault(r.run, []).append(r.doc_id)
+    want = {}
+    for i, v in enumerate(values):
+        for t in range(f.trees):
+            want.setdefault((t, *v[t, :2]), set()).add(i)
+    # a head may name a node in several trees, so nodes of one name are put together
+    parts = [tuple(sorted(d)) for d in want.values() if len(d) > 1]
+    assert all(len(d) == len(set(d)) or set(d) for d in found.values())
+    for docs in parts:
+        assert any(set(docs) <= set(d) for d in found.values())
+    for d in found.values():
+        assert set(d) == set().union(*(p for p in parts if set(p) <= set(d)))
+
+
+def test_stage_keeps_one_row_of_a_class(spark):
+    text = "one two three four five six seven"
+    docs = [(7, text, "x", "y"), (7, text, "x", "y"), (8, text.upper(), "x", "y"), (None, text, "x", "y"), (None, "other words are here", "x", "y"), (None, "other words are here", "x", "y"), (None, None, "x", "y"), (9, None, None, None)]
+    out = neardup.stage(spark, spark.createDataFrame(docs, SCHEMA), "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(7, text), (0, "other words are here"), (0, ""), (9, "")])
+
+
 def test_empty(spark):
+    assert neardup.stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
     assert neardup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
