@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsift.llm.storage import saved
-from crawlsift.llm.vectors import by_dimension, clean, dealt
+from crawlsift.llm.vectors import Shards, by_dimension, clean, met, placed, sharded
 
 RESULT = "query_id long, vec_id long, score double"
 #: Relative room for the rounding of the bounds themselves.
@@ -53,7 +54,9 @@ def _tiles(k: int, tile_rows: int):
                 kind = np.float32 if d <= 1040 else np.float64
                 product = (q.astype(kind) @ c.astype(kind).T).astype(np.float64)
                 square = (q_scale**2 * q_square)[:, None] + (c_scale**2 * c_square)[None, :] - 2 * np.outer(q_scale, c_scale) * product
-                about, room = np.sqrt(np.maximum(square, 0)), q_error[:, None] + c_error[None, :] + SLACK * (1 + np.sqrt(q_scale**2 * q_square))[:, None]
+                # the square is off by (d + 8) roundings of (|q| + |c|)^2 at most, its root by the root of that
+                sizes = np.sqrt(q_scale**2 * q_square)[:, None] + np.sqrt(c_scale**2 * c_square)[None, :]
+                about, room = np.sqrt(np.maximum(square, 0)), q_error[:, None] + c_error[None, :] + (SLACK + np.sqrt((d + 8) * np.finfo(float).eps)) * sizes
                 low, high = about - room - SLACK * about, about + room + SLACK * about
                 same = own[:, None] == part_ids[None, :]
                 high[same] = np.inf
@@ -78,21 +81,62 @@ def _tiles(k: int, tile_rows: int):
     return search
 
 
+ASKED = "id long, v array<double>, kth double, shard long"
+
+
+def _asking(shards: Shards) -> Callable:
+    shared = shards.points.sparkSession.sparkContext.broadcast((shards.number, shards.low, shards.high, shards.centre, shards.radius))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and shard that may hold a point as near as the query's kth one so far: by the shard's box,
+        and by its centre and radius."""
+        number, low, high, centre, radius = shared.value
+        for batch in batches:
+            home, kth = batch.column(3).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            at, to = [], []
+            for d, (rows, m) in by_dimension(pa.Table.from_batches([batch])).items():
+                if d not in number:
+                    continue
+                size = np.sqrt((m**2).sum(axis=1))
+                for i, r in enumerate(rows):
+                    box = np.sqrt((np.maximum(np.maximum(low[d] - m[i], m[i] - high[d]), 0) ** 2).sum(axis=1))
+                    ball = np.sqrt(((centre[d] - m[i]) ** 2).sum(axis=1)) - radius[d]
+                    room = SLACK * (1 + size[i] + kth[r] if np.isfinite(kth[r]) else 1)
+                    some = np.maximum(box, ball) - SLACK * (box + radius[d]) - room <= kth[r] if np.isfinite(kth[r]) else np.ones(len(number[d]), bool)
+                    names = number[d][some & (number[d] != home[r])]
+                    at += [int(r)] * len(names)
+                    to += names.tolist()
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array(to, pa.int64())], [x.split()[0] for x in ASKED.split(", ")])
+
+    return ask
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 2048, block_rows: int = 1024, tile_rows: int = 512) -> DataFrame:
     """The k points of smallest Euclidean distance for each query, ties to the smaller id.
 
-    points, queries: (id long, v array<double>). Returns query_id, rank, vec_id, score (the distance). int8 tiles
-    give each pair's distance within a proven error; only pairs whose lower bound reaches the k-th smallest upper
-    bound are computed in double precision, so nothing that belongs in the result is lost. Fewer than k points:
-    all are returned. Vectors of different lengths are not compared.
+    points, queries: (id long, v array<double>). Returns query_id, rank, vec_id, score (the distance). A query's own
+    shard gives its kth distance, and with it the shards that it asks. int8 tiles give each pair's distance within a
+    proven error; only pairs whose lower bound reaches the k-th smallest upper bound are computed in double precision,
+    so nothing that belongs in the result is lost. Fewer than k points: all are returned; no points or queries: no rows.
+    Vectors of different lengths are not compared.
     """
-    p, q, _ = dealt(points, queries, points.count(), queries.count(), shard_rows, block_rows)
-    found = p.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(_tiles(k, tile_rows), RESULT)
+    shards = sharded(points, shard_rows, "ann-shards")
+    home = saved(placed(queries, shards.splits), "ann-queries")
+    p, q = met(shards.points, home, block_rows)
+    first = saved(p.cogroup(q).applyInArrow(_tiles(k, tile_rows), RESULT), "ann-home")
+    kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("score").alias("kth")).where(F.col("n") == k)
+    known = home.join(kth.select(F.col("query_id").alias("id"), "kth"), "id", "left").select("id", "v", F.coalesce("kth", F.lit(float("inf"))).alias("kth"), "shard")
+    away = saved(known.mapInArrow(_asking(shards), ASKED), "ann-away")
+    p, q = met(shards.points, away, block_rows)
+    found = first.unionByName(p.cogroup(q).applyInArrow(_tiles(k, tile_rows), RESULT))
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_approximate_neighbours(spark, sf_dir: str) -> DataFrame:
+    """Rows with a null id or vector, a zero one, or one with null or non-finite components take no part; of rows that
+    repeat an id, the smallest vector does. Ties go to the smaller id; an empty table gives no rows."""
     points = clean(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
     points = saved(points.where(F.exists("v", lambda x: x != 0)), "ann-points")  # zero vectors take no part
     return nearest(points, points.where(F.col("id") % 100 == 0))

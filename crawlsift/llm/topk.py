@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsift.llm.storage import saved
-from crawlsift.llm.vectors import by_dimension, clean, dealt
+from crawlsift.llm.vectors import Shards, by_dimension, clean, met, placed, sharded
 
 RESULT = "query_id long, vec_id long, score long"
 
@@ -109,23 +110,54 @@ def _searcher(k: int, home_only: bool):
     return search
 
 
+ASKED = "id long, v array<double>, kth_score long, kth_id long, shard long"
+
+
+def _asking(shards: Shards) -> Callable:
+    shared = shards.points.sparkSession.sparkContext.broadcast((shards.number, shards.low, shards.high, shards.least))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and shard whose box can hold a pair better than the query's kth one so far."""
+        number, low, high, least = shared.value
+        for batch in batches:
+            home, score, kth = (batch.column(i).to_pylist() for i in (4, 2, 3))
+            at, to = [], []
+            for d, (rows, m) in by_dimension(pa.Table.from_batches([batch])).items():
+                if d not in number:
+                    continue
+                bound = np.maximum(m, 0) @ high[d].T + np.minimum(m, 0) @ low[d].T
+                # sums of products beyond 2^53 are rounded
+                room = 1e-12 * (np.abs(m) @ np.maximum(np.abs(high[d]), np.abs(low[d])).T)
+                for i, r in enumerate(rows):
+                    some = np.ones(len(number[d]), bool) if score[r] is None else (bound[i] + room[i] > score[r]) | ((bound[i] + room[i] >= score[r]) & (least[d] < kth[r]))
+                    names = number[d][some & (number[d] != home[r])]
+                    at += [r] * len(names)
+                    to += names.tolist()
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns[:4], pa.array(to, pa.int64())], [x.split()[0] for x in ASKED.split(", ")])
+
+    return ask
+
+
 def top_k(points: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 2048, block_rows: int = 4096) -> DataFrame:
     """The k points of largest inner product for each query, ties to the smaller id.
 
-    points, queries: (id long, v array<double>) with integral components. Returns query_id, rank, vec_id, score.
-    Every point is dealt to a shard by a hash of its id, so equal vectors spread over all shards. A query first
-    searches the shard that its own id falls in; the k-th pair found there goes with it to all other shards and
-    closes most of their trees at once. Fewer than k points: all are returned. No points or queries: no rows.
+    points, queries: (id long, v array<double>) with integral components. Returns query_id, rank, vec_id, score. A query
+    first searches the shard that it falls in itself; the kth pair found there decides which other shards its box bound
+    lets it ask at all, and goes with it to close most of their trees at once. Equal vectors are told apart by id, so
+    very many of them are many shards. Fewer than k points: all are returned. No points or queries: no rows. Repeated
+    ids are for the caller to settle (clean does); vectors of different lengths are not compared.
     """
-    n, n_queries = points.count(), queries.count()
-    p, q, _ = dealt(points, queries, n, n_queries, shard_rows, block_rows)
-    keys = ("shard", "block")
-    home = q.where(F.col("home") == F.col("shard"))
-    first = saved(p.groupBy(*keys).cogroup(home.groupBy(*keys)).applyInArrow(_searcher(k, True), RESULT), "topk-home")
+    shards = sharded(points, shard_rows, "topk-shards")
+    home = saved(placed(queries, shards.splits), "topk-queries")
+    p, q = met(shards.points, home, block_rows)
+    first = saved(p.cogroup(q).applyInArrow(_searcher(k, True), RESULT), "topk-home")
     kth = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min(F.struct("score", (-F.col("vec_id")).alias("neg"))).alias("kth"))
     kth = kth.where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("kth.score").alias("kth_score"), (-F.col("kth.neg")).alias("kth_id"))
-    away = q.where(F.col("home") != F.col("shard")).join(kth, "id", "left")
-    rest = p.groupBy(*keys).cogroup(away.groupBy(*keys)).applyInArrow(_searcher(k, False), RESULT)
+    known = home.join(kth, "id", "left").select("id", "v", "kth_score", "kth_id", "shard")
+    away = saved(known.mapInArrow(_asking(shards), ASKED), "topk-away")
+    p, q = met(shards.points, away, block_rows)
+    rest = p.cogroup(q).applyInArrow(_searcher(k, False), RESULT)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -137,6 +169,8 @@ def quantised(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 
 def op2_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """Rows with a null id or vector, or one with null or non-finite components, take no part; of rows that repeat an id,
+    the smallest vector does. Ties go to the smaller id; an empty table gives no rows."""
     points = saved(quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "topk-points")
     return top_k(points, points.where(F.col("id") % 50 == 0))
 
