@@ -22,11 +22,13 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def mean_or_zero(c: Column) -> Column:
-    return F.coalesce(F.round(F.avg(c), 2), F.lit(0.0))
+    """Mean to 2 places, halves to even."""
+    return F.coalesce(F.bround(F.avg(c), 2), F.lit(0.0))
 
 
 def variance_or_zero(c: Column) -> Column:
-    return F.coalesce(F.round(F.var_samp(c), 2), F.lit(0.0))
+    """Sample variance to 2 places, halves to even."""
+    return F.coalesce(F.bround(F.var_samp(c), 2), F.lit(0.0))
 
 
 def max_or_zero(c: Column) -> Column:
@@ -49,8 +51,17 @@ def comma_floats(s: Column) -> Column:
 
 
 def max_age(cache_control: Column) -> Column:
-    """Seconds of max-age, null without a valid one."""
-    return F.regexp_extract(F.lower(cache_control), r"max-age\s*[=:]\s*(\d{1,18})", 1).try_cast("long")
+    """Seconds of the last valid max-age, null without one."""
+    parts = F.filter(F.split(cache_control, "[,:]"), lambda p: F.contains(p, F.lit("max-age")))
+    seconds = F.transform(parts, lambda p: F.trim(F.replace(p, F.lit("max-age="), F.lit(""))).try_cast("long"))
+    return F.try_element_at(F.filter(seconds, lambda n: n.isNotNull()), F.lit(-1))
+
+
+def younger(cache_control: Column, seconds: int) -> Column:
+    """Some max-age of a cache control is less than so many seconds, or it has none; an unreadable one is not less."""
+    parts = F.filter(F.split(cache_control, "[,:]"), lambda p: F.contains(p, F.lit("max-age")))
+    less = F.exists(parts, lambda p: F.coalesce(F.trim(F.replace(p, F.lit("max-age="), F.lit(""))).try_cast("long") < seconds, F.lit(False)))
+    return F.coalesce(F.when(F.contains(cache_control, F.lit("max-age")), less), F.lit(True))
 
 
 def pixels(value: Column) -> Column:
@@ -81,3 +92,8 @@ def character_counts(s: Column, pattern: str) -> Column:
 def growth(first: Column, last: Column, n: Column) -> Column:
     """Compound growth a step over n points, exponent 1/n; 0 if the first is 0."""
     return F.when(first == 0, F.lit(0.0)).otherwise(F.pow(last / first, 1 / n) - 1)
+
+
+def iso_time(millis: Column) -> Column:
+    """Milliseconds since 1970 as ISO text, in the session's time zone."""
+    return F.date_format(F.timestamp_millis(millis.cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS")

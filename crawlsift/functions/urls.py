@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Public suffixes known without a list file: fixed values; longer lists are read by sources.read_suffixes.
-SUFFIXES = ("com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr", "es", "it", "nl", "eu", "uk", "co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "example")
+#: Rules of public suffixes beyond the general one, that a host's last label is a suffix: fixed values. `*` stands for
+#: any label, `!` excepts a host from a rule. Longer lists are read by sources.read_suffixes.
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk",
+    "ac.jp", "ad.jp", "co.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp",
+    "com.au", "net.au", "org.au", "edu.au", "gov.au", "com.br", "net.br", "org.br", "com.cn", "net.cn", "org.cn",
+    "co.in", "net.in", "org.in", "co.kr", "or.kr", "co.nz", "net.nz", "org.nz", "co.za", "org.za", "com.mx", "com.tr",
+    "com.ar", "com.tw", "com.hk", "com.sg", "co.id", "co.il", "co.th", "com.ua", "com.my", "com.pl", "com.ru",
+    "*.ck", "!www.ck", "*.bd", "*.np", "*.mm", "*.kh",
+)
 
 _SPLIT = r"^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -34,21 +44,29 @@ def is_ip(h: Column) -> Column:
     return h.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") | h.startswith("[")
 
 
+def suffix_pattern(suffixes: tuple[str, ...] = SUFFIXES) -> str:
+    """A host as (subdomain), (domain word), (public suffix): the longest rule wins, exceptions count as no rule."""
+    some = lambda r: re.escape(r).replace(r"\*", "[^.]+")
+    excepted = [some(r[1:]) for r in suffixes if r.startswith("!")]
+    rules = sorted((r for r in suffixes if r[0] != "!" and "." in r), key=lambda r: (-r.count("."), "*" in r, r))
+    unless = f"(?!(?:{'|'.join(excepted)})$)" if excepted else ""
+    known = "|".join(f"{unless}{some(r)}" if "*" in r else some(r) for r in rules)
+    return rf"^(?:(.*?)\.)??([^.]+)\.({known + '|' if known else ''}[^.]+)$"
+
+
+def _host_part(h: Column, suffixes: tuple[str, ...], group: int) -> Column:
+    return F.when(is_ip(h), F.lit("")).otherwise(F.regexp_extract(h, suffix_pattern(suffixes), group))
+
+
 def suffix(h: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """Longest known public suffix of a host; none known: empty."""
-    labels = F.split(h, r"\.")
-    known = F.array(*map(F.lit, suffixes))
-    longest = max(s.count(".") + 1 for s in suffixes)
-    tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
-    found = [F.when((F.size(labels) > n) & F.array_contains(known, tail(n)), tail(n)) for n in range(longest, 0, -1)]
-    return F.when(is_ip(h), F.lit("")).otherwise(F.coalesce(*found, F.lit("")))
+    """Public suffix of a host: by the longest rule, else its last label; none for addresses and single labels."""
+    return _host_part(h, suffixes, 3)
 
 
 def domain_word(h: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
-    """The label before the public suffix; the whole host for an address or an unknown suffix of one label."""
-    s = suffix(h, suffixes)
-    rest = F.when(s == "", h).otherwise(F.substring(h, F.lit(1), F.length(h) - F.length(s) - 1))
-    return F.when(is_ip(h), h).otherwise(F.element_at(F.split(rest, r"\."), -1))
+    """The label before the public suffix; the whole host for an address or a single label."""
+    word = _host_part(h, suffixes, 2)
+    return F.when(word == "", h).otherwise(word)
 
 
 def registrable(h: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
@@ -58,8 +76,25 @@ def registrable(h: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
 
 def subdomain(h: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
     """What stands before the registrable domain."""
-    own = F.when(suffix(h, suffixes) == "", domain_word(h, suffixes)).otherwise(registrable(h, suffixes))
-    return F.when(is_ip(h), F.lit("")).otherwise(F.regexp_replace(F.substring(h, F.lit(1), F.length(h) - F.length(own)), r"\.$", ""))
+    return _host_part(h, suffixes, 1)
+
+
+def with_listed_suffix(rows: DataFrame, host: str, rules: DataFrame) -> DataFrame:
+    """Adds suffix by a whole list of rules (rule), joined by the tails of the distinct hosts: for lists of any length."""
+    hosts = rows.select(F.col(host).alias("_host")).where(~is_ip(F.col("_host"))).distinct().withColumn("_labels", F.split("_host", r"\."))
+    tail = lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), ".")
+    wild = lambda i: F.concat_ws(".", F.lit("*"), F.when(i < F.size("_labels"), F.array_join(F.slice("_labels", i + 1, F.size("_labels")), ".")))
+    # a tail that is the whole host is none: a registrable domain has a label more
+    places = F.when(F.size("_labels") > 1, F.sequence(F.lit(1), F.size("_labels")))
+    each = hosts.select("_host", "_labels", F.posexplode(places).alias("_at", "_i"))
+    asked = each.select("_host", "_i", F.size("_labels").alias("_n"), tail(F.col("_i")).alias("_tail"), F.explode(F.array(tail(F.col("_i")), wild(F.col("_i")), F.concat(F.lit("!"), tail(F.col("_i"))))).alias("rule"))
+    known = asked.join(rules.select("rule").distinct(), "rule")
+    excepted = F.max(F.when(F.col("rule").startswith("!"), F.regexp_replace("_tail", r"^[^.]*\.", "")))
+    longest = F.max_by(F.when(~F.col("rule").startswith("!") & (F.col("_i") > 1), F.col("_tail")), F.when(~F.col("rule").startswith("!") & (F.col("_i") > 1), F.length("_tail")))
+    found = known.groupBy("_host").agg(F.coalesce(excepted, longest).alias("_suffix"))
+    joined = rows.join(found, F.col(host) == F.col("_host"), "left").drop("_host")
+    general = F.when(is_ip(F.col(host)) | ~F.contains(F.col(host), F.lit(".")), F.lit("")).otherwise(F.substring_index(host, ".", -1))
+    return joined.withColumn("suffix", F.coalesce("_suffix", general)).drop("_suffix")
 
 
 def bare_host(h: Column) -> Column:
@@ -138,10 +173,17 @@ def cut_at_marker(url: Column, marker: str = "g00") -> Column:
     return F.when(F.contains(url, F.lit(marker)), F.substring_index(url, marker, 1)).otherwise(url)
 
 
+#: Endings of paths of style sheets, scripts and images; fixed values, some without their dot.
+IMPORTANT_ENDINGS = (".css", ".js", ".png", "jpeg", "gif", "jpg", "webp")
+#: Endings of media files; fixed values.
+MEDIA_ENDINGS = (".jpg", ".png", ".jpeg", ".gif", ".tif", ".woff", ".woff2")
+CONTENT_CLASSES = ("unknown", "octet", "json", "js", "media", "html", "css", "xml", "other", "font")
+MISMATCHES = ("unknown", "json", "js", "media", "html", "css")
+
+
 def important_resource(p: Column) -> Column:
     """Style sheets, scripts and images by the path's ending."""
-    endings = ("css", "js", "png", "jpeg", "gif", "jpg", "webp")
-    return F.exists(F.array(*map(F.lit, endings)), lambda e: F.endswith(p, e))
+    return F.exists(F.array(*map(F.lit, IMPORTANT_ENDINGS)), lambda e: F.endswith(p, e))
 
 
 def common_tokens(a: Column, b: Column, least: int = 3) -> Column:
@@ -149,12 +191,48 @@ def common_tokens(a: Column, b: Column, least: int = 3) -> Column:
     return F.exists(F.array_intersect(a, b), lambda t: F.length(t) >= least)
 
 
-def content_mismatch(p: Column, content_type: Column) -> Column:
-    """Kind of file by extension that its content type contradicts, else null."""
-    kinds = {"script": (("js",), "javascript"), "style": (("css",), "css"), "image": (("png", "jpg", "jpeg", "gif", "webp", "svg"), "image"), "html": (("html", "htm"), "html"), "json": (("json",), "json"), "text": (("txt",), "text")}
-    extension = F.lower(F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1))
-    found = None
-    for kind, (ends, mark) in kinds.items():
-        wrong = extension.isin(*ends) & ~F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit(mark))
-        found = F.when(wrong, kind) if found is None else found.when(wrong, kind)
-    return found
+def content_class(content_type: Column) -> Column:
+    """One of CONTENT_CLASSES: the first that holds; a missing or octet type is unknown."""
+    t = F.lower(F.coalesce(content_type, F.lit("unknown")))
+    has = lambda x: F.contains(t, F.lit(x))
+    out = F.when((t == "unknown") | has("octet"), "unknown")
+    for mark, name in (("javascript", "js"), ("html", "html"), ("xml", "xml"), ("css", "css"), ("json", "json"), ("image", "media"), ("font", "font")):
+        out = out.when(has(mark), name)
+    return out.otherwise("other")
+
+
+def content_mismatch(p: Column, content_type: Column) -> dict[str, Column]:
+    """For each of MISMATCHES: the path's ending contradicts the content type. Unknown types contradict nothing else."""
+    t, path_ = F.lower(F.coalesce(content_type, F.lit("unknown"))), F.lower(p)
+    has = lambda *marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(t, m))
+    unknown = (t == "unknown") | has("octet")
+    script = path_.endswith(".js") & ~has("javascript", "html", "xml")
+    media = F.exists(F.array(*map(F.lit, MEDIA_ENDINGS)), lambda e: F.endswith(path_, e)) & ~has("image", "font")
+    return {
+        "unknown": unknown,
+        "json": ~unknown & path_.endswith("json") & ~has("json", "javascript"),
+        "js": ~unknown & script,
+        "media": ~unknown & ~script & media,
+        "html": ~unknown & path_.endswith("html") & ~has("html"),
+        "css": ~unknown & path_.endswith("css") & ~has("css"),
+    }
+
+
+def different_path(url: Column, site: Column) -> Column:
+    """A link leads to another path than the page's own; trailing slashes do not count."""
+    bare = lambda u: F.regexp_replace(path(u), r"/+$", "")
+    return bare(url) != bare(site)
+
+
+def distinct_hosts(rows: DataFrame, url: str, by: list[str], keep_www: bool = False) -> DataFrame:
+    """(by, host, registrable) of the distinct hosts of a table of URLs."""
+    h = host(F.col(url))
+    return rows.select(*by, (h if keep_www else bare_host(h)).alias("host")).where(F.col("host") != "").distinct().withColumn("registrable", registrable(F.col("host")))
+
+
+def parties(rows: DataFrame, url: str, site_word: Column) -> DataFrame:
+    """Adds host, registrable, subdomain and party (first, third), so that a split keeps each request's host."""
+    out = rows.withColumn("host", host(F.col(url)))
+    out = out.withColumns({"registrable": registrable(F.col("host")), "subdomain": subdomain(F.col("host"))})
+    own = F.contains("registrable", site_word) | F.contains("subdomain", site_word)
+    return out.withColumn("party", F.when(own, "first").otherwise("third"))

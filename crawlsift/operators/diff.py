@@ -55,28 +55,58 @@ def matched_domains(only: DataFrame, by: Sequence[str], domain: str) -> DataFram
     return only.join(sides, [*by, domain], "left_semi")
 
 
+def _grams(name: Column, size: int = 2) -> Column:
+    """Pairs of neighbouring characters of a name with marked ends, numbered where they repeat."""
+    padded = F.concat(F.lit("^"), name, F.lit("$"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - size + 1), lambda i: F.substring(padded, i, F.lit(size)))
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, by: Sequence[str], name: str, least: float = 0.7) -> DataFrame:
     """(by, left, right, similarity): for each distinct name of left the most similar one of right in the same block.
 
-    Names are compared inside their block only (a registrable domain), and only where lengths allow the similarity,
-    which is part of the join condition and so never makes a row. Ties go to the smaller name.
+    Names meet only where they share a pair of characters among the first of theirs, in one order for all names. An edit
+    changes two of the n + 1 pairs of a name of n characters, and a name within reach has n / least characters at most:
+    with k edits allowed, any 2k + 1 pairs hold a shared one. So no match is lost, and a domain of very many names is no
+    single group. Ties go to the smaller name. least is a half or more: names further apart need not share a pair.
     """
+    if least < 0.5:
+        raise ValueError("names this far apart need not share a pair of characters")
     a = left.select(*by, F.col(name).alias("left")).distinct()
     b = right.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(name).alias("right")).distinct()
+
+    def keyed(rows: DataFrame, column: str) -> DataFrame:
+        edits = F.floor(F.length(column) * (1 - least) / least + 1e-9)
+        ordered = F.array_sort(F.transform(_grams(F.col(column)), lambda g: F.xxhash64(g)))
+        return rows.select("*", F.explode(F.slice(ordered, F.lit(1), (2 * edits + 1).cast("int"))).alias(f"_k_{column}"))
+
     same = [F.col(c) == F.col(f"_{c}") for c in by]
-    near = F.least(F.length("left"), F.length("right")) >= F.greatest(F.length("left"), F.length("right")) * least
-    pairs = a.join(b, [*same, near, similarity(F.col("left"), F.col("right")) >= least])
-    ranked = pairs.withColumn("similarity", similarity(F.col("left"), F.col("right")))
-    w = Window.partitionBy(*by, "left").orderBy(F.col("similarity").desc(), "right")
-    return ranked.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).select(*by, "left", "right", "similarity")
+    near = F.least(F.length("left"), F.length("right")) >= F.greatest(F.length("left"), F.length("right")) * least - 1e-9
+    pairs = keyed(a, "left").join(keyed(b, "right"), [*same, F.col("_k_left") == F.col("_k_right"), near])
+    alike = pairs.select(*by, "left", "right").distinct().withColumn("similarity", similarity(F.col("left"), F.col("right"))).where(F.col("similarity") >= least)
+    best = F.min_by(F.struct("right", "similarity"), F.struct((-F.col("similarity")).alias("s"), "right"))
+    return alike.groupBy(*by, "left").agg(best.alias("_b")).select(*by, "left", "_b.right", "_b.similarity")
+
+
+#: Lengths of the pieces by which URLs and initiators meet.
+PIECES = (1, 4, 8, 16)
 
 
 def initiated(requests: DataFrame, by: Sequence[str], url: str, initiator_path: str) -> DataFrame:
-    """Requests whose initiator (host and path) is part of another request's URL on the same site."""
-    other = requests.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(url).alias("_url")).distinct()
+    """Requests whose initiator (host and path) is part of another request's URL on the same site.
+
+    They meet by the initiator's last piece of 16 characters (8, 4 or 1, if it is shorter), which a URL that contains it
+    must have somewhere: an equi-join in place of comparing all of a site's requests.
+    """
+    size = F.element_at(F.filter(F.array(*map(F.lit, PIECES)), lambda n: n <= F.length(initiator_path)), -1)
+    asking = requests.where(F.length(initiator_path) > 0).select(*by, F.col(url).alias("_own"), F.col(initiator_path).alias("_part"), F.right(initiator_path, size).alias("_piece")).distinct()
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_url")))
+    pieces = F.flatten(F.transform(F.array(*map(F.lit, PIECES)), lambda n: F.transform(F.filter(at, lambda i: i + n - 1 <= F.length("_url")), lambda i: F.substring("_url", i, n))))
+    other = requests.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(url).alias("_url")).distinct().select("*", F.explode(F.array_distinct(pieces)).alias("_piece_"))
     same = [F.col(c) == F.col(f"_{c}") for c in by]
-    inside = (F.length(initiator_path) > 0) & F.contains(F.col("_url"), F.col(initiator_path)) & (F.col("_url") != F.col(url))
-    return requests.join(other, [*same, inside], "left_semi")
+    found = asking.join(other, [*same, F.col("_piece") == F.col("_piece_"), F.contains("_url", "_part"), F.col("_url") != F.col("_own")], "left_semi")
+    key = [F.col(url) == F.col("_own"), F.col(initiator_path) == F.col("_part")]
+    return requests.join(found.select(*(F.col(c).alias(f"_{c}") for c in by), "_own", "_part").distinct(), [*same, *key], "left_semi")
 
 
 def complete_groups(rows: DataFrame, by: Sequence[str], parts: Sequence[str], wanted: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,8 @@ def row_sum(columns: Sequence[str]) -> Column:
 def training_split(rows: DataFrame, features: Sequence[str], label: str = "cv_detect") -> tuple[DataFrame, DataFrame]:
     """(rows with labels 0 or 1 but for positive ones whose features sum to nothing, rows without a label)."""
     filled = rows.fillna(0, list(features))
+    if "ts__last_time_diff" in features:  # milliseconds to bins
+        filled = filled.withColumn("ts__last_time_diff", F.bround(F.col("ts__last_time_diff") / 100, 2))
     empty = (F.col(label) == 1) & (row_sum(features) == 0)
     return filled.where(F.col(label).isin(0, 1) & ~empty), filled.where(F.col(label) == -1)
 
@@ -71,12 +73,43 @@ def in_categories(rows: DataFrame, categories: DataFrame, domain: str, languages
     return rows.join(categories.where(keep).select(F.col("domain").alias(domain)).distinct(), domain, "left_semi")
 
 
+def ranked_value(values: DataFrame, column: str, shares: Sequence[float], parts: int | None = None) -> list[float | None]:
+    """Exact quantiles of a column, linear between neighbours, by ranges: no task or driver holds its distinct values.
+
+    Rows are dealt to ordered ranges and counted; only those ranges that hold a wanted rank are numbered.
+    """
+    spark = values.sparkSession
+    n_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = values.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+    bounds = rows.groupBy("x").agg(F.count("*").alias("n"))
+    ranged = bounds.repartitionByRange(n_parts, "x").withColumn("part", F.spark_partition_id())
+    counts = ranged.groupBy("part").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("before", before)
+    total = F.sum("n").over(Window.partitionBy())
+    wanted = starts.withColumn("total", total)
+    upto = F.col("before") + F.coalesce(F.sum("n_").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    ranks = F.array(*(F.lit(float(s)) for s in shares))
+    low, high = lambda s: F.floor(s * (F.col("total") - 1)), lambda s: F.ceil(s * (F.col("total") - 1))
+    inside = lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))
+    live = wanted.where(F.exists(ranks, lambda s: inside(low(s)) | inside(high(s))))
+    numbered = ranged.withColumnRenamed("n", "n_").join(live, "part").withColumn("upto", upto)
+    at = lambda r: (r >= F.col("upto") - F.col("n_")) & (r < F.col("upto"))
+    out = numbered.agg(F.max("total").alias("total"), *(F.max(F.when(at(f(F.lit(float(s)))), F.col("x"))).alias(f"{k}{i}") for i, s in enumerate(shares) for k, f in (("low", low), ("high", high)))).first()
+    if out is None or out.total is None:
+        return [None] * len(shares)
+    part = [s * (out.total - 1) - math.floor(s * (out.total - 1)) for s in shares]
+    return [out[f"low{i}"] + (out[f"high{i}"] - out[f"low{i}"]) * part[i] for i in range(len(shares))]
+
+
 def scale_parameters(rows: DataFrame, columns: Sequence[str], how: str) -> dict[str, tuple[float, float]]:
-    """{column: (centre, spread)} by one aggregation: standard, minmax or robust. A spread of 0 counts as 1."""
+    """{column: (centre, spread)}: standard and minmax by one aggregation, robust by ranked ranges. A spread of 0 counts as 1."""
+    if how == "robust":
+        cuts = {c: ranked_value(rows, c, (0.25, 0.5, 0.75)) for c in columns}
+        return {c: (q[1] or 0.0, ((q[2] or 0.0) - (q[0] or 0.0)) or 1.0) for c, q in cuts.items()}
     forms = {
         "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
         "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (F.percentile(c, 0.5), F.percentile(c, 0.75) - F.percentile(c, 0.25)),
     }
     out = [x.cast("double").alias(f"{c}_{i}") for c in columns for i, x in enumerate(forms[how](c))]
     r = rows.agg(*out).first()
@@ -91,7 +124,7 @@ def scaled(rows: DataFrame, parameters: dict[str, tuple[float, float]]) -> DataF
 def quantile_scaled(fit: DataFrame, rows: DataFrame, columns: Sequence[str], quantiles: int = 100) -> DataFrame:
     """Each value as its share in the fitted quantiles, linear between them; outside them 0 and 1."""
     steps = [i / quantiles for i in range(quantiles + 1)]
-    r = fit.agg(*(F.percentile(c, F.array(*map(F.lit, steps))).alias(c) for c in columns)).first()
+    r = {c: ranked_value(fit, c, steps) for c in columns}
 
     def place(c: str) -> Column:
         cuts = F.array(*(F.lit(float(v)) for v in r[c]))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
 from crawlsift.operators import diff, features, html, requests, rules, series
-from crawlsift.operators.requests import CONTENT_CLASSES
 from crawlsift.sources import lists
 
 KEY, BINS, STEP = ["site", "arm", "trial"], 240, 3 * 3600 * 1000
@@ -128,9 +127,7 @@ def _initiated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "html", urls.host(F.col("url")).alias("host"))
-    found = html.links(pages, ["page_id", "host"], F.col("host"))
-    w = Window.partitionBy("page_id").orderBy(F.col("path_depth").desc(), F.col("length").desc(), "link")
-    return found.withColumn("place", F.row_number().over(w)).where("place <= 3").select("page_id", "place", "link", "path_depth")
+    return html.links(pages, ["page_id", "host"], F.col("host")).drop("host")
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,8 +135,29 @@ def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"), F.max("depth").alias("depth"))
 
 
+def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the elements that the features select, which the table lacks: links around images, links without
+    content and frames, in numbers that follow from page_id."""
+    p, n = _table(spark, sf_dir, "pages"), F.col("page_id")
+    host = urls.host(F.col("url"))
+    some = lambda k, text: F.repeat(text, (n % k).cast("int"))
+    image = F.concat(F.lit('<div><a href="http://ad.'), host, F.lit('/go?u=1" target="_blank" rel="nofollow"><img src="http://img.'), host, F.lit('/b/c.gif?q=z" width="300"></a></div>'))
+    plain = F.lit('<p><a href="/x" target="t"><img src="/y/z.jpg"></a></p>')
+    leaf, frame = F.lit('<a href="http://o.com/leaf" rel="x"></a>'), F.lit('<div><iframe src="http://f.org/frame?k=v"></iframe></div>')
+    extra = F.concat(some(3, image), some(4, plain), some(5, leaf), some(2, frame))
+    return p.select("page_id", "url", F.concat(F.lit("<html><body><main>"), extra, F.lit("</main>"), F.coalesce("html", F.lit("")), F.lit("</body></html>")).alias("html"), host.alias("host"))
+
+
 def _page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.page_features(["page_id"], html.qualified(html.selected(["page_id"], html.elements(_table(spark, sf_dir, "pages").select("page_id", "html")))))
+    pages = _framed(spark, sf_dir).withColumns({"site_sld": urls.registrable(F.col("host")), "site_word": urls.domain_word(F.col("host")), "trial": F.lit(0)})
+    found = html.elements(pages.select("page_id", "trial", "site_sld", "site_word", "html"))
+    measured = html.element_measures(html.qualified(html.selected(found), ["page_id", "trial"], "site_sld", "site_word"))
+    return html.page_features(measured, pages, ["page_id"], "trial")
+
+
+def _page_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.selected(html.elements(_framed(spark, sf_dir).select("page_id", "html")))
+    return found.groupBy("page_id").agg(*(F.count_if(F.col("class") == c).alias(f"n{c}") for c in html.CLASSES))
 
 
 def _new_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,16 +185,25 @@ def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(*counts, F.count_if(~p.isin(*names)).alias("others"))
 
 
+_TYPES = ("text/css", "text/html; charset=utf-8", "image/png", "application/javascript", "application/json", "application/octet-stream", "font/woff2", "text/xml", "video/mp4")
+_ENDINGS = (".css", ".js", ".png", ".html", ".json", ".woff2", "")
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as responses: the type and the path's ending follow from page_id."""
+    pick = lambda v, k: F.element_at(F.array(*map(F.lit, v)), (F.floor(F.col("page_id") / k) % len(v) + 1).cast("int"))
+    return _pages(spark, sf_dir).withColumns({"content_type": F.when(F.col("page_id") % 11 != 0, pick(_TYPES, 1)), "path": F.concat("path", pick(_ENDINGS, 9))})
+
+
 def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = ["text/css", "text/html; charset=utf-8", "image/png", "application/javascript", "application/json"]
-    t = F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % len(kinds) + 1).cast("int"))
-    rows = _pages(spark, sf_dir).withColumn("content_type", t)
-    wrong = urls.content_mismatch(F.concat("path", F.lit(".css")), F.col("content_type"))
-    return rows.agg(*(F.count_if(F.col("content_type").rlike(p)).alias(n) for n, p in CONTENT_CLASSES.items()), F.count(wrong).alias("wrong"))
+    rows = _typed(spark, sf_dir)
+    wrong = urls.content_mismatch(F.col("path"), F.col("content_type"))
+    kind = urls.content_class(F.col("content_type"))
+    return rows.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), *(F.count_if(wrong[k]).alias(f"wrong_{k}") for k in urls.MISMATCHES))
 
 
 def _resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = _table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return lists.not_done(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), done, "c_custkey")
 
 
@@ -184,19 +211,28 @@ def _scaled(how: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns = ["l_quantity", "l_extendedprice", "l_discount"]
         rows = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns)
-        fit = features.scale_parameters(rows.where("l_linenumber % 2 = 1"), columns, how)
+        fit = features.scale_parameters(rows, columns, how)
         out = features.scaled(rows, fit)
         return out.groupBy("l_linenumber").agg(*(F.round(f(c), 6).alias(f"{n}_{c}") for c in columns for n, f in (("avg", F.avg), ("max", F.max))))
 
     return run
 
 
+#: Forms of rules; H is where a page's host goes.
+_RULES = (
+    "||H^", "||H^$script,image", "@@||H^", "H##.ad", "H,~a.b###top", "H#?#div:has(x)", "H#$#abort-on-property-read y", "H#$#hide-if-contains z", "H#$#hide-if-shadow-contains z",
+    "H#$#log abort", "H#$#log", "/x$domain=H|~c.d", "/x$domain=~H|c.d|-e.f", "||H/path", "||H^$third-party", "||H^$popup", "! H", "H#@#.ad", "-H##.x", "/ads/*",
+)
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = F.element_at(F.array(*map(F.lit, _RULES)), (F.col("page_id") % len(_RULES) + 1).cast("int"))
+    return _pages(spark, sf_dir).select("page_id", "registrable", F.replace(form, F.lit("H"), F.col("host")).alias("rule"))
+
+
 def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, host = F.col("page_id") % 6, F.col("host")
-    rule = F.when(n == 0, F.concat(F.lit("||"), host, F.lit("^"))).when(n == 1, F.concat(host, F.lit("##.ad"))).when(n == 2, F.concat(F.lit("@@||"), host, F.lit("^"))).when(n == 3, F.concat(host, F.lit(",~a.b#?#div"))).when(n == 4, F.concat(host, F.lit("#$#abort-on-x y"))).otherwise(F.concat(F.lit("/x$domain="), host, F.lit("|~c.d")))
-    rows = _pages(spark, sf_dir).select(rule.alias("rule"))
-    rows = rows.select(lists.rule_class(F.col("rule")).alias("class"), lists.rule_domains(F.col("rule")).alias("domains"))
-    return rows.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("domains")).alias("domains"))
+    rows = _ruled(spark, sf_dir)
+    return rows.select("page_id", lists.rule_class(F.col("rule")).alias("class"), F.array_join(lists.rule_domains(F.col("rule")), " ").alias("domains"))
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,11 +243,73 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.blocked(seen, known, ["page_id"])
 
 
-def _request_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as requests of both arms of a site (their registrable domain): headers follow from page_id."""
     n = F.col("page_id")
-    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (n % len(v) + 1).cast("int"))
-    seen = _pages(spark, sf_dir).withColumns({"first_party": urls.first_party(F.col("host"), F.lit("tion")), "content_type": pick("text/css", "image/png", "text/html"), "resource_type": pick("script", "image"), "cache_control": pick("max-age=60", "no-store", "public, max-age=9"), "length": n % 5000})
-    return requests.request_features(seen, ["registrable"])
+    pick = lambda k, *v: F.element_at(F.array(*map(F.lit, v)), (F.floor(n / k) % len(v) + 1).cast("int"))
+    return _typed(spark, sf_dir).withColumns({
+        "arm": F.when(n % 3 == 0, "control").otherwise("variant"),
+        "first_party": urls.first_party(F.col("host"), F.lit("tion")),
+        "resource_type": pick(2, "script", "image", "main_frame", "Stylesheet"),
+        "cache_control": F.when(n % 7 != 0, pick(1, "max-age=60", "no-store", "public, max-age=9", "private,no-cache", "max-age=x", "max-age=99999999")),
+        "length": F.when(n % 13 == 0, -1).otherwise(n * 37 % 5000),
+    })
+
+
+def _request_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.request_features(_requested(spark, sf_dir), ["registrable"])
+
+
+def _request_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _requested(spark, sf_dir).withColumn("site", F.col("page_id") % 5).drop("page_id")
+    wide = requests.request_features(rows, ["site"])
+    return wide.select("site", *(F.col(f"`{c}`") for c in _request_sql()[0]))
+
+
+def _worth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _requested(spark, sf_dir)
+    keep = requests.worth_keeping(F.lit(False), F.col("cache_control"), F.col("content_type"), F.col("length"))
+    return rows.select("page_id", keep.alias("keep"), tx.max_age(F.col("cache_control")).alias("age"), urls.important_resource(F.col("path")).alias("important"))
+
+
+def _request_sql() -> tuple[list[str], str]:
+    """Names of the request features that the SQL below works out, and the SQL."""
+    arms, parties = {"ctr": "control", "var": "variant"}, {"1": "first_party", "3rd": "NOT first_party"}
+    out: dict[str, str] = {}
+    entropy = "list_sum(list_transform(list_distinct(string_split({x}, '')), lambda c: -(len({x}) - len(replace({x}, c, ''))) / len({x}) * log2((len({x}) - len(replace({x}, c, ''))) / len({x}))))"
+    for a, arm in arms.items():
+        for p, party in parties.items():
+            f = f"FILTER (arm = '{arm}' AND {party})"
+            out[f"{arm}_{'first' if p == '1' else 'third'}_party_count"] = f"count(*) {f}"
+            for d in ("", *requests.DIRECTIVES):
+                f = f"FILTER (arm = '{arm}' AND {party}" + (f" AND contains(coalesce(cache_control, 'none'), '{d}'))" if d else ")")
+                mark = "_" if p == "1" and d else ""
+                out[f"{a}_{p}_path_entropy{mark}{d}"] = f"coalesce(round_even(sum(path_e) {f} / nullif(sum(path_n) {f}, 0), 2), 0)"
+                if d:
+                    n, s, q = (f"sum(sec_{x}) {f}" for x in ("n", "sum", "squares"))
+                    out[f"{a}_{p}_pth_len_mean{d}"] = f"coalesce(round_even({s} / nullif({n}, 0), 2), 0)"
+                    out[f"{a}_{p}_pth_len_variance{d}"] = f"coalesce(round_even(({q} - {s} * {s} / nullif({n}, 0)) / nullif({n} - 1, 0), 2), 0)"
+                    out[f"{a}_{p}_pth_len_max_val{d}"] = f"coalesce(max(sec_most) {f}, 0)"
+    for p, party in parties.items():
+        f, name = f"FILTER (arm = 'variant' AND {party})", "first" if p == "1" else "third"
+        for c, pattern in (("number", "[0-9]"), ("special_chars", "[^A-Za-z0-9]"), ("upper_chars", "[A-Z]"), ("lower_chars", "[a-z]")):
+            each = f"list_transform(secs, lambda s: len(regexp_extract_all(s, '{pattern}')))"
+            out[f"variant_{name}_party_{c}_in_path_avg"] = f"coalesce(floor(sum(list_sum({each})) {f} / nullif(count(*) {f}, 0)), 0)"
+            out[f"variant_{name}_party_{c}_in_path_max"] = f"coalesce(max(list_max({each})) {f}, 0)"
+        for k in urls.CONTENT_CLASSES:
+            g = f"FILTER (arm = 'variant' AND {party} AND class = '{k}')"
+            out[f"var_ct_{'fp' if p == '1' else 'tp'}_path_entropy__{k}"] = f"coalesce(round_even(sum(path_e) {g} / nullif(sum(path_n) {g}, 0), 2), 0)"
+    v = "arm = 'variant'"
+    out |= {f"variant_content_type__{k}": f"count(*) FILTER ({v} AND class = '{k}')" for k in urls.CONTENT_CLASSES} | {"variant_content_type": f"count(*) FILTER ({v})"}
+    out |= {f"variant_resource_type__{k}": f"count(*) FILTER ({v} AND lower(resource_type) = '{k}')" for k in requests.RESOURCE_TYPES}
+    out |= {f"variant_content_type_mismatch__{k}": f"count(*) FILTER ({v} AND wrong_{k})" for k in urls.MISMATCHES}
+    sql = f"""WITH {_REQUESTS}, x AS (
+      SELECT *, page_id % 5 AS site, list_filter(string_split(path, '/'), lambda s: s <> '') AS secs FROM rq
+    ), y AS (
+      SELECT *, len(secs) AS path_n, list_sum(list_transform(secs, lambda s: {entropy.format(x='s')})) AS path_e, len(secs) AS sec_n, list_sum(list_transform(secs, lambda s: len(s))) AS sec_sum,
+        list_sum(list_transform(secs, lambda s: len(s) * len(s))) AS sec_squares, list_max(list_transform(secs, lambda s: len(s))) AS sec_most FROM x
+    ) SELECT site, {", ".join(f'CAST({e} AS DOUBLE) AS "{n}"' for n, e in out.items())} FROM y GROUP BY site"""
+    return list(out), sql
 
 
 FLAGSHIP = "spike_stats"
@@ -243,6 +341,9 @@ QUERIES = {
     "link_rank": _link_rank,
     "html_tags": _tags,
     "page_source_features": _page_features,
+    "page_classes": _page_classes,
+    "header_filter": _worth,
+    "request_feature_parts": _request_parts,
     "word_set_diff": _new_words,
     "word_diff_scalar": _changed_words,
     "label_join": _labels,
@@ -281,6 +382,25 @@ _P = r"""u AS (
     CASE WHEN regexp_replace(regexp_replace(path, '/+$', ''), '/?[^/]*$', '') = '' THEN '/' ELSE regexp_replace(regexp_replace(path, '/+$', ''), '/?[^/]*$', '') END AS directory
   FROM u
 )"""
+_T = f"""{_P}, ty AS (
+  SELECT p.*, CASE WHEN page_id % 11 <> 0 THEN {list(_TYPES)!r}[page_id % {len(_TYPES)} + 1] END AS content_type, path || {list(_ENDINGS)!r}[page_id // 9 % {len(_ENDINGS)} + 1] AS full_path FROM p
+), tz AS (
+  SELECT *, coalesce(content_type, 'unknown') AS t, lower(full_path) AS e FROM ty
+), tc AS (
+  SELECT *, CASE WHEN t = 'unknown' OR contains(t, 'octet') THEN 'unknown' WHEN contains(t, 'javascript') THEN 'js' WHEN contains(t, 'html') THEN 'html' WHEN contains(t, 'xml') THEN 'xml'
+      WHEN contains(t, 'css') THEN 'css' WHEN contains(t, 'json') THEN 'json' WHEN contains(t, 'image') THEN 'media' WHEN contains(t, 'font') THEN 'font' ELSE 'other' END AS class FROM tz
+), tw AS (
+  SELECT *, class = 'unknown' AS wrong_unknown, class <> 'unknown' AND e LIKE '%json' AND NOT (contains(t, 'json') OR contains(t, 'javascript')) AS wrong_json,
+    class <> 'unknown' AND e LIKE '%.js' AND NOT (contains(t, 'javascript') OR contains(t, 'html') OR contains(t, 'xml')) AS wrong_js,
+    class <> 'unknown' AND regexp_matches(e, '\\.(jpg|png|jpeg|gif|tif|woff|woff2)$') AND NOT (contains(t, 'image') OR contains(t, 'font')) AS wrong_media,
+    class <> 'unknown' AND e LIKE '%html' AND NOT contains(t, 'html') AS wrong_html, class <> 'unknown' AND e LIKE '%css' AND NOT contains(t, 'css') AS wrong_css FROM tc
+)"""
+_REQUESTS = f"""{_T}, rq AS (
+  SELECT * EXCLUDE (path), full_path AS path, CASE WHEN page_id % 3 = 0 THEN 'control' ELSE 'variant' END AS arm, contains(registrable, 'tion') OR contains(subdomain, 'tion') AS first_party,
+    ['script', 'image', 'main_frame', 'Stylesheet'][page_id // 2 % 4 + 1] AS resource_type,
+    CASE WHEN page_id % 7 <> 0 THEN ['max-age=60', 'no-store', 'public, max-age=9', 'private,no-cache', 'max-age=x', 'max-age=99999999'][page_id % 6 + 1] END AS cache_control,
+    CASE WHEN page_id % 13 = 0 THEN -1 ELSE page_id * 37 % 5000 END AS length FROM tw
+)"""
 _SECTIONS = "sec AS (SELECT registrable, page_id, unnest(list_filter(string_split(path, '/'), lambda x: x <> '')) AS x FROM p)"
 
 
@@ -294,7 +414,7 @@ def _scale_sql(centre: str, spread: str) -> str:
     fit = ", ".join(f"{centre.format(c=c)} AS m_{c}, {spread.format(c=c)} AS d_{c}" for c in columns)
     x = lambda c: f"({c} - m_{c}) / (CASE WHEN d_{c} = 0 THEN 1 ELSE d_{c} END)"
     out = ", ".join(f"round(avg({x(c)}), 6) AS avg_{c}, round(max({x(c)}), 6) AS max_{c}" for c in columns)
-    return f"WITH f AS (SELECT {fit} FROM lineitem WHERE l_linenumber % 2 = 1) SELECT l_linenumber, {out} FROM lineitem CROSS JOIN f GROUP BY l_linenumber"
+    return f"WITH f AS (SELECT {fit} FROM lineitem) SELECT l_linenumber, {out} FROM lineitem CROSS JOIN f GROUP BY l_linenumber"
 
 
 _CHARS = ", ".join(
@@ -340,7 +460,7 @@ ORACLES = {
       SELECT registrable, round(avg(h), 6) AS entropy, count(*) AS sections FROM h GROUP BY registrable""",
     "path_char_classes": f"WITH {_P}, {_SECTIONS} SELECT registrable, {_CHARS} FROM sec GROUP BY registrable",
     "subdomain_stats": f"""WITH {_P}, n AS (SELECT registrable, len(unnest(list_filter(string_split(subdomain, '.'), lambda x: trim(x) <> '' AND x <> 'www'))) AS n FROM p)
-      SELECT registrable, coalesce(round(avg(n), 2), 0) AS mean, coalesce(round(var_samp(n), 2), 0) AS variance, CAST(max(n) AS DOUBLE) AS most FROM n GROUP BY registrable""",
+      SELECT registrable, coalesce(round_even(avg(n), 2), 0) AS mean, coalesce(round_even(var_samp(n), 2), 0) AS variance, CAST(max(n) AS DOUBLE) AS most FROM n GROUP BY registrable""",
     "party_split": f"WITH {_P} SELECT CASE WHEN contains(registrable, 'tion') OR contains(subdomain, 'tion') THEN 'first' ELSE 'third' END AS party, count(*) AS n, count(DISTINCT host) AS hosts FROM p GROUP BY 1",
     "fuzzy_subdomain": f"""WITH {_P}, x AS (
         SELECT DISTINCT a.registrable, a.subdomain AS l, b.subdomain AS r, 1 - levenshtein(a.subdomain, b.subdomain) / greatest(len(a.subdomain), len(b.subdomain)) AS sim
@@ -358,15 +478,26 @@ ORACLES = {
         ELSE greatest(1, len(list_distinct(list_filter(string_split(new, ' '), lambda w: NOT list_contains(string_split(old, ' '), w))))) END) AS BIGINT) AS words FROM b GROUP BY conv_id""",
     "label_join": "WITH l AS (SELECT doc_id, max(quality) AS y FROM labels GROUP BY doc_id) SELECT coalesce(y, -1) AS cv_detect, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents LEFT JOIN l USING (doc_id) GROUP BY 1",
     "pivot_types": "SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{n}') AS p{n[0]}" for n in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + ", count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) AS others FROM orders GROUP BY o_orderstatus",
-    "mismatch_predicate": "WITH k AS (SELECT ['text/css', 'text/html; charset=utf-8', 'image/png', 'application/javascript', 'application/json'][page_id % 5 + 1] AS t FROM pages) SELECT "
-    + ", ".join(f"count(*) FILTER (regexp_matches(t, '{p}')) AS {n}" for n, p in CONTENT_CLASSES.items())
-    + ", count(*) FILTER (NOT contains(t, 'css')) AS wrong FROM k",
-    "anti_resume": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "mismatch_predicate": f"WITH {_T} SELECT class, count(*) AS n, {', '.join(f'count(*) FILTER (wrong_{k}) AS wrong_{k}' for k in urls.MISMATCHES)} FROM tw GROUP BY class",
+    "header_filter": f"""WITH {_REQUESTS} SELECT page_id,
+      (cache_control IS NULL OR NOT contains(cache_control, 'max-age') OR coalesce(TRY_CAST(regexp_extract(cache_control, 'max-age=([^,:]*)', 1) AS BIGINT) < 3456000, false))
+        AND (length = -1 OR CASE WHEN contains(coalesce(content_type, ''), 'image') THEN length > 2048 ELSE length > 100 END) AS keep,
+      TRY_CAST(regexp_extract(cache_control, 'max-age=([^,:]*)', 1) AS BIGINT) AS age, regexp_matches(path, '(\\.css|\\.js|\\.png|jpeg|gif|jpg|webp)$') AS important FROM rq""",
+    "request_feature_parts": _request_sql()[1],
+    "page_classes": "SELECT page_id, page_id % 3 AS n, page_id % 4 AS n_no_rel, page_id % 5 AS n_leaf, page_id % 2 AS n_iframe FROM pages WHERE page_id % 3 + page_id % 4 + page_id % 5 + page_id % 2 > 0",
+    "anti_resume": "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000)",
     "scale_standard": _scale_sql("avg({c})", "stddev_pop({c})"),
     "scale_minmax": _scale_sql("min({c})", "max({c}) - min({c})"),
     "scale_robust": _scale_sql("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"),
     "rule_matching": f"""WITH {_P} SELECT page_id, NOT (registrable = 'example.org' AND page_id % 3 = 2) AS blocked FROM p
       WHERE (registrable = 'example.net' AND page_id % 3 = 1) OR registrable = 'example.org'""",
-    "rule_classify": f"""WITH {_P}, r AS (SELECT page_id % 6 AS k FROM p)
-      SELECT ['request_blocking', 'element_hiding', 'whitelist', 'extended_hiding', 'snippet_abort', 'request_blocking'][k + 1] AS class, count(*) AS n, CAST(sum([1, 1, 0, 2, 1, 2][k + 1]) AS BIGINT) AS domains FROM r GROUP BY 1""",
+    "rule_classify": f"""WITH {_P}, r AS (SELECT page_id, replace({list(_RULES)!r}[page_id % {len(_RULES)} + 1], 'H', host) AS r FROM p), d AS (
+        SELECT page_id, r, CASE WHEN starts_with(r, '!') OR starts_with(r, '@@') OR contains(r, '$popup') OR contains(r, 'third-party') THEN []
+          WHEN contains(r, 'domain=') THEN list_filter(string_split(split_part(r, 'domain=', 2), '|'), lambda x: NOT starts_with(x, '~'))
+          WHEN starts_with(r, '||') THEN CASE WHEN contains(r, '^') THEN [split_part(substr(r, 3), '^', 1)] ELSE [] END
+          WHEN regexp_matches(r, '#[$?]?#') THEN string_split(regexp_extract(r, '^(.*?)(?:#\\$#|#\\?#|##)', 1), ',') ELSE [] END AS d FROM r)
+      SELECT page_id, CASE WHEN starts_with(r, '!') THEN NULL WHEN starts_with(r, '@@') OR contains(r, '#@#') THEN 'whitelist'
+        WHEN contains(r, '#$#') THEN CASE WHEN contains(r, 'abort') THEN 'snippet_abort' WHEN regexp_matches(r, 'hide-if-(contains|has-and-matches-style|shadow-contains)') THEN 'snippet_hide' ELSE 'snippet_misc' END
+        WHEN contains(r, '#?#') OR contains(r, '##') THEN 'element_hiding' ELSE 'request_blocking' END AS class,
+        array_to_string(list_filter(list_transform(d, lambda x: regexp_replace(x, '^-', '')), lambda x: x <> ''), ' ') AS domains FROM d""",
 }

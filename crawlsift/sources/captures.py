@@ -44,9 +44,37 @@ def read_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def inventory(captures: DataFrame) -> DataFrame:
-    """One row a file: the capture instance without its events, keyed by file."""
+    """One row a file: the capture instance without its events.
+
+    crawl_group_name and file_name are its natural key, id a hash of both; is_control tells its arm.
+    """
     kept = [c for c in captures.columns if c not in ("cvwebrequests", "dommutation")]
-    return captures.select(*kept).dropDuplicates(["file"])
+    name = F.substring_index("file", "/", -1)
+    rows = captures.select(*kept).withColumns({"crawl_group_name": F.col("prefix"), "file_name": name, "file_path": F.substring_index("file", "/", -2), "is_control": F.col("arm") == "control"})
+    return rows.withColumn("id", F.xxhash64("crawl_group_name", "file_name")).dropDuplicates(["crawl_group_name", "file_name"])
+
+
+def instance_of(rows: DataFrame, instances: DataFrame) -> DataFrame:
+    """Rows with the id of the instance of their group and file, null where there is none."""
+    return rows.join(instances.select("crawl_group_name", "file_name", F.col("id").alias("instance_id")), ["crawl_group_name", "file_name"], "left")
+
+
+def group_instances(groups: DataFrame, instances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row an arm and trial of each group with its instance's columns, ids that no instance has).
+
+    groups: control_ids and variant_ids in trial order. Trials are numbered from 0 by their place.
+    """
+    each = groups.select(*(c for c in groups.columns if c not in ("control_ids", "variant_ids")), F.explode(F.map_from_arrays(F.array(F.lit("control"), F.lit("variant")), F.array("control_ids", "variant_ids"))).alias("arm", "_ids"))
+    placed = each.select(*(c for c in each.columns if c != "_ids"), F.posexplode("_ids").alias("trial", "file"))
+    known = instances.select("file", *(c for c in instances.columns if c not in placed.columns))
+    return placed.join(known, "file"), placed.join(known, "file", "left_anti").select("arm", "trial", "file")
+
+
+def paired_groups(requests: DataFrame, mutations: DataFrame) -> DataFrame:
+    """Request groups with the mutation group of the same name and site; discarded ones are left out, of several the first."""
+    order = [F.array_join("variant_ids", ",")]
+    live = lambda g, p: g.where(~F.col("discard")).groupBy("key", "url").agg(*(F.min_by(c, order[0]).alias(f"{p}_{c}") for c in ("control_ids", "variant_ids")))
+    return live(requests, "request").join(live(mutations, "mutation"), ["key", "url"])
 
 
 def request_events(captures: DataFrame, status: str | None = None) -> DataFrame:
@@ -71,4 +99,20 @@ def mutation_events(captures: DataFrame) -> DataFrame:
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Page sources: file parts and html, one row a file."""
     rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path).withColumn("file", F.input_file_name())
-    return rows.select(*file_parts(F.col("file")), F.col("value").alias("html"))
+    return rows.select("file", *file_parts(F.col("file")), F.col("value").alias("html"))
+
+
+def source_names(captures: DataFrame) -> DataFrame:
+    """(key, arm, trial, source_name): the page source's file name that goes with each capture of requests or mutations."""
+    stem = F.regexp_replace(F.substring_index("file", "/", -1), r"--cv(webrequests|dommutation)(vanilla)?\.json$", "")
+    return captures.select("key", "arm", "trial", F.concat(stem, F.lit(".html")).alias("source_name")).distinct()
+
+
+def with_sources(captures: DataFrame, sources: DataFrame) -> DataFrame:
+    """(key, arm, trial, html): each load's page source, by its exact name, else the first that starts with its stem."""
+    names = source_names(captures)
+    named = sources.withColumn("_name", F.substring_index("file", "/", -1))
+    stem = F.regexp_replace("source_name", r"\.html$", "")
+    both = names.join(named.select(F.col("arm").alias("_arm"), F.col("key").alias("_key"), F.col("trial").alias("_trial"), "_name", "html"), (F.col("key") == F.col("_key")) & (F.col("trial") == F.col("_trial")) & (F.col("arm") == F.col("_arm")) & F.startswith("_name", stem))
+    exact = F.when(F.col("_name") == F.col("source_name"), 0).otherwise(1)
+    return both.groupBy("key", "arm", "trial").agg(F.min_by("html", F.struct(exact, "_name")).alias("html"))

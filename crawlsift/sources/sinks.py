@@ -20,9 +20,45 @@ def insert_absent(spark: SparkSession, rows: DataFrame, path: str, key: Sequence
     (fresh if known is None else fresh.join(known, list(key), "left_anti")).write.mode("append").parquet(path)
 
 
-def write_groups(groups: DataFrame, path: str) -> None:
-    """Diff groups, discarded ones in a partition of their own."""
-    groups.write.mode("overwrite").partitionBy("discard").parquet(path)
+def append_events(events: DataFrame, instances: DataFrame, path: str, file: str = "file") -> None:
+    """Raw events with the id of the capture instance that they are of, appended."""
+    events.join(instances.select(file, F.col("id").alias("instance_id")), file).write.mode("append").parquet(path)
+
+
+def upsert_groups(spark: SparkSession, groups: DataFrame, path: str, key: Sequence[str] = ("crawl_group_name", "crawl_type")) -> str:
+    """Merges diff groups into a new version of the table at path, and returns the version's path.
+
+    Discarded groups replace what the table has; real ones are inserted where it has none. A version is written whole
+    and read by the newest name, so a writer that is lost leaves the last version as it was.
+    """
+    versions = table_versions(spark, path)
+    fresh = groups.dropDuplicates(list(key))
+    if versions:
+        old = latest_groups(spark, path)
+        kept = old.join(fresh.where("discard").select(*key), list(key), "left_anti")
+        new = fresh.where(~F.col("discard")).join(old.select(*key), list(key), "left_anti")
+        whole = kept.unionByName(fresh.where("discard")).unionByName(new)
+    else:
+        whole = fresh
+    target = f"{path}/v{len(versions):08d}"
+    whole.write.partitionBy("discard").parquet(target)
+    return target
+
+
+def latest_groups(spark: SparkSession, path: str) -> DataFrame:
+    """The newest complete version of a table of groups."""
+    return spark.read.parquet(f"{path}/{table_versions(spark, path)[-1]}").withColumn("discard", F.col("discard").cast("boolean"))
+
+
+def table_versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of a table's complete versions, oldest first."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(root):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(root)]
+    return sorted(n for n in names if n.startswith("v") and store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
 
 
 def diff_groups(captures: DataFrame, trials: int) -> DataFrame:
@@ -48,3 +84,28 @@ def trial_growth_csv(cumulative: DataFrame, by: str, trial: str, trials: int, pa
     """A row a site, a column a trial."""
     wide = cumulative.groupBy(by).pivot(trial, list(range(trials))).agg(F.first("seen"))
     wide.select(by, *(F.col(str(t)).alias(f"trial_{t}") for t in range(trials))).write.mode("overwrite").option("header", True).csv(path)
+
+
+def truncated_csv(rows: DataFrame, path: str, columns: Sequence[str], label: str = "cv_detect") -> None:
+    """Labelled and unlabelled rows apart, with only the named features, sorted by site."""
+    kept = rows.select("crawl_url", *columns, label)
+    for name, part in (("ground_truth", kept.where(F.col(label) >= 0)), ("unlabelled", kept.where(F.col(label) < 0))):
+        part.orderBy("crawl_url").write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def save_parameters(spark: SparkSession, parameters: dict[str, tuple[float, float]], path: str) -> None:
+    """A fitted scaler as a small table (column, centre, spread)."""
+    spark.createDataFrame([(c, *p) for c, p in parameters.items()], "column string, centre double, spread double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_parameters(spark: SparkSession, path: str) -> dict[str, tuple[float, float]]:
+    """A saved scaler: as many rows as it has columns."""
+    return {r["column"]: (r.centre, r.spread) for r in spark.read.parquet(path).collect()}
+
+
+def scaled_csv(rows: DataFrame, parameters: dict[str, tuple[float, float]], path: str) -> None:
+    """Rows scaled by a fitted scaler, sorted by site, and the scaler beside them."""
+    from crawlsift.operators.features import scaled
+
+    scaled(rows, parameters).orderBy("crawl_url").write.mode("overwrite").option("header", True).csv(f"{path}/rows")
+    save_parameters(rows.sparkSession, parameters, f"{path}/scaler")

@@ -7,14 +7,16 @@ from crawlsift.operators import features, html
 from crawlsift.streaming import series as streams
 
 PAGE = """<!DOCTYPE html><html><body>
-<div><a rel="nofollow" href="/x"><img src="/ad.png" width="300" height="250"></a><span>near</span></div>
-<a href="/y"><img src="/small.png" width="119" height="250"></a>
-<a href="/z"><img src="/logo.png"></a>
-<div style="display:none"><p><a href="/h"><img src="/hid.png"></a></p></div>
-<a class="leaf" href="https://c.example.com/d"></a>
-<iframe src="//f.example.com/i"></iframe><iframe></iframe>
-<div style="background: url('/b.png')">text here</div>
-<noscript><a href="/n"><img src="/n.png"></a></noscript><p>more <b>text</b></body></html>"""
+<div><p><a rel="nofollow" target="_blank" href="http://o.net/x?k=v"><img src="http://i.ad.net/ad.png" width="300" height="250"></a><span>near</span></p><ul><li>a</li></ul></div>
+<a rel="noopener" href="http://o.net/y"><img src="/small.png" width="119" height="250"></a>
+<a rel="no" href="http://o.net/z"><img src="/facebook.png"></a>
+<div style="display:none"><p><a rel="no" href="/h"><img src="/hid.png"></a></p></div>
+<a target="t" href="http://q.net/own"><img src="/own.png"></a>
+<a class="leaf" target="_blank" href="https://c.example.net/d"></a><a target="_blank" href="/words">words</a>
+<iframe src="//f.example.net/i"></iframe><iframe></iframe><iframe src="//g.net/tiny" width="1"></iframe><iframe src="http://h.com/self"></iframe>
+<a rel="no" target="blank" href="http://o.net/bg"><div style="background-image: url('http://bg.net/b.png')" src="x">text here</div></a>
+<footer><a rel="no" href="/f"><img src="/foot.png" abp-blocked-element="true"></a></footer>
+<noscript><a rel="no" href="/n"><img src="/n.png"></a></noscript><p>more <b>text</b></body></html>"""
 
 
 @pytest.fixture(scope="module")
@@ -24,38 +26,74 @@ def rows(spark):
 
 def test_elements(rows):
     one = rows.where("page = 1")
-    assert one.where("tag = 'img'").count() == 5 and one.where("in_noscript and tag = 'img'").count() == 1
+    assert one.where("tag = 'img'").count() == 7 and one.where("in_noscript and tag = 'img'").count() == 1
     assert rows.where("page in (2, 3)").count() == 0
     deepest = one.where(F.col("attributes")["src"] == "/hid.png").first()
-    assert deepest.depth == 5 and deepest.siblings == 0
+    assert deepest.depth == 5 and deepest.siblings == 0 and deepest.hidden_above and not deepest.hidden
     words = {r.word for r in html.visible_words(["page"], one).collect()}
     assert {"text", "here", "more", "near"} <= words
-
-
-def test_selection(rows):
-    chosen = html.selected(["page"], rows)
-    assert {(r["class"], (r.attributes or {}).get("src")) for r in chosen.where("page = 1").collect()} == {("linked_image_rel", "/ad.png"), ("linked_image", "/small.png"), ("linked_image", "/logo.png"), ("linked_image", "/hid.png"), ("leaf", None), ("iframe", "//f.example.com/i"), ("background", None)}
-    kept = html.qualified(chosen)
-    assert {r["class"] for r in kept.collect()} == {"linked_image_rel", "leaf", "iframe", "background"}
-    f = html.page_features(["page"], kept).first()
-    assert (f.linked_image_rel_count, f.linked_image_count, f.linked_image_rel_siblings, f.iframe_with_siblings) == (1, 0, 0.0, 1)
-    urls = {r.element_url for r in html.element_urls(rows.where("tag = 'iframe'")).collect()}
-    assert urls == {"//f.example.com/i"}
-
-
-def test_ancestry_and_places(rows):
-    images = rows.where("page = 1 and tag = 'img'")
-    up = {r.attributes["src"]: r for r in html.ancestry(["page"], images, rows).collect()}
-    assert up["/ad.png"].link_level == 1 and up["/small.png"].link_level is None
-    assert up["/ad.png"].far_siblings > 1 and up["/hid.png"].sibling_levels == 1 and not up["/ad.png"].ancestor_word
-    got = html.corresponding(["page"], rows, rows.where("attributes['src'] != '/ad.png'"), "img", most=1).first()
-    assert (got.places, got.matched) == (4, 3)
+    first = one.where("tag = 'div'").orderBy("number").first()
+    assert one.where(f"number > {first.number} and number <= {first.last}").count() == 6
+    link = one.where(F.col("attributes")["src"] == "http://i.ad.net/ad.png").first().link
+    assert (link.tag, link.siblings, link.levels, link.before_tag, link.after_tag, link.after_contents, link.word_above) == ("a", 1, 2, None, "ul", 1, False)
+
+
+def test_deep_pages_stay_small(spark):
+    """Unclosed elements are nested, but an element's row does not grow with its depth."""
+    page = "<p>" * 5000
+    found = html.elements(spark.createDataFrame([(1, page)], "p int, html string"))
+    r = found.agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max("last").alias("last")).first()
+    assert (r.n, r.d, r["last"]) == (5000, 4999, 4999)
+
+
+def test_selection_and_ladder(rows):
+    chosen = html.selected(rows.where("page = 1"))
+    assert {(r["class"], r.attributes.get("src")) for r in chosen.collect()} == {("", "http://i.ad.net/ad.png"), ("", "/small.png"), ("", "/facebook.png"), ("", "x"), ("_no_rel", "/own.png"), ("_leaf", None), ("_iframe", "//f.example.net/i"), ("_iframe", "http://h.com/self")}
+    ready = chosen.withColumns({"site": F.lit("h.com"), "word": F.lit("h")})
+    kept = html.qualified(ready, ["page"], "site", "word")
+    # too small, a social word, and a frame of the site itself are out; the image among words has no sibling
+    assert {(r["class"], r.attributes.get("src")) for r in kept.collect()} == {("", "http://i.ad.net/ad.png"), ("", "x"), ("_no_rel", "/own.png"), ("_leaf", None), ("_iframe", "//f.example.net/i")}
+    stopped = html.qualified(ready.withColumn("stopped", F.array(F.lit("http://i.ad.net/ad.png"), F.lit("http:https://c.example.net/d"), F.lit("https://c.example.net/d"))), ["page"], "site", "word", blocked="stopped")
+    assert {(r["class"], r.attributes.get("src")) for r in stopped.collect()} == {("", "x"), ("_no_rel", "/own.png"), ("_iframe", "//f.example.net/i")}
+    sizes = ready.sparkSession.createDataFrame([("//h.com/own.png", 50, 50)], "url string, width int, height int")
+    assert html.qualified(ready, ["page"], "site", "word", sizes).where("class = '_no_rel'").count() == 0
+    own = ready.where("class = '_no_rel'").withColumns({"site": F.lit("q.net"), "word": F.lit("q"), "there": F.array(F.lit("http://q.net/own.png"))})
+    assert html.qualified(own, ["page"], "site", "word").count() == 1 and html.qualified(own, ["page"], "site", "word", control="there").count() == 0
+    measured = html.element_measures(kept)
+    trials = ready.sparkSession.createDataFrame([(1, 0), (1, 1)], "page int, trial int")
+    f = html.page_features(measured.withColumn("trial", F.lit(0)), trials, ["page"], "trial").first().asDict()
+    assert len(f) == 1 + 100
+    # one of two trials has elements: halves
+    assert f["pagesource_var_sld_mm_with_parent_count"] == 1.0 and f["pagesource_var_parent_sibling_count"] == 7.0 and f["pagesource_var_parent_depth"] == 0.5
+    assert f["pagesource_var_ancestor_next_tag_count_ul"] == 0.5 and f["pagesource_var_ancestor_next_children"] == 0.25 and f["pagesource_var_ancestor_previous_tag_count_div"] == 0.0 and f["pagesource_var_subdomain_entropy_leaf"] == 0.0
+
+
+def test_text_features(spark):
+    pages = spark.createDataFrame([("s", "v", "<p>please Disable now</p><script>x</script>"), ("s", "c", "<p>please</p><noscript>now</noscript>")], "site string, arm string, html string")
+    e = html.elements(pages)
+    f = html.text_features(["site"], e.where("arm = 'v'"), e.where("arm = 'c'")).first()
+    assert (f.pagesource_var_text_diff, f.pagesource_var_characters, f.pagesource_var_adblock_keyword, f.pagesource_var_new_lines) == (1, 7, 1, 0)
+
+
+def test_correspondence(spark):
+    frame = lambda x: f'<html><body><div id="slot" class="{x}"><iframe src="http://o.net/f"></iframe></div><div><iframe src="http://h.com/f"></iframe></div></body></html>'
+    variant = '<html><body><div id="slot" class="a"><img src="1"><p><img src="2"></p><img src="3" width="5"></div><div><iframe></iframe></div></body></html>'
+    make = lambda text: html.elements(spark.createDataFrame([(1, 0, text)], "page int, trial int, html string")).withColumns({"site": F.lit("h.com"), "word": F.lit("h")})
+    # a div after another differs by its place; the second slot is the site's own
+    r = html.corresponding(make(frame("a")), make(variant), ["page", "trial"], "site", "word").first()
+    assert (r.corresp_img_tp, r.corresp_iframe_tp, r.corresp_img_fp, r.corresp_iframe_fp) == (2, 0, 0, 1)
+    loose = html.corresponding(make(frame("other")), make(variant), ["page", "trial"], "site", "word").first()
+    assert loose.corresp_img_tp == 2
+    few = html.corresponding(make(frame("a")), make(variant), ["page", "trial"], "site", "word", most=0).first()
+    assert few.corresp_img_tp == 0
+    f = html.corresponding_features(html.corresponding(make(frame("a")), make(variant), ["page", "trial"], "site", "word"), spark.createDataFrame([(1, 0), (1, 1)], "page int, trial int"), ["page"], "trial").first()
+    assert f.pagesourcecorres_var_corresp_img_tp == 1.0
 
 
 def test_links(spark):
-    page = '<a href="/a/b/c">1</a><a href="/d">2</a><a rel="x" href="/r">3</a><a href="#f">4</a><a href="javascript:1">5</a><a href="/">6</a>'
-    found = html.links(spark.createDataFrame([(1, page)], "p int, html string"), ["p"], F.lit("h.com"))
-    assert {(r.link, r.path_depth) for r in found.collect()} == {("http://h.com/a/b/c", 3), ("http://h.com/d", 1)}
+    page = "".join(f'<a href="{h}">x</a>' for h in ("/a/b/c", "/d", "#f", "javascript:1", "/", "/x.html", "/about/us", "http://blog.shop.com/", "http://blog.shop.com/p?q=1", "http://other.net/a", "/e#part", "http://shop.com/long/er", "/d?q=1")) + '<a rel="x" href="/r">3</a>'
+    found = html.links(spark.createDataFrame([(1, page)], "p int, html string"), ["p"], F.lit("www.shop.com"))
+    assert [(r.link, r.path_depth, r.other_subdomain) for r in found.orderBy("place").collect()] == [("http://shop.com/a/b/c", 3, False), ("http://shop.com/long/er", 2, False), ("http://blog.shop.com/p?q=1", 1, True), ("http://shop.com/d", 1, False)]
 
 
 def test_feature_tables(spark):
