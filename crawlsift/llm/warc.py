@@ -17,8 +17,8 @@ from crawlsift.llm.storage import new_path, saved
 CRLF = "\r\n"
 #: Payloads shorter than this are always stored whole.
 REVISIT_BYTES = 1000
-#: Bounds an archive file, and so what one reading task holds at once.
-RECORDS_PER_FILE = 1000
+#: Bounds of an archive file: records, and bytes before compression as far as an average tells; one step of inflating it.
+RECORDS_PER_FILE, FILE_BYTES, CHUNK = 1000, 64 << 20, 1 << 20
 START = "2024-01-01T00:00:00Z"
 RUN = "urlkey string, timestamp string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long, run string"
 
@@ -45,8 +45,8 @@ def record(started: str) -> Column:
     at = F.date_format(F.timestamp_seconds(F.unix_timestamp(base) + F.coalesce(F.pmod("page_id", F.lit(10**9)), F.lit(0))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     urn = lambda page: F.concat(F.lit("<urn:page:"), page.cast("string"), F.lit(">"))
     revisit = F.col("record_type") == "revisit"
-    # line ends inside a URL would end its header line
-    url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
+    # line ends inside a URL would end its header line; a null one has no line
+    url = F.regexp_replace("url", r"[\r\n]", "%0A")
     head = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
@@ -63,10 +63,15 @@ def record(started: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF + CRLF), F.when(revisit, F.lit("")).otherwise(F.col("html")))
 
 
-def write_archives(pages: DataFrame, path: str, started: str = START, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzip-compressed WARC files under path, by Spark's own writer, so that lost tasks leave nothing half-written."""
+def write_archives(pages: DataFrame, path: str, started: str = START, records_per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Gzip-compressed WARC files under path, by Spark's own writer, so that lost tasks leave nothing half-written.
+
+    Files hold fewer records where pages are large on average, so that a reading task's file stays near file_bytes.
+    """
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    most = max(1, min(records_per_file, int(file_bytes / max(1.0, mean))))
     rows = planned(pages).select(record(started).alias("value"))
-    rows.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    rows.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def url_key(url: str) -> str:
@@ -83,19 +88,41 @@ def url_key(url: str) -> str:
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, block) of each record of a gzip-compressed WARC file; offsets before compression."""
-    data = zlib.decompressobj(31).decompress(content)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split(CRLF)
+    """(offset, length, headers, block) of each record of a gzip-compressed WARC file; offsets before compression.
+
+    The file is inflated a step at a time: beside it, one record and one step are in memory.
+    """
+    inflate, tail = zlib.decompressobj(31), content
+    held, base, at = bytearray(), 0, 0  # what is inflated and not given yet begins at `at`, byte `base` of the archive
+
+    def more() -> bool:
+        nonlocal tail, at
+        if inflate.eof or not tail:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(inflate.decompress(tail, CHUNK))
+        tail = inflate.unconsumed_tail
+        return True
+
+    while True:
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                if len(held) > at:
+                    raise ValueError(f"no WARC record at byte {base}")
+                return
+        lines = bytes(held[at:end]).decode().split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record at byte {base}")
         head = dict(x.split(": ", 1) for x in lines[1:])
-        block = end + 4
-        stop = block + int(head["Content-Length"])
-        yield at, stop + 4 - at, head, data[block:stop]
-        at = stop + 4
+        block = end + 4 - at
+        size = block + int(head["Content-Length"]) + 4
+        while len(held) - at < size:
+            if not more():
+                raise ValueError(f"the record at byte {base} is cut short")
+        yield base, size, head, bytes(held[at + block : at + size - 4])
+        at += size
+        base += size
 
 
 def _page(urn: str | None) -> int | None:
@@ -117,9 +144,9 @@ def _read(files: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size, digest = int(head["X-Payload-Length"]), stated
                 elif digest != stated:
                     raise ValueError(f"{name}: payload at byte {offset} does not have its digest")
-                url = head["WARC-Target-URI"]
+                url = head.get("WARC-Target-URI")
                 stamp = re.sub(r"\D", "", head["WARC-Date"])
-                rows.append((url_key(url), stamp, _page(head["WARC-Record-ID"]), url, kind, _page(head.get("WARC-Refers-To")), size, digest, name, offset, length, name))
+                rows.append((url_key(url or ""), stamp, _page(head["WARC-Record-ID"]), url, kind, _page(head.get("WARC-Refers-To")), size, digest, name, offset, length, name))
             rows.sort(key=order)
             yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], pa.int64() if n in longs else pa.string()) for i, n in enumerate(names)})
 

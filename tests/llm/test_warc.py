@@ -1,8 +1,11 @@
 """Archives as an exact round trip; the loser tree and the index order against sorting."""
 
+import gzip
 import hashlib
 import random
 
+import pytest
+
 from crawlsift.llm import warc
 from crawlsift.llm.storage import new_path
 
@@ -22,6 +25,22 @@ def test_round_trip(spark):
         other = html == long and r.page_id != 9
         assert (r.record_type, r.refers_to) == (("revisit", 9) if other else ("response", None))
     assert [(r.urlkey, r.timestamp) for r in rows] == sorted((r.urlkey, r.timestamp) for r in rows)
+    assert {r.url for r in rows if r.page_id in (4, 9)} == {None, "http://a.example/"}
+
+
+def test_records_step_by_step(monkeypatch):
+    """Steps much shorter than a record, and a record much longer than a step; what is cut short is told."""
+    head = lambda n, text: f"WARC/1.1\r\nWARC-Type: response\r\nN: {n}\r\nContent-Length: {len(text)}\r\n\r\n"
+    texts = ["", "a\r\n\r\nb", "x" * 300_000, "y"]
+    whole = "".join(head(i, t) + t + "\r\n\r\n" for i, t in enumerate(texts)).encode()
+    for step in (1 << 20, 1000, 7):
+        monkeypatch.setattr(warc, "CHUNK", step)
+        found = list(warc.records(gzip.compress(whole)))
+        assert [b.decode() for _, _, _, b in found] == texts and [h["N"] for _, _, h, _ in found] == ["0", "1", "2", "3"]
+        for offset, length, _, block in found:
+            assert whole[offset : offset + length].endswith(block + b"\r\n\r\n")
+    with pytest.raises(ValueError):
+        list(warc.records(gzip.compress(whole[:-5])))
 
 
 def test_many_equal_urls_in_global_order(spark):
