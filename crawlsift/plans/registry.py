@@ -480,6 +480,13 @@ ORACLES = {
     "label_join": "WITH l AS (SELECT doc_id, max(quality) AS y FROM labels GROUP BY doc_id) SELECT coalesce(y, -1) AS cv_detect, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents LEFT JOIN l USING (doc_id) GROUP BY 1",
     "pivot_types": "SELECT o_orderstatus, " + ", ".join(f"count(*) FILTER (o_orderpriority = '{n}') AS p{n[0]}" for n in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + ", count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) AS others FROM orders GROUP BY o_orderstatus",
     "mismatch_predicate": f"WITH {_T} SELECT class, count(*) AS n, {', '.join(f'count(*) FILTER (wrong_{k}) AS wrong_{k}' for k in urls.MISMATCHES)} FROM tw GROUP BY class",
+    "link_rank": f"""WITH {_P}, l AS (
+        SELECT DISTINCT p.page_id, p.registrable, p.subdomain, unnest(regexp_extract_all(pages.html, '<a href="([^"]*)">', 1)) AS href FROM p JOIN pages USING (page_id)
+      ), f AS (
+        SELECT page_id, 'http://' || registrable || href AS link, len(href) - len(replace(href, '/', '')) AS path_depth, subdomain NOT IN ('', 'www') AS other_subdomain, NOT contains(href, '?') AS other_path FROM l
+        WHERE starts_with(href, '/') AND href <> '/' AND NOT regexp_matches(href, 'contact|login|terms|help|account|privacy|policies|#|iframe|faq|about|upload|download|subscribe|mailto|signup|[.]')
+      )
+      SELECT *, len(link) AS length, CAST(row_number() OVER (PARTITION BY page_id ORDER BY path_depth DESC, other_subdomain DESC, other_path DESC, len(link) DESC, link) AS INTEGER) AS place FROM f WHERE other_subdomain OR other_path""",
     "header_filter": f"""WITH {_REQUESTS} SELECT page_id,
       (cache_control IS NULL OR NOT contains(cache_control, 'max-age') OR coalesce(TRY_CAST(regexp_extract(cache_control, 'max-age=([^,:]*)', 1) AS BIGINT) < 3456000, false))
         AND (length = -1 OR CASE WHEN contains(coalesce(content_type, ''), 'image') THEN length > 2048 ELSE length > 100 END) AS keep,
