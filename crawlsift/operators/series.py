@@ -36,8 +36,8 @@ def binned(events: DataFrame, by: Sequence[str], time: str, start: Column, step:
 
 
 def packed(series: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """(by, s): a series' bins in order, as an array of structs of bin and values."""
-    return series.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", *dict.fromkeys(values)))).alias("s"))
+    """(by, _series): a series' bins in order, as an array of structs of bin and values."""
+    return series.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", *dict.fromkeys(values)))).alias("_series"))
 
 
 def spike_stats(series: DataFrame, by: Sequence[str], values: Sequence[str], least: int = SPIKE) -> DataFrame:
@@ -103,7 +103,7 @@ def mean_run(s: Column, value: str, least: int = SPIKE, quiet: int = 2) -> Colum
 def run_stats(series: DataFrame, by: Sequence[str], value: str, least: int = SPIKE, quiet: int = 2) -> DataFrame:
     """Number and mean length of runs; 0 without one."""
     rows = packed(series, by, [value])
-    return rows.select(*by, run_totals(F.col("s"), value, least, quiet)["runs"].alias("runs"), mean_run(F.col("s"), value, least, quiet).alias("mean_run"))
+    return rows.select(*by, run_totals(F.col("_series"), value, least, quiet)["runs"].alias("runs"), mean_run(F.col("_series"), value, least, quiet).alias("mean_run"))
 
 
 def spiking(x: Column, values: Sequence[str], least: int = SPIKE) -> Column:
@@ -142,7 +142,7 @@ def mean_delay(s: Column, block: str, values: Sequence[str], least: int = SPIKE,
 def block_delays(series: DataFrame, by: Sequence[str], block: str, spike: str, least: int = SPIKE, start: str | None = None) -> DataFrame:
     """Mean bins from a block to the first spike after it, and their number; see delay_totals."""
     rows = packed(series, by, [block, spike, *[start] * (start is not None)])
-    args = (F.col("s"), block, [spike], least, start)
+    args = (F.col("_series"), block, [spike], least, start)
     return rows.select(*by, mean_delay(*args).alias("mean_delay"), delay_totals(*args)["delays"].alias("delays"))
 
 
@@ -154,7 +154,7 @@ def after_last(s: Column, key: str, values: Sequence[str], least: int = SPIKE) -
 
 def events_after_last(series: DataFrame, by: Sequence[str], key: str, values: Sequence[str], least: int = SPIKE) -> DataFrame:
     """Bins from the last one where key is positive on, in which any of the values spikes; 0 if key never is."""
-    return packed(series, by, [key, *values]).select(*by, after_last(F.col("s"), key, values, least).alias("after_last"))
+    return packed(series, by, [key, *values]).select(*by, after_last(F.col("_series"), key, values, least).alias("after_last"))
 
 
 def trial_averages(trials: DataFrame, by: Sequence[str], arm: str, values: Sequence[str], control: object, variant: object) -> DataFrame:
@@ -261,7 +261,7 @@ def trial_features(series: DataFrame, by: Sequence[str]) -> DataFrame:
 
     series: by, bin and COUNTERS. Halves and fifths are of the bins that a series has; a short series has no fifths.
     """
-    s, n = F.col("s"), F.size("s")
+    s, n = F.col("_series"), F.size("_series")
     up = lambda v, least: F.filter(s, lambda x: x[v] >= least)
     values = lambda v, least: F.transform(up(v, least), lambda x: x[v])
     share = lambda v, first, end: F.coalesce(F.size(F.filter(up(v, 1), lambda x: (x["bin"] >= first) & (x["bin"] < end))) / F.nullif(end - first, F.lit(0)), F.lit(0.0))
