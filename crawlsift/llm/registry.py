@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import ann, bpe, langid, lines, mixing, neardup, quality, topk, toxicity, warc
+from crawlsift.llm import align, ann, bpe, langid, lines, mixing, neardup, quality, topk, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_ngram_join": neardup.op9_ngram_join,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_alignment": align.op11_token_alignment,
 }
 ORACLES = {
     "op2_exact_topk": topk.OP2_SQL,

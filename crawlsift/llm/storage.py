@@ -49,12 +49,12 @@ def saving(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written once to the shared folder and read again, so that a lost executor costs no recomputation of it."""
     spark = df.sparkSession
     path = new_path(spark, name)
     with saving(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table._saved_path = path
     return table
