@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import align, ann, bpe, langid, lines, mixing, neardup, quality, topk, toxicity, warc
+from crawlsift.llm import align, ann, bpe, langid, lines, mixing, neardup, quality, topk, toxicity, trie, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_ngram_join": neardup.op9_ngram_join,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_token_alignment": align.op11_token_alignment,
+    "op12_prefix_trie": trie.op12_prefix_trie,
 }
 ORACLES = {
     "op2_exact_topk": topk.OP2_SQL,
     "op4_warc": warc.OP4_SQL,
     "op6_approximate_neighbours": ann.OP6_SQL,
     "op9_ngram_join": neardup.OP9_SQL,
+    "op12_prefix_trie": trie.OP12_SQL,
 }
