@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crawlsift.llm import align, ann, bpe, langid, lines, mixing, neardup, quality, topk, toxicity, trie, warc
+from crawlsift.llm import align, ann, bpe, langid, lines, mixing, neardup, quality, recompress, topk, toxicity, trie, warc
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_token_alignment": align.op11_token_alignment,
     "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_substring_dedup": recompress.op13_substring_dedup,
 }
 ORACLES = {
     "op2_exact_topk": topk.OP2_SQL,
@@ -24,4 +25,5 @@ ORACLES = {
     "op6_approximate_neighbours": ann.OP6_SQL,
     "op9_ngram_join": neardup.OP9_SQL,
     "op12_prefix_trie": trie.OP12_SQL,
+    "op13_substring_dedup": recompress.OP13_SQL,
 }
