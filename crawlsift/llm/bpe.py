@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -46,9 +47,24 @@ SELECT w, tokens FROM t ORDER BY w
 """
 
 DECODE = """
-SELECT d, sha256(unhex(string_agg(hex, '' ORDER BY pos))) AS h
+SELECT d, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
 FROM tokens JOIN vocabulary USING (id) GROUP BY d
 """
+#: Tokens that one query decodes; a text's bytes go through its digest slice by slice.
+DECODE_TOKENS = 1 << 17
+#: A text may be cut where a space or a line feed follows anything but white space: a match of the pattern ends there,
+#: and the next one does not look back.
+_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+
+
+def slices(text: str, size: int) -> Iterator[str]:
+    """The text in slices of about `size` characters that are encoded apart; a single word is never cut."""
+    at = 0
+    while at < len(text):
+        cut = _CUT.search(text, at + size) if at + size < len(text) else None
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
 
 
 class Tokenizer:
@@ -227,11 +243,28 @@ class Tokenizer:
     def decoded_sha256(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """SHA-256 of each text's bytes, put together from its ids by an ordered aggregation."""
         d = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
-        tokens = pa.table({"d": d, "pos": np.arange(len(ids), dtype=np.int64), "id": ids})  # noqa: F841
-        out = [hashlib.sha256(b"").hexdigest()] * (len(bounds) - 1)
-        for text, digest in self.db.execute(DECODE).fetchall():
-            out[text] = digest
-        return out
+        out = [hashlib.sha256() for _ in range(len(bounds) - 1)]
+        self.decode(d, ids, out)
+        return [x.hexdigest() for x in out]
+
+    def decode(self, d: np.ndarray, ids: np.ndarray, digests: list) -> None:
+        """Puts the bytes of ids through the digests that d names, in order, DECODE_TOKENS at a time."""
+        for at in range(0, len(ids), DECODE_TOKENS):
+            some = slice(at, at + DECODE_TOKENS)
+            tokens = pa.table({"d": d[some], "pos": np.arange(len(ids[some]), dtype=np.int64), "id": ids[some]})  # noqa: F841
+            for text, data in self.db.execute(DECODE).fetchall():
+                digests[text].update(data)
+
+    def long_text(self, text: str) -> tuple[list[np.ndarray], str, str]:
+        """(ids by slice, digest of the ids, digest of the bytes decoded from them) of a text of any length."""
+        parts, sha, decoded = [], hashlib.sha256(), hashlib.sha256()
+        for s in slices(text, STEP_BYTES):
+            ids, _ = self.encode([s])
+            for at in range(0, len(ids), DECODE_TOKENS):
+                sha.update((("," if parts or at else "") + ",".join(map(self.decimal.__getitem__, ids[at : at + DECODE_TOKENS].tolist()))).encode())
+            self.decode(np.zeros(len(ids), np.int32), ids, [decoded])
+            parts.append(ids)
+        return parts, sha.hexdigest(), decoded.hexdigest()
 
 
 def pattern() -> str:
@@ -258,7 +291,7 @@ def encoded(documents: DataFrame, rank_path: str = RANKS, with_ids: bool = False
     with_ids adds ids (array<int>). A null text is an empty one: no tokens, the digests of nothing. Extra columns
     pass through, but for those that have a result's name: the result takes their place. Repeated rows give a row
     each; no rows give none. Texts are not shuffled; a task holds one Arrow batch and about STEP_BYTES of text in
-    queries, however long a text or a word of it is.
+    queries: a longer text goes through in slices, its digests running on; only a single word is never cut.
     """
     with open(rank_path, "rb") as f:
         ranks = documents.sparkSession.sparkContext.broadcast(f.read())
@@ -271,13 +304,20 @@ def encoded(documents: DataFrame, rank_path: str = RANKS, with_ids: bool = False
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             for a, b, _, _ in steps(column, STEP_BYTES):
-                ids, bounds = tok.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
-                shas, decimal = [], tok.decimal
-                for i in range(b - a):
-                    joined = ",".join(map(decimal.__getitem__, ids[bounds[i] : bounds[i + 1]].tolist()))
-                    shas.append(hashlib.sha256(joined.encode()).hexdigest())
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                if b - a == 1 and len(texts[0]) > STEP_BYTES:
+                    parts, sha, decoded = tok.long_text(texts[0])
+                    bounds, shas, decodeds = np.array([0, sum(map(len, parts))]), [sha], [decoded]
+                    ids = np.concatenate(parts) if with_ids else None
+                else:
+                    ids, bounds = tok.encode(texts)
+                    shas, decimal = [], tok.decimal
+                    for i in range(b - a):
+                        joined = ",".join(map(decimal.__getitem__, ids[bounds[i] : bounds[i + 1]].tolist()))
+                        shas.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decodeds = tok.decoded_sha256(ids, bounds)
                 columns = [c.slice(a, b - a) for c in batch.columns[:-1]]
-                columns += [pa.array(np.diff(bounds), pa.int64()), pa.array(shas, pa.string()), pa.array(tok.decoded_sha256(ids, bounds), pa.string())]
+                columns += [pa.array(np.diff(bounds), pa.int64()), pa.array(shas, pa.string()), pa.array(decodeds, pa.string())]
                 columns += [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))] * with_ids
                 yield pa.RecordBatch.from_arrays(columns, [*kept, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 

@@ -3,8 +3,10 @@
 import base64
 import hashlib
 import random
+import resource
 import time
 
+import numpy as np
 import public_tokenizers
 import tiktoken
 
@@ -48,6 +50,29 @@ def test_long_words_in_about_linear_time():
         assert time.process_time() - began < 60
 
 
+def test_long_texts(spark):
+    """8 and 50 MB of prose and odd white space: as the library has them, in bounded memory; 4 MB also through Spark."""
+    rng, enc = random.Random(8), reference()
+    words = ["".join(rng.choice("etaoinshrdlué漢") for _ in range(rng.randrange(1, 9))) for _ in range(5000)]
+    prose = "".join(rng.choice([" ", " ", " ", "\n", "  ", "\t", "\xa0 ", ", ", "'s "]) + rng.choice(words) for _ in range(1_000_000))
+    with open(bpe.RANKS, "rb") as f:
+        tok = bpe.Tokenizer(f.read())
+    for text in (prose[: 8 << 20], (prose * 20)[: 40_000_000]):
+        began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        parts, sha, decoded = tok.long_text(text)
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - began < 300 << 10
+        ids = np.concatenate(parts)
+        want = enc.encode_ordinary(text) if len(text) < 10 << 20 else [i for s in bpe.slices(text, 7 << 20) for i in enc.encode_ordinary(s)]
+        assert ids.tolist() == want
+        whole = hashlib.sha256()
+        for at in range(0, len(ids), 1 << 20):
+            whole.update((("," if at else "") + ",".join(map(str, ids[at : at + (1 << 20)].tolist()))).encode())
+        assert sha == whole.hexdigest() and decoded == hashlib.sha256(text.encode()).hexdigest()
+    text = prose[:4_000_000]
+    row = bpe.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), with_ids=True).first()
+    assert row.ids == enc.encode_ordinary(text) and row.n_tokens == len(row.ids) and row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_forgetting_changes_no_result(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
     rng, enc = random.Random(7), reference()
