@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
 #: Characters of text that one row of events stands for, and bytes of units that a worker remembers; both bound memory only.
 SLICE, CACHE_BYTES, UNIT_BYTES = 1 << 16, 64 << 20, 250
+#: Characters of text that are encoded at once.
+STEP = 1 << 18
 #: Pairs of ids whose counts are broadcast (12 bytes each); the counts of all others are joined.
 SHARED_PAIRS = 1 << 21
 #: Groups of B ids that counts are summed in; a group has 1/256 of all (A id, B id) pairs that the vocabularies allow at most.
@@ -30,8 +35,44 @@ _UNIT = re.compile(r"(?<=[^\s▁])(?=[ \n])")
 _DOC = 40
 
 
+class Tokens:
+    """Ids of many units in a row, in arrays that grow by doubling."""
+
+    def __init__(self):
+        self.first, self.flat, self.units, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.uint16), 0, 0
+
+    def add(self, counts: np.ndarray, ids: np.ndarray) -> None:
+        for name, need in (("first", self.units + len(counts) + 1), ("flat", self.ids + len(ids))):
+            if need > len(old := getattr(self, name)):
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, len(old)), old.dtype)]))
+        self.first[self.units + 1 : self.units + 1 + len(counts)] = self.ids + np.cumsum(counts)
+        self.flat[self.ids : self.ids + len(ids)] = ids
+        self.units, self.ids = self.units + len(counts), self.ids + len(ids)
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the units, where those of each end)."""
+        begin, count = self.first[at], self.first[at + 1] - self.first[at]
+        ends = np.cumsum(count)
+        return self.flat[np.repeat(begin - ends + count, count) + np.arange(ends[-1])], ends
+
+
+class Spelling:
+    """What the tokens of one side spell."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        raw = [tokens.get(i, b"") for i in range(1 << 16)]
+        self.length = np.array([len(x) for x in raw])
+        self.begin = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        size = self.length[ids]
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.begin[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Pair:
-    """Both tokenizers: ids and lengths in bytes of the tokens of a unit of text, remembered."""
+    """Both tokenizers: ids of the tokens of a unit of text, remembered."""
 
     def __init__(self, a_json: bytes, b_model: bytes):
         self.a = tokenizers.Tokenizer.from_str(a_json.decode())
@@ -43,45 +84,91 @@ class Pair:
         self.space = self.b.piece_to_id("▁")
         self.a_bytes = {i: _byte_level(t) for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
+        self.spelling = Spelling(self.a_bytes), Spelling(self.b_bytes)
+        self.plain = _ranked(json.loads(a_json), self.a_bytes)
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.held = 0
-        self.good = np.zeros(0, bool)
-        self.first = {"a": np.zeros(1, np.int64), "b": np.zeros(1, np.int64)}
-        self.flat = {"a": np.zeros(0, np.uint16), "b": np.zeros(0, np.uint16)}
+        self.bad: set[int] = set()
+        self.tokens = Tokens(), Tokens()
+
+    def a_ids(self, units: list[str]) -> list[list[int]]:
+        """By the rank library where it agrees with the other one for certain, several times faster."""
+        if self.plain is None:
+            return [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
+        encode = self.plain._core_bpe.encode_ordinary
+        out = [encode(u) if _LATIN.fullmatch(u) else None for u in units]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
     def learn(self, units: list[str]) -> None:
         """Tokens of new units; a unit is good if the tokens of both are its own bytes."""
-        a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
         # the model puts a space before each text; a unit that does not begin with one has it as a token of its own
-        b = [x[1:] if u[0] != " " else x or [self.space] for u, x in zip(units, b, strict=True)]
+        b = [x if u[0] == " " and x else [self.space] if u[0] == " " else x[1:] for u, x in zip(units, b, strict=True)]
         raw = [u.encode() for u in units]
-        good = [b"".join(map(self.a_bytes.__getitem__, x)) == w == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, w in zip(a, b, raw, strict=True)]
+        whole, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(w) for w in raw])
+        begin, bad = np.cumsum(size) - size, np.zeros(len(units), bool)
+        for ids, tokens, spelling in zip((self.a_ids(units), b), self.tokens, self.spelling, strict=True):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(counts.sum()))
+            tokens.add(counts, flat)
+            spelt = np.append(0, np.cumsum(spelling.length[flat]))
+            ends = np.cumsum(counts)
+            length = spelt[ends] - spelt[ends - counts]
+            bad |= length != size
+            if not bad.any() and np.array_equal(spelling.of(flat), whole):
+                continue
+            text = spelling.of(flat).tobytes()
+            upto = np.cumsum(length)
+            bad |= [text[x:y] != w for x, y, w in zip(upto - length, upto, raw, strict=True)]
+        self.bad.update((np.flatnonzero(bad) + len(self.known)).tolist())
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
-        self.good = np.concatenate([self.good, good])
-        for side, ids in (("a", a), ("b", b)):
-            self.first[side] = np.concatenate([self.first[side], self.first[side][-1] + np.cumsum([len(x) for x in ids])])
-            self.flat[side] = np.concatenate([self.flat[side], np.array([t for x in ids for t in x], np.uint16)])
-        self.held += sum(map(len, raw)) + UNIT_BYTES * len(units)
-
-    def encode(self, units: list[str]) -> tuple[bool, np.ndarray, np.ndarray]:
-        """(whether all are good, A ids, B ids)."""
+        self.held += len(whole) + UNIT_BYTES * len(units)
+
+    def encode(self, texts: list[str]) -> list[tuple[bool, bytes, bytes]]:
+        """Of each text: whether its tokens spell it, A ids, B ids, as 16-bit numbers."""
         if self.held > CACHE_BYTES:
             self.forget()
-        at = [self.known.get(u, -1) for u in units]
-        if -1 in at:
-            self.learn(list(dict.fromkeys(u for u, k in zip(units, at, strict=True) if k < 0)))
-            at = list(map(self.known.__getitem__, units))
-        at = np.array(at, np.int64)
-        out = []
-        for side in ("a", "b"):
-            begin, count = self.first[side][at], self.first[side][at + 1] - self.first[side][at]
-            ends = np.cumsum(count)
-            out.append(self.flat[side][np.repeat(begin - ends + count, count) + np.arange(ends[-1])])
-        return bool(self.good[at].all()), *out
+        units, upto = [], []
+        for t in texts:
+            units += _UNIT.split(t)
+            upto.append(len(units))
+        at = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [units[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(new)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        bounds = [0, *upto]
+        bad = np.isin(at, list(self.bad)) if self.bad else np.zeros(len(at), bool)
+        some = np.append(0, np.cumsum(bad))[bounds]
+        parts = []
+        for tokens in self.tokens:
+            ids, ends = tokens.of(at)
+            ends = np.append(0, ends)[bounds]
+            parts.append([ids[x:y].tobytes() for x, y in zip(ends, ends[1:])])
+        return list(zip((some[1:] == some[:-1]).tolist(), *parts, strict=True))
+
+
+#: Texts of these characters alone are split alike by both libraries (tested for all pairs of them).
+_LATIN = re.compile("[\n\x20-\x7e\xa1-\u017f]*")
+
+
+def _ranked(model: dict, tokens: dict[int, bytes]) -> tiktoken.Encoding | None:
+    """The same merges as ranks, where the file's order of merges is that of its ids; else None."""
+    kind = model["pre_tokenizer"]
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["model"]["merges"]]
+    made = [model["model"]["vocab"].get("".join(m)) for m in merges]
+    simple = kind["type"] == "ByteLevel" and kind["use_regex"] and not kind["add_prefix_space"] and not model["normalizer"] and not model["model"].get("ignore_merges")
+    if not simple or None in made or any(x >= y for x, y in zip(made, made[1:])):
+        return None
+    ranks = {tokens[i]: i for i in [*(i for i, t in tokens.items() if len(t) == 1), *made]}
+    return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == 256 + len(made) else None
 
 
 def _byte_level(token: str) -> bytes:
@@ -110,22 +197,34 @@ NO_TOKENS = 2
 def _events(files, size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair_of(files.value)
+
+        def rows(documents: list[tuple[int, int, list[str]]]) -> pa.RecordBatch:
+            found, out = iter(both.encode([s for *_, parts in documents for s in parts])), []
+            for k, doc, parts in documents:
+                at, mine, good = 0, [], True
+                for s in parts:
+                    fine, a, b = next(found)
+                    good &= fine
+                    mine += [(k, doc, at, 0, a), (k, doc, at, 1, b)]
+                    at += len(s.encode())
+                out += mine if good else [(k, doc, -1, NO_TOKENS, None)]
+            return _batch(out, EVENTS)
+
         for batch in batches:
-            rows, held = [], 0
+            waiting, held = [], 0
+            none = []
             for k, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine, at, good = [], 0, bool(text)
-                for s in slices(f" {text}", size) if text else ():
-                    good, a, b = both.encode(_UNIT.split(s))
-                    if not good:
-                        break
-                    mine += [(k, doc, at, 0, a.tobytes()), (k, doc, at, 1, b.tobytes())]
-                    at += len(s.encode())
-                rows += mine if good else [(k, doc, -1, NO_TOKENS, None)]
-                held += at
-                if held > 1 << 20:
-                    yield _batch(rows, EVENTS)
-                    rows, held = [], 0
-            yield _batch(rows, EVENTS)
+                if not text:
+                    none.append((k, doc, -1, NO_TOKENS, None))
+                    continue
+                waiting.append((k, doc, list(slices(f" {text}", size))))
+                held += len(text)
+                if held > STEP:
+                    yield rows(waiting)
+                    waiting, held = [], 0
+            if waiting:
+                yield rows(waiting)
+            yield _batch(none, EVENTS)
 
     return run
 
@@ -363,13 +462,6 @@ def pair_of(files: tuple[bytes, bytes]) -> Pair:
     return _pairs[key]
 
 
-def _lengths(pair: Pair) -> tuple[np.ndarray, np.ndarray]:
-    out = np.zeros((2, 1 << 16), np.int64)
-    for row, of in zip(out, (pair.a_bytes, pair.b_bytes), strict=True):
-        row[list(of)] = [len(x) for x in of.values()]
-    return out[0], out[1]
-
-
 def events(documents: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, slice_chars: int = SLICE) -> DataFrame:
     """(k, doc_id, at, side, ids): a row holds the token ends of one side in a slice of a document, as the tokens' ids
     from byte offset `at` on; k tells the rows of documents apart. A document without tokens has one row of side 2."""
@@ -382,7 +474,7 @@ def events(documents: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, sli
 def _swept(documents: DataFrame, a_file: str, b_file: str, groups: bool, slice_chars: int = SLICE) -> DataFrame:
     spark = documents.sparkSession
     with open(a_file, "rb") as f, open(b_file, "rb") as g:
-        a_length, b_length = _lengths(pair_of((f.read(), g.read())))
+        a_length, b_length = (x.length for x in pair_of((f.read(), g.read())).spelling)
     dealt = events(documents, a_file, b_file, slice_chars).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k").sortWithinPartitions("k", "at", "side")
     return dealt.mapInArrow(_sweep(a_length, b_length, groups), GROUPS if groups else SWEPT)
 

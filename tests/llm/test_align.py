@@ -97,3 +97,12 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     rows = align.aligned(docs).collect()
     assert len(rows) == 3 and sorted(r.count_sum for r in rows) == [3, 5, 5]
     assert align.aligned(docs.limit(0)).count() == 0
+
+
+def test_both_libraries_split_latin_alike():
+    pair = align.Pair(open(align.A_FILE, "rb").read(), open(align.B_FILE, "rb").read())
+    assert pair.plain is not None
+    letters = [c for c in map(chr, range(0x180)) if align._LATIN.fullmatch(c)]
+    texts = [a + b for a in letters for b in letters] + [a + b + c for a in " \n'a1.é" for b in " \n'a1.²s" for c in letters]
+    want = [e.ids for e in pair.a.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [list(x) for x in map(pair.plain.encode_ordinary, texts)] == want
