@@ -241,6 +241,18 @@ _IDS = np.arange(1 << 16)
 _DIGITS = np.stack([np.full(1 << 16, 44), *(48 + _IDS // 10**p % 10 for p in (4, 3, 2, 1, 0))], axis=1).astype(np.uint8)
 _PLACES = np.stack([np.ones(1 << 16, bool), *(_IDS >= 10**p for p in (4, 3, 2, 1)), np.ones(1 << 16, bool)], axis=1)
 
+#: Bytes of ids that the sweep works on at once.
+SWEEP_BYTES = 1 << 20
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SWEEP_BYTES of ids."""
+    step = np.cumsum([len(x) if x else 0 for x in batch.column(4).to_pylist()]) // SWEEP_BYTES
+    bounds = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), batch.num_rows]
+    for x, y in zip(bounds, bounds[1:]):
+        yield batch.slice(x, y - x)
+
+
 SWEPT = "k long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pa binary, pb binary, times binary"
 GROUPS = "doc_id long, end long, a array<int>, b array<int>"
 
@@ -256,7 +268,7 @@ def _sweep(a_length: np.ndarray, b_length: np.ndarray, groups: bool = False) ->
         def closed() -> list[tuple]:
             return [] if open_k is None else [(open_k, open_doc, 0, 0, 0, 0, "" if fresh else sha.hexdigest(), None, None, None)]
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in _parts(whole)):
             out: list[tuple] = []
             k, doc, at, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             docs = batch.column(1)
