@@ -36,6 +36,7 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tiles(k: int, tile_rows: int):
+    @np.errstate(over="ignore", invalid="ignore")
     def search(points: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         ids, qids = points.column("id").to_numpy(), queries.column("id").to_numpy()
@@ -57,12 +58,13 @@ def _tiles(k: int, tile_rows: int):
                 # the square is off by (d + 8) roundings of (|q| + |c|)^2 at most, its root by the root of that
                 sizes = np.sqrt(q_scale**2 * q_square)[:, None] + np.sqrt(c_scale**2 * c_square)[None, :]
                 about, room = np.sqrt(np.maximum(square, 0)), q_error[:, None] + c_error[None, :] + (SLACK + np.sqrt((d + 8) * np.finfo(float).eps)) * sizes
-                low, high = about - room - SLACK * about, about + room + SLACK * about
+                # components so large that squares overflow leave a bound undefined: such a pair is computed
+                low, high = about - room - SLACK * about, np.nan_to_num(about + room + SLACK * about, nan=np.inf, posinf=np.inf)
                 same = own[:, None] == part_ids[None, :]
                 high[same] = np.inf
                 limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k else np.full(len(rows), np.inf)
                 limit = np.minimum(limit, [-b[0][0] if len(b) == k else np.inf for b in best])
-                i, j = np.nonzero((low <= limit[:, None]) & ~same)
+                i, j = np.nonzero(~(low > limit[:, None]) & ~same)
                 exact = distances(wanted[i], part[j])
                 order = np.lexsort((part_ids[j], exact, i))
                 starts = np.searchsorted(i[order], np.arange(len(rows) + 1))
@@ -102,7 +104,7 @@ def _asking(shards: Shards) -> Callable:
                     box = np.sqrt((np.maximum(np.maximum(low[d] - m[i], m[i] - high[d]), 0) ** 2).sum(axis=1))
                     ball = np.sqrt(((centre[d] - m[i]) ** 2).sum(axis=1)) - radius[d]
                     room = SLACK * (1 + size[i] + kth[r] if np.isfinite(kth[r]) else 1)
-                    some = np.maximum(box, ball) - SLACK * (box + radius[d]) - room <= kth[r] if np.isfinite(kth[r]) else np.ones(len(number[d]), bool)
+                    some = ~(np.maximum(box, ball) - SLACK * (box + radius[d]) - room > kth[r]) if np.isfinite(kth[r]) else np.ones(len(number[d]), bool)
                     names = number[d][some & (number[d] != home[r])]
                     at += [int(r)] * len(names)
                     to += names.tolist()

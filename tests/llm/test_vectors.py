@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from crawlsift.llm import ann, topk, vectors
@@ -55,3 +57,15 @@ def test_nearest(spark):
 def test_empty(spark):
     points = vectors.clean(spark.createDataFrame([], SCHEMA), "vec_id", "embedding")
     assert topk.top_k(points, points).count() == 0 and ann.nearest(points, points).count() == 0
+
+
+def test_components_whose_squares_overflow(spark):
+    rows = [(i, [x, 1.0]) for i, x in enumerate([1e200, -1e200, 1e200, 3e200, 1.0, 2.0, 5e-200, 1e308])]
+    points = spark.createDataFrame(rows, "id long, v array<double>")
+    got = [tuple(r) for r in ann.nearest(points, points, k=3, shard_rows=2, tile_rows=2).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, v in rows:
+        with np.errstate(over="ignore"):
+            near = sorted((float(np.sqrt(np.sum((np.array(v) - np.array(u)) ** 2))), i) for i, u in rows if i != q)[:3]
+        want += [(q, k + 1, i, d) for k, (d, i) in enumerate(near)]
+    assert got == want
