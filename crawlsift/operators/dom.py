@@ -159,6 +159,13 @@ def mutation_difference(keyed: DataFrame, by: Sequence[str] = ("key",)) -> DataF
     return last_surplus_events(keyed.where(~F.col("blocked")), [*by, "kind"], "event_key", ["trial", "time", "place"])
 
 
+def _first(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Of the rows of each key the first by trial, time and place."""
+    rest = [c for c in rows.columns if c not in key]
+    least = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct("trial", "time", "place")).alias("_r"))
+    return least.select(*(c if c in key else F.col(f"_r.`{c}`").alias(c) for c in rows.columns))
+
+
 def mutation_features(difference: DataFrame, blocked: DataFrame, by: Sequence[str]) -> DataFrame:
     """The 291 DOM features of the variant's surplus events, one row a group.
 
@@ -168,7 +175,7 @@ def mutation_features(difference: DataFrame, blocked: DataFrame, by: Sequence[st
     """
     only = difference.where(F.col("side") == "variant").withColumn("_blocked", F.lit(False))
     # equal changes are one: the first of each key and pair of values
-    mine = only.where(F.col("kind") != "attribute").unionByName(only.where(F.col("kind") == "attribute").dropDuplicates([*by, "value_key"]))
+    mine = only.where(F.col("kind") != "attribute").unionByName(_first(only.where(F.col("kind") == "attribute"), [*by, "value_key"]))
     stopped = blocked.where((F.col("arm") == "variant") & F.col("blocked")).withColumns({"side": F.lit("variant"), "_blocked": F.lit(True)})
     rows = mine.unionByName(stopped, allowMissingColumns=True)
     new, old = style_map(F.coalesce("new_value", F.lit(""))), style_map(F.coalesce("old_value", F.lit("")))

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlsift.sources.stored import stored
+
 
 def without(columns: Sequence[str], exact: Sequence[str] = (), parts: Sequence[str] = ()) -> list[str]:
     """Names that are not in exact and hold none of parts."""
@@ -82,7 +84,7 @@ def ranked_value(values: DataFrame, column: str, shares: Sequence[float], parts:
     n_parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = values.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     bounds = rows.groupBy("x").agg(F.count("*").alias("n"))
-    ranged = bounds.repartitionByRange(n_parts, "x").withColumn("part", F.spark_partition_id())
+    ranged = stored(bounds.repartitionByRange(n_parts, "x").withColumn("part", F.spark_partition_id()), "ranks")
     counts = ranged.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.withColumn("before", before)

@@ -35,11 +35,12 @@ ELEMENTS = f"number int, parent int, depth int, tag string, attributes map<strin
 
 
 class _Element:
-    __slots__ = ("parent", "tag", "attrs", "kids", "contents", "texts", "noscript", "inside", "plain", "unformed", "last", "depth", "hidden", "small", "word", "single")
+    __slots__ = ("parent", "tag", "attrs", "kids", "contents", "texts", "noscript", "inside", "plain", "unformed", "last", "depth", "hidden", "small", "word", "single", "rank")
 
     def __init__(self, parent: int, tag: str, attrs: dict[str, str]):
         self.parent, self.tag, self.attrs = parent, tag, attrs
         self.kids, self.contents, self.texts, self.single = [], 0, [], None
+        self.rank = 0  # among its parent's kids, from 1
         style = attrs.get("style", "")
         self.hidden = bool(_HIDDEN.search(style))
         self.small = any(n is not None and n <= HIDDEN_SIZE for n in (_size(attrs, style, "height"), _size(attrs, style, "width")))
@@ -80,6 +81,7 @@ class _Page(HTMLParser):
         e.last = number
         if up is not None and not e.noscript:
             up.kids.append(number)
+            e.rank = len(up.kids)
             up.contents += 1
             up.single = number if up.contents == 1 else None
         e.plain = e.plain and clear if tag == "a" else e.plain
@@ -172,7 +174,7 @@ def _place(rows: list[_Element], number: int, loose: bool) -> int | None:
     if e.parent < 0 or e.noscript or "body" in _step(e, loose):
         return None
     kids = rows[e.parent].kids
-    at = kids.index(number) + 1 if len(kids) < 64 else number
+    at = e.rank
     parts = [f"{_step(e, loose)}:{len(kids)}:{at}" if len(kids) > 1 else _step(e, loose)]
     up = e.parent
     for _ in range(STEPS):

@@ -168,13 +168,13 @@ SELECT p_partkey, cv_detect, a, round_even(t / 100, 2) AS ts__last_time_diff FRO
 def capture_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as captures of page loads: the groups' trials with their instances' columns, by file."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    name = F.concat(F.lit("/c/"), F.when(F.col("o_orderkey") % 2 == 0, "control").otherwise("variant"), F.lit("/site__k"), F.col("o_custkey").cast("string"), F.lit("__trial"), (F.col("o_orderkey") % 4).cast("string"), F.lit("--cvwebrequests.json"))
+    name = F.concat(F.lit("/c/"), F.when(F.col("o_orderkey") % 2 == 0, "control").otherwise("variant"), F.lit("/site__k"), F.col("o_custkey").cast("string"), F.lit("__trial"), (F.floor(F.col("o_orderkey") / 2) % 4).cast("string"), F.lit("--cvwebrequests.json"))
     files = o.select(name.alias("file")).distinct().withColumn("url", F.lit("u"))
     found = captures.inventory(files.select("*", *captures.file_parts(F.col("file"))))
     return found.groupBy("key", "arm", "is_control", "signal").agg(F.count("*").alias("trials"), F.min("trial").alias("first"), F.max("file_name").alias("last_name"))
 
 
-INSTANCES_SQL = """WITH o AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 2 = 0 AS even, o_orderkey % 4 AS t FROM orders)
+INSTANCES_SQL = """WITH o AS (SELECT DISTINCT o_custkey AS c, o_orderkey % 2 = 0 AS even, o_orderkey // 2 % 4 AS t FROM orders)
 SELECT 'k' || c AS key, CASE WHEN even THEN 'control' ELSE 'variant' END AS arm, even AS is_control, 'requests' AS signal, count(*) AS trials, CAST(min(t) AS INTEGER) AS first,
   'site__k' || c || '__trial' || max(t) || '--cvwebrequests.json' AS last_name FROM o GROUP BY c, even"""
 

@@ -46,17 +46,22 @@ def read_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 def inventory(captures: DataFrame) -> DataFrame:
     """One row a file: the capture instance without its events.
 
-    crawl_group_name and file_name are its natural key, id a hash of both; is_control tells its arm.
+    crawl_group_name, file_name and arm are its natural key, id a hash of them; is_control tells the arm, which the
+    folder may decide alone. Of several files of one key, the one of the least path counts.
     """
     kept = [c for c in captures.columns if c not in ("cvwebrequests", "dommutation")]
     name = F.substring_index("file", "/", -1)
     rows = captures.select(*kept).withColumns({"crawl_group_name": F.col("prefix"), "file_name": name, "file_path": F.substring_index("file", "/", -2), "is_control": F.col("arm") == "control"})
-    return rows.withColumn("id", F.xxhash64("crawl_group_name", "file_name")).dropDuplicates(["crawl_group_name", "file_name"])
+    rows = rows.withColumn("id", F.xxhash64("crawl_group_name", "file_name", "arm"))
+    key = ["crawl_group_name", "file_name", "arm"]
+    least = rows.groupBy(*key).agg(F.min_by(F.struct(*(c for c in rows.columns if c not in key)), "file").alias("_r"))
+    return least.select(*(c if c in key else F.col(f"_r.`{c}`").alias(c) for c in rows.columns))
 
 
 def instance_of(rows: DataFrame, instances: DataFrame) -> DataFrame:
-    """Rows with the id of the instance of their group and file, null where there is none."""
-    return rows.join(instances.select("crawl_group_name", "file_name", F.col("id").alias("instance_id")), ["crawl_group_name", "file_name"], "left")
+    """Rows with the id of the instance of their group, file and (where they tell it) arm, null where there is none."""
+    key = ["crawl_group_name", "file_name", *["arm"] * ("arm" in rows.columns)]
+    return rows.join(instances.groupBy(*key).agg(F.min("id").alias("instance_id")), key, "left")
 
 
 def group_instances(groups: DataFrame, instances: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,40 +27,72 @@ def append_events(events: DataFrame, instances: DataFrame, path: str, file: str
     events.join(instances.select(file, F.col("id").alias("instance_id")), file).write.mode("append").parquet(path)
 
 
-def upsert_groups(spark: SparkSession, groups: DataFrame, path: str, key: Sequence[str] = ("crawl_group_name", "crawl_type")) -> str:
-    """Merges diff groups into a new version of the table at path, and returns the version's path.
+def upsert_groups(spark: SparkSession, groups: DataFrame, path: str, key: Sequence[str] = ("crawl_group_name", "crawl_type"), tries: int = 10) -> str:
+    """Merges diff groups into a new version of the table at path, and returns the version's folder.
 
-    Discarded groups replace what the table has; real ones are inserted where it has none. A version is written whole
-    and read by the newest name, so a writer that is lost leaves the last version as it was.
+    Discarded groups replace what the table has; real ones are inserted where it has none. A version's rows are written
+    to a folder of their own, then the version's number is claimed by a rename that fails where the number is taken: a
+    lost writer leaves nothing that readers or later writers see, and of two writers the second merges again into what
+    the first one wrote. Numbers only rise.
     """
-    versions = table_versions(spark, path)
     fresh = groups.dropDuplicates(list(key))
-    if versions:
-        old = latest_groups(spark, path)
-        kept = old.join(fresh.where("discard").select(*key), list(key), "left_anti")
-        new = fresh.where(~F.col("discard")).join(old.select(*key), list(key), "left_anti")
-        whole = kept.unionByName(fresh.where("discard")).unionByName(new)
-    else:
+    for _ in range(tries):
+        versions = table_versions(spark, path)
         whole = fresh
-    target = f"{path}/v{len(versions):08d}"
-    whole.write.partitionBy("discard").parquet(target)
-    return target
+        if versions:
+            old = latest_groups(spark, path)
+            kept = old.join(fresh.where("discard").select(*key), list(key), "left_anti")
+            new = fresh.where(~F.col("discard")).join(old.select(*key), list(key), "left_anti")
+            whole = kept.unionByName(fresh.where("discard")).unionByName(new)
+        folder = f"data-{uuid.uuid4().hex}"
+        whole.write.partitionBy("discard").parquet(f"{path}/{folder}")
+        number = int(versions[-1][1:]) + 1 if versions else 0
+        if _claim(spark, path, f"v{number:08d}", folder):
+            return f"{path}/{folder}"
+    raise RuntimeError(f"{tries} other writers were faster; the table at {path} is as they left it")
+
+
+def _claim(spark: SparkSession, path: str, version: str, folder: str) -> bool:
+    """Names the folder as a version, by the rename of a file that is complete; False if the version exists."""
+    jvm = spark.sparkContext._jvm
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/_versions/{name}")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    store = at(version).getFileSystem(conf)
+    out = store.create(at(f".{folder}"), False)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(version).toUri() if at(version).toUri().getScheme() else store.getUri(), conf)
+    try:
+        files.rename(at(f".{folder}"), at(version), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        store.delete(at(f".{folder}"), False)
+        return False
+    return True
 
 
 def latest_groups(spark: SparkSession, path: str) -> DataFrame:
-    """The newest complete version of a table of groups."""
-    return spark.read.parquet(f"{path}/{table_versions(spark, path)[-1]}").withColumn("discard", F.col("discard").cast("boolean"))
+    """The newest version of a table of groups."""
+    name = f"{path}/_versions/{table_versions(spark, path)[-1]}"
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(name)
+    stream = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(file)
+    try:
+        folder = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return spark.read.parquet(f"{path}/{folder}").withColumn("discard", F.col("discard").cast("boolean"))
 
 
 def table_versions(spark: SparkSession, path: str) -> list[str]:
-    """Names of a table's complete versions, oldest first."""
+    """Names of a table's versions, oldest first."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
+    root = jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(root):
         return []
-    names = [f.getPath().getName() for f in store.listStatus(root)]
-    return sorted(n for n in names if n.startswith("v") and store.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    return sorted(n for n in (f.getPath().getName() for f in store.listStatus(root)) if n.startswith("v"))
 
 
 def diff_groups(captures: DataFrame, trials: int) -> DataFrame:

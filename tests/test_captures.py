@@ -247,6 +247,34 @@ def test_versions_of_groups(spark, tmp_path):
     assert sinks.table_versions(spark, path) == ["v00000000", "v00000001"] and sinks.table_versions(spark, path + "x") == []
 
 
+def test_an_instance_an_arm(spark):
+    files = [("/d/control/site__k__trial0--cvwebrequests.json", "c"), ("/d/variant/site__k__trial0--cvwebrequests.json", "v"), ("/b/variant/site__k__trial0--cvwebrequests.json", "b")]
+    rows = captures.inventory(spark.createDataFrame(files, "file string, url string").select("*", *captures.file_parts(F.col("file")))).collect()
+    assert {(r.arm, r.url) for r in rows} == {("control", "c"), ("variant", "b")} and len({r.id for r in rows}) == 2
+
+
+def test_lost_and_competing_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "groups")
+    rows = lambda *r: spark.createDataFrame(r, "crawl_group_name string, crawl_type string, url string, discard boolean")
+    sinks.upsert_groups(spark, rows(("a", "w", "1", False)), path)
+    (tmp_path / "groups" / "data-lost" / "discard=false").mkdir(parents=True)  # a writer that never came to its claim
+    (tmp_path / "groups" / "_versions" / ".data-lost").write_text("data-lost")
+    sinks.upsert_groups(spark, rows(("b", "w", "1", False)), path)
+    assert {r.crawl_group_name for r in sinks.latest_groups(spark, path).collect()} == {"a", "b"}
+    # another writer commits between this one's reading and its claim: both writers' rows stay
+    claim = sinks._claim
+
+    def late(*args):
+        monkeypatch.setattr(sinks, "_claim", claim)
+        sinks.upsert_groups(spark, rows(("c", "w", "1", False), ("d", "w", "first", False)), path)
+        return claim(*args)
+
+    monkeypatch.setattr(sinks, "_claim", late)
+    sinks.upsert_groups(spark, rows(("d", "w", "second", False), ("e", "w", "1", False)), path)
+    assert {(r.crawl_group_name, r.url) for r in sinks.latest_groups(spark, path).collect()} == {("a", "1"), ("b", "1"), ("c", "1"), ("d", "first"), ("e", "1")}
+    assert len(sinks.table_versions(spark, path)) == 4
+
+
 def test_commits(spark):
     text = ["diff --git a/list.txt b/list.txt", "index 1..2", "--- a/list.txt", "+++ b/list.txt", "@@ -1 +1 @@", "-||a.com^", "+b.com##.x", "+! note", "diff --git a/README.md b/README.md", "+||c.com^", "diff --git a/l b/l", "+d.com#$#abort-y"]
     frame = spark.createDataFrame([("c1", i, t) for i, t in enumerate(text)], "commit string, n int, line string")
