@@ -36,7 +36,6 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _tiles(k: int, tile_rows: int):
-    @np.errstate(over="ignore", invalid="ignore")
     def search(points: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         ids, qids = points.column("id").to_numpy(), queries.column("id").to_numpy()
