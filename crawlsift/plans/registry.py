@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
 from crawlsift.operators import diff, features, html, requests, rules, series
-from crawlsift.plans import more
+from crawlsift.plans import crawl, more
 from crawlsift.sources import lists
 
 KEY, BINS, STEP = ["site", "arm", "trial"], 240, 3 * 3600 * 1000
@@ -510,4 +510,5 @@ ORACLES = {
         array_to_string(list_filter(list_transform(d, lambda x: regexp_replace(x, '^-', '')), lambda x: x <> ''), ' ') AS domains FROM d""",
 }
 QUERIES |= more.QUERIES
+QUERIES["site_rows"], ORACLES["site_rows"] = crawl.site_rows, crawl.SITE_ROWS_SQL
 ORACLES |= more.ORACLES

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlsift.functions import urls
 from crawlsift.operators import diff, dom, features, html, requests, series
 from crawlsift.sources import captures
+from crawlsift.sources.stored import stored
 
 #: Columns that a model was trained on; fixed values.
 MODEL_FEATURES = (
@@ -93,10 +94,12 @@ def request_rows(events: DataFrame, trials: int, tracking: DataFrame | None = No
 def page_rows(pages: DataFrame, blocked: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(key, 104 page-source and 4 correspondence features).
 
+    Each page is parsed once: its elements are stored, and all features are read from there.
+
     pages: key, site, arm, trial, html; blocked: (key, trial, url) that the blocker stopped in the variant.
     """
     where = ["key", "trial"]
-    found = html.elements(with_site(pages).select("key", "trial", "arm", "site_sld", "site_word", "html"))
+    found = stored(html.elements(with_site(pages).select("key", "trial", "arm", "site_sld", "site_word", "html")), "elements")
     variant, control = found.where("arm = 'variant'").drop("arm"), found.where("arm = 'control'").drop("arm")
     sources = html.selected(control).select(*where, F.explode(html.value_urls(F.map_filter("attributes", lambda k, _: k == "src"), F.col("site_sld"))).alias("u"))
     sources = sources.groupBy(*where).agg(F.collect_set(urls.without_query(F.col("u"))).alias("control_sources"))
