@@ -15,6 +15,15 @@ def entropy(s: Column) -> Column:
     return F.when(n > 0, total)
 
 
+def grams(s: Column, n: int) -> Column:
+    """All runs of n characters of a string, in order; none of a shorter one. Linear in its length."""
+    chars = F.split(s, "")
+    runs = chars
+    for k in range(1, n):
+        runs = F.zip_with(runs, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.filter(runs, lambda r: r != "")
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Normalised Levenshtein similarity; two empty strings are alike."""
     longest = F.greatest(F.length(a), F.length(b))

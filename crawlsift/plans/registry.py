@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
-from crawlsift.operators import diff, features, html, requests, rules, series
+from crawlsift.operators import diff, features, html, patterns, requests, rules, series
 from crawlsift.plans import crawl, more
 from crawlsift.sources import lists
 
@@ -244,6 +244,25 @@ def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.blocked(seen, known, ["page_id"])
 
 
+#: Forms of general rules; H is where a page's host goes, N its number, D its directory.
+_PATTERNS = (
+    "||H^*N", "@@||H^$image", "N?page=", "/N.html|", "|http://H/*^N^", "|https:*D/N", "*$font,domain=H", "||H^$third-party,domain=www.H|~m.H", "/N/", "@@-farm.*N", "utm_source=*|", "D/N#$~script",
+    "||H^$popup", "@@||H/D/$script", "/en/N*#top|", "||example.*^N?$~third-party", "TH*.example.NET^EN^N$match-case", "H##.ad",
+)
+
+
+def _general_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page gives a rule; all pages are requests that its rules judge."""
+    p = _pages(spark, sf_dir)
+    form = F.element_at(F.array(*map(F.lit, _PATTERNS)), (F.col("page_id") % len(_PATTERNS) + 1).cast("int"))
+    number = F.regexp_extract("path", r"(\d+)", 1)
+    text = F.replace(F.replace(F.replace(form, F.lit("H"), F.col("host")), F.lit("N"), number), F.lit("D"), urls.directory(F.col("path")))
+    known, _ = patterns.compiled(p.select(text.alias("rule")))
+    kind = F.element_at(F.array(*map(F.lit, ("script", "image", "font", "main_frame"))), (F.col("page_id") % 4 + 1).cast("int"))
+    seen = p.select("page_id", "url", F.concat(F.element_at(F.array(F.lit("www."), F.lit("m."), F.lit("")), (F.col("page_id") % 3 + 1).cast("int")), "host").alias("site_host"), kind.alias("resource_type"), (F.col("page_id") % 5 > 0).alias("third_party_request"))
+    return patterns.judged(seen, known).select("page_id", "blocked")
+
+
 def _requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as requests of both arms of a site (their registrable domain): headers follow from page_id."""
     n = F.col("page_id")
@@ -356,6 +375,7 @@ QUERIES = {
     "scale_robust": _scaled("robust"),
     "rule_classify": _rules,
     "rule_matching": _matched,
+    "rule_patterns": _general_rules,
     "request_features": _request_features,
 }
 
@@ -499,6 +519,26 @@ ORACLES = {
     "scale_robust": _scale_sql("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"),
     "rule_matching": f"""WITH {_P} SELECT page_id, NOT (registrable = 'example.org' AND page_id % 3 = 2) AS blocked FROM p
       WHERE (registrable = 'example.net' AND page_id % 3 = 1) OR registrable = 'example.org'""",
+    "rule_patterns": rf"""WITH {_P}, t AS (
+        SELECT DISTINCT replace(replace(replace({list(_PATTERNS)!r}[page_id % {len(_PATTERNS)} + 1], 'H', host), 'N', regexp_extract(path, '\d+')), 'D', directory) AS r FROM p
+      ), o AS (
+        SELECT r, starts_with(r, '@@') AS exc, regexp_replace(split_part(r, '$', 1), '^@@', '') AS b, string_split(split_part(r, '$', 2), ',') AS o FROM t WHERE NOT contains(r, '##') AND NOT contains(r, '$popup')
+      ), d AS (
+        SELECT *, CASE WHEN regexp_matches(b, '^/[0-9]+/$') THEN b[2:-2] ELSE regexp_replace(b, '^[|]+|[|]$', '', 'g') END AS core, list_filter(o, lambda x: x IN ('script', 'image', 'font')) AS types,
+          string_split(coalesce(list_filter(o, lambda x: starts_with(x, 'domain='))[1][8:], ''), '|') AS doms FROM o
+      ), e AS (
+        SELECT *, CASE WHEN list_contains(o, 'match-case') THEN '(?s)' ELSE '(?is)' END || CASE WHEN starts_with(b, '||') THEN '^[A-Za-z][A-Za-z0-9+.-]*:/+([\w.%-]*[.])?' WHEN starts_with(b, '|') THEN '^' ELSE '' END
+          || replace(replace(replace(replace(core, '.', '[.]'), '?', '[?]'), '*', '.*'), '^', '([^\w.%-]|\z)') || CASE WHEN ends_with(b, '|') THEN '\z' ELSE '' END AS pattern FROM d
+      ), q AS (
+        SELECT page_id, url, ['www.', 'm.', ''][page_id % 3 + 1] || host AS site, ['script', 'image', 'font', NULL][page_id % 4 + 1] AS kind, page_id % 5 > 0 AS third FROM p
+      ), m AS (
+        SELECT page_id, exc, list_filter(doms, lambda x: x <> '' AND NOT starts_with(x, '~')) AS ons, list_filter(doms, lambda x: site = x OR ends_with(site, '.' || x)) AS a,
+          list_filter(doms, lambda x: starts_with(x, '~') AND (site = x[2:] OR ends_with(site, '.' || x[2:]))) AS z
+        FROM q JOIN e ON regexp_matches(url, pattern) AND (kind IS NULL OR (types = [] OR list_contains(types, kind)) AND NOT list_contains(o, '~' || kind))
+          AND NOT (list_contains(o, 'third-party') AND NOT third) AND NOT (list_contains(o, '~third-party') AND third)
+      )
+      SELECT page_id, NOT bool_or(exc) AS blocked FROM m
+      WHERE CASE WHEN a <> [] THEN list_max(list_transform(a, lambda x: len(x))) WHEN ons = [] THEN 0 ELSE -1 END > CASE WHEN z <> [] THEN list_max(list_transform(z, lambda x: len(x) - 1)) ELSE -1 END GROUP BY page_id""",
     "rule_classify": f"""WITH {_P}, r AS (SELECT page_id, replace({list(_RULES)!r}[page_id % {len(_RULES)} + 1], 'H', host) AS r FROM p), d AS (
         SELECT page_id, r, CASE WHEN starts_with(r, '!') OR starts_with(r, '@@') OR contains(r, '$popup') OR contains(r, 'third-party') THEN []
           WHEN contains(r, 'domain=') THEN list_filter(string_split(split_part(r, 'domain=', 2), '|'), lambda x: NOT starts_with(x, '~'))
