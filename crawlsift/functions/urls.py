@@ -7,14 +7,21 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules of public suffixes beyond the general one, that a host's last label is a suffix: fixed values. `*` stands for
-#: any label, `!` excepts a host from a rule. Longer lists are read by sources.read_suffixes.
+#: Second labels that are public suffixes under country codes, and the codes where they are not, or not all: fixed values.
+GENERIC = ("com", "edu", "gov", "net", "org")
+NOT_GENERIC = (
+    "ae", "at", "be", "bg", "ca", "cc", "ch", "cl", "cz", "de", "dk", "es", "eu", "fi", "fr", "gg", "hu", "id", "ie", "il", "ir", "it", "je", "jp",
+    "ke", "kr", "li", "lt", "lu", "me", "nl", "no", "nz", "ro", "rs", "se", "sk", "su", "th", "tk", "tv", "uk", "us", "za",
+)
+#: Rules of public suffixes beyond these and the general one, that a host's last label is a suffix: fixed values. `*`
+#: stands for any label, `!` excepts a host from a rule. Whole lists are tables: with_listed_suffix, with_listed_parts.
 SUFFIXES = (
     "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "sch.uk",
     "ac.jp", "ad.jp", "co.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp",
-    "com.au", "net.au", "org.au", "edu.au", "gov.au", "com.br", "net.br", "org.br", "com.cn", "net.cn", "org.cn",
-    "co.in", "net.in", "org.in", "co.kr", "or.kr", "co.nz", "net.nz", "org.nz", "co.za", "org.za", "com.mx", "com.tr",
-    "com.ar", "com.tw", "com.hk", "com.sg", "co.id", "co.il", "co.th", "com.ua", "com.my", "com.pl", "com.ru",
+    "co.in", "ac.in", "co.kr", "or.kr", "go.kr", "ac.kr", "co.nz", "net.nz", "org.nz", "co.za", "org.za", "net.za", "gov.za", "edu.za",
+    "co.id", "or.id", "go.id", "ac.id", "co.il", "org.il", "gov.il", "net.il", "co.th", "or.th", "go.th", "ac.th", "ac.cn",
+    "com.fr", "edu.it", "gov.it", "org.hu", "org.se", "com.es", "org.es", "edu.es", "net.me", "org.me", "edu.me", "gov.me", "com.ro", "org.ro",
+    "co.ke", "or.ke", "go.ke", "ac.ke", "co.ae", "net.ae", "org.ae", "gov.ae", "gov.ie", "gov.cl", "co.ir", "org.ir", "net.ir", "gov.ir", "co.rs", "org.rs", "edu.rs", "gov.rs",
     "*.ck", "!www.ck", "*.bd", "*.np", "*.mm", "*.kh",
 )
 
@@ -45,12 +52,17 @@ def is_ip(h: Column) -> Column:
 
 
 def suffix_pattern(suffixes: tuple[str, ...] = SUFFIXES) -> str:
-    """A host as (subdomain), (domain word), (public suffix): the longest rule wins, exceptions count as no rule."""
+    """A host as (subdomain), (domain word), (public suffix): the longest rule wins, exceptions count as no rule.
+
+    The built-in rules go with GENERIC under country codes; a list of one's own stands alone.
+    """
     some = lambda r: re.escape(r).replace(r"\*", "[^.]+")
     excepted = [some(r[1:]) for r in suffixes if r.startswith("!")]
     rules = sorted((r for r in suffixes if r[0] != "!" and "." in r), key=lambda r: (-r.count("."), "*" in r, r))
     unless = f"(?!(?:{'|'.join(excepted)})$)" if excepted else ""
     known = "|".join(f"{unless}{some(r)}" if "*" in r else some(r) for r in rules)
+    if suffixes == SUFFIXES:
+        known += rf"|(?:{'|'.join(GENERIC)})\.(?!(?:{'|'.join(NOT_GENERIC)})$)[a-z][a-z]"
     return rf"^(?:(.*?)\.)??([^.]+)\.({known + '|' if known else ''}[^.]+)$"
 
 
@@ -97,6 +109,26 @@ def with_listed_suffix(rows: DataFrame, host: str, rules: DataFrame) -> DataFram
     return joined.withColumn("suffix", F.coalesce("_suffix", general)).drop("_suffix")
 
 
+def listed_parts(hosts: DataFrame, host: str, rules: DataFrame) -> DataFrame:
+    """(host, suffix, domain_word, registrable, subdomain) of the distinct hosts, by a whole list of rules: the table that
+    all other tables of the hosts join. Parts are those of suffix, domain_word, registrable and subdomain."""
+    h = F.col(host)
+    rows = with_listed_suffix(hosts.select(host).where(h.isNotNull()).distinct(), host, rules)
+    before = F.when(F.col("suffix") != "", F.expr(f"left(`{host}`, length(`{host}`) - length(suffix) - 1)"))
+    word = F.coalesce(F.nullif(F.substring_index(before, ".", -1), F.lit("")), h)
+    rows = rows.withColumns({"domain_word": word, "_before": F.coalesce(before, F.lit(""))})
+    above = F.expr("left(_before, greatest(0, length(_before) - length(domain_word) - 1))")
+    return rows.select(host, "suffix", "domain_word", F.concat("domain_word", F.lit("."), "suffix").alias("registrable"), above.alias("subdomain"))
+
+
+def with_listed_parts(rows: DataFrame, host: str, rules: DataFrame) -> DataFrame:
+    """rows with suffix, domain_word, registrable and subdomain of their host by a list of rules; columns of these names
+    are replaced, null hosts have none. A host of many rows is looked up once."""
+    names = ("suffix", "domain_word", "registrable", "subdomain")
+    kept = rows.drop(*names)
+    return kept.join(listed_parts(rows, host, rules), host, "left").select(*kept.columns, *names)
+
+
 def bare_host(h: Column) -> Column:
     """Host with every `www.` taken out."""
     return F.replace(h, F.lit("www."), F.lit(""))
@@ -224,15 +256,22 @@ def different_path(url: Column, site: Column) -> Column:
     return bare(url) != bare(site)
 
 
-def distinct_hosts(rows: DataFrame, url: str, by: list[str], keep_www: bool = False) -> DataFrame:
-    """(by, host, registrable) of the distinct hosts of a table of URLs."""
+def distinct_hosts(rows: DataFrame, url: str, by: list[str], keep_www: bool = False, rules: DataFrame | None = None) -> DataFrame:
+    """(by, host, registrable) of the distinct hosts of a table of URLs; by a list of suffix rules, if there is one."""
     h = host(F.col(url))
-    return rows.select(*by, (h if keep_www else bare_host(h)).alias("host")).where(F.col("host") != "").distinct().withColumn("registrable", registrable(F.col("host")))
+    out = rows.select(*by, (h if keep_www else bare_host(h)).alias("host")).where(F.col("host") != "").distinct()
+    if rules is not None:
+        return with_listed_parts(out, "host", rules).select(*by, "host", "registrable")
+    return out.withColumn("registrable", registrable(F.col("host")))
 
 
-def parties(rows: DataFrame, url: str, site_word: Column) -> DataFrame:
-    """Adds host, registrable, subdomain and party (first, third), so that a split keeps each request's host."""
+def parties(rows: DataFrame, url: str, site_word: Column, rules: DataFrame | None = None) -> DataFrame:
+    """Adds host, registrable, subdomain and party (first, third), so that a split keeps each request's host; by a list of
+    suffix rules, if there is one."""
     out = rows.withColumn("host", host(F.col(url)))
-    out = out.withColumns({"registrable": registrable(F.col("host")), "subdomain": subdomain(F.col("host"))})
+    if rules is not None:
+        out = with_listed_parts(out, "host", rules).drop("suffix", "domain_word")
+    else:
+        out = out.withColumns({"registrable": registrable(F.col("host")), "subdomain": subdomain(F.col("host"))})
     own = F.contains("registrable", site_word) | F.contains("subdomain", site_word)
     return out.withColumn("party", F.when(own, "first").otherwise("third"))

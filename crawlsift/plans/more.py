@@ -65,26 +65,65 @@ SELECT page_id, replace('www.' || host, 'www.', '') AS bare, true AS own, true A
 FROM u"""
 
 
-HOSTS = ["a.b.xyz", "x.yandex.ru", "foo.jp", "a.foo.co.jp", "foo.ac.uk", "x.y.foo.org.uk", "localhost", "10.1.2.3", "a.shop.c.io", "www.ck", "q.b.ck", "a.q.b.ck"]
+#: What takes the place of a page's last label.
+ENDS = ("xyz", "ru", "jp", "co.jp", "ac.uk", "org.uk", "com.vn", "edu.cn", "gov.in", "com.pk", "com.de", "co.uk.com", "b.ck", "ck", "com.fr", "net.fr", "com.au", "net", "co.xx", "org")
 _DOUBLE = [s for s in urls.SUFFIXES if s[0] not in "*!"]
 
 
 def suffix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spark.createDataFrame([(x,) for x in HOSTS], "host string")
-    return h.select("host", urls.suffix(F.col("host")).alias("suffix"), urls.registrable(F.col("host")).alias("registrable"), urls.subdomain(F.col("host")).alias("subdomain"))
-
-
-SUFFIX_SQL = f"""WITH {_values("h", "host", [(x,) for x in HOSTS])}, l AS (
-  SELECT host, string_split(host, '.') AS l, regexp_matches(host, '^[0-9.]+$') AS ip FROM h
+    """The hosts of pages under other endings; some of a single label, some without a subdomain, some addresses."""
+    n, own = F.col("page_id"), urls.host(F.col("url"))
+    end = F.element_at(F.array(*map(F.lit, ENDS)), (n % len(ENDS) + 1).cast("int"))
+    words = F.regexp_replace(own, r"\.[^.]*$", "")
+    h = F.when(n % 29 == 0, F.substring_index(own, ".", 1)).when(n % 31 == 0, F.concat(F.lit("10.1.2."), (n % 256).cast("string"))).when(n % 37 == 0, "www.ck").when(n % 3 == 0, F.concat(F.substring_index(words, ".", -1), F.lit("."), end)).otherwise(F.concat(words, F.lit("."), end))
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", h.alias("host"))
+    return p.select("page_id", "host", urls.suffix(F.col("host")).alias("suffix"), urls.registrable(F.col("host")).alias("registrable"), urls.subdomain(F.col("host")).alias("subdomain"))
+
+
+SUFFIX_SQL = f"""WITH u AS (
+  SELECT page_id AS n, lower(regexp_extract(url, '^(?:[^:/?#]+:)?(?://([^/?#:]*))?', 1)) AS own, {list(ENDS)!r}[page_id % {len(ENDS)} + 1] AS e FROM pages
+), h AS (
+  SELECT n AS page_id, CASE WHEN n % 29 = 0 THEN split_part(own, '.', 1) WHEN n % 31 = 0 THEN '10.1.2.' || n % 256 WHEN n % 37 = 0 THEN 'www.ck' WHEN n % 3 = 0 THEN string_split(own, '.')[-2] || '.' || e
+    ELSE array_to_string(string_split(own, '.')[:-2], '.') || '.' || e END AS host FROM u
+), l AS (
+  SELECT page_id, host, string_split(host, '.') AS l, regexp_matches(host, '^[0-9.]+$') AS ip FROM h
 ), n AS (
   SELECT *, CASE WHEN ip OR len(l) < 2 THEN 0 WHEN l[-1] = 'ck' AND array_to_string(l[-2:], '.') <> 'www.ck' AND len(l) > 2 THEN 2
-    WHEN len(l) > 2 AND list_contains({_DOUBLE!r}, array_to_string(l[-2:], '.')) THEN 2 ELSE 1 END AS n FROM l
+    WHEN len(l) > 2 AND (list_contains({_DOUBLE!r}, array_to_string(l[-2:], '.')) OR list_contains({list(urls.GENERIC)!r}, l[-2]) AND len(l[-1]) = 2 AND NOT list_contains({list(urls.NOT_GENERIC)!r}, l[-1])) THEN 2 ELSE 1 END AS n FROM l
 )
-SELECT host, CASE WHEN n = 0 THEN '' ELSE array_to_string(l[-n:], '.') END AS suffix,
+SELECT page_id, host, CASE WHEN n = 0 THEN '' ELSE array_to_string(l[-n:], '.') END AS suffix,
   CASE WHEN n = 0 THEN host || '.' ELSE array_to_string(l[-(n + 1):], '.') END AS registrable,
   CASE WHEN n = 0 OR len(l) <= n + 1 THEN '' ELSE array_to_string(l[:len(l) - n - 1], '.') END AS subdomain FROM n"""
 
 
+def listed_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts looked up in a table of suffix rules (plain, wild, excepted) that pages give."""
+    n = F.col("page_id")
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", urls.host(F.col("url")).alias("own")).where("own <> ''")
+    form = F.when(n % 7 == 0, F.col("own")).when(n % 7 == 1, F.concat(F.lit("*."), "own")).when(n % 7 == 2, F.concat(F.lit("!x."), "own"))
+    rules = p.select(form.alias("rule")).where("rule is not null")
+    asked = p.select("page_id", F.concat(F.element_at(F.array(F.lit("x."), F.lit("a.b."), F.lit("")), (n % 3 + 1).cast("int")), "own").alias("host"))
+    return urls.with_listed_parts(asked, "host", rules)
+
+
+LISTED_SQL = """WITH p AS (
+  SELECT page_id AS n, lower(regexp_extract(url, '^(?:[^:/?#]+:)?(?://([^/?#:]*))?', 1)) AS own FROM pages
+), r AS (
+  SELECT DISTINCT CASE n % 7 WHEN 0 THEN own WHEN 1 THEN '*.' || own WHEN 2 THEN '!x.' || own END AS r FROM p WHERE own <> '' AND n % 7 < 3
+), h AS (
+  SELECT n AS page_id, ['x.', 'a.b.', ''][n % 3 + 1] || own AS host FROM p WHERE own <> ''
+), t AS (
+  SELECT DISTINCT host, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM h
+), m AS (
+  SELECT host, max(CASE WHEN starts_with(r, '!') THEN k - 1 END) AS excepted, max(CASE WHEN NOT starts_with(r, '!') AND k < len(l) THEN k END) AS longest
+  FROM t JOIN r ON r = array_to_string(l[-k:], '.') OR r = '!' || array_to_string(l[-k:], '.') OR r = '*.' || array_to_string(l[-(k - 1):], '.') AND k > 1 GROUP BY host
+), n AS (
+  SELECT h.*, string_split(h.host, '.') AS l, coalesce(excepted, longest, CASE WHEN contains(h.host, '.') THEN 1 ELSE 0 END) AS k FROM h LEFT JOIN m USING (host)
+)
+SELECT page_id, host, CASE WHEN k = 0 THEN '' ELSE array_to_string(l[-k:], '.') END AS suffix, CASE WHEN k = 0 THEN host ELSE l[-(k + 1)] END AS domain_word,
+  CASE WHEN k = 0 THEN host || '.' ELSE array_to_string(l[-(k + 1):], '.') END AS registrable, CASE WHEN k = 0 OR len(l) <= k + 1 THEN '' ELSE array_to_string(l[:len(l) - k - 1], '.') END AS subdomain FROM n"""
+
+
 def capture_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as mutations and stopped requests of page loads, in a load's 250 bins of 3 hours."""
     e, user = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("user_id")
@@ -180,10 +219,10 @@ SELECT 'k' || c AS key, CASE WHEN even THEN 'control' ELSE 'variant' END AS arm,
 
 
 QUERIES = {
-    "text_functions": text_functions, "url_functions": url_functions, "suffix_rules": suffix_rules, "capture_series": capture_series, "commit_rules": commit_rules,
+    "text_functions": text_functions, "url_functions": url_functions, "suffix_rules": suffix_rules, "listed_suffixes": listed_suffixes, "capture_series": capture_series, "commit_rules": commit_rules,
     "request_gates": request_gates, "training_rows": training_rows, "capture_instances": capture_instances,
 }
 ORACLES = {
-    "text_functions": TEXT_SQL, "url_functions": URL_SQL, "suffix_rules": SUFFIX_SQL, "capture_series": SERIES_SQL, "commit_rules": COMMIT_SQL,
+    "text_functions": TEXT_SQL, "url_functions": URL_SQL, "suffix_rules": SUFFIX_SQL, "listed_suffixes": LISTED_SQL, "capture_series": SERIES_SQL, "commit_rules": COMMIT_SQL,
     "request_gates": GATES_SQL, "training_rows": TRAINING_SQL, "capture_instances": INSTANCES_SQL,
 }

@@ -2,6 +2,7 @@
 
 import json
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +207,21 @@ def test_suffixes(spark, tmp_path):
     assert listed == {"a.b.xyz": "xyz", "x.yandex.ru": "ru", "foo.jp": "jp", "a.foo.co.jp": "co.jp", "www.ck": "ck", "q.b.ck": "b.ck", "a.q.b.ck": "b.ck", "localhost": "", "10.0.0.1": "", "b.example.com": "com", "x.y.city.kawasaki.jp": "kawasaki.jp", "p.q.kawasaki.jp": "q.kawasaki.jp", "a.p.q.kawasaki.jp": "q.kawasaki.jp"}
 
 
+def test_listed_parts_agree_with_built_in_ones(spark):
+    hosts = ["a.shop.foo.com.vn", "foo.edu.cn", "x.gov.in", "a.b.com.de", "q.co.uk", "co.uk", "localhost", "10.0.0.1", "", None, "a.www.ck", "z.a.b.ck", "a.shop.foo.com.vn"]
+    frame = spark.createDataFrame([(h, 1) for h in hosts], "host string, suffix int")
+    built = [F.col("host"), urls.suffix(F.col("host")).alias("suffix"), urls.domain_word(F.col("host")).alias("domain_word"), urls.registrable(F.col("host")).alias("registrable"), urls.subdomain(F.col("host")).alias("subdomain")]
+    rules = spark.createDataFrame([(r,) for r in ("com.vn", "edu.cn", "gov.in", "co.uk", "*.ck", "!www.ck", "co.uk")], "rule string")
+    listed = urls.with_listed_parts(frame, "host", rules)
+    assert listed.columns == ["host", "suffix", "domain_word", "registrable", "subdomain"]
+    assert Counter(map(tuple, listed.collect())) == Counter(map(tuple, frame.select(*built).collect()))
+    got = {r.host: (r.registrable, r.subdomain) for r in listed.collect()}
+    assert got["a.shop.foo.com.vn"] == ("foo.com.vn", "a.shop") and got["a.b.com.de"] == ("com.de", "a.b") and got["co.uk"] == ("co.uk", "") and got[None] == (None, None)
+    seen = spark.createDataFrame([("http://t.foo.com.vn/a",), ("http://foo.net/",)], "url string")
+    assert {r.host: (r.registrable, r.party) for r in urls.parties(seen, "url", F.lit("foo.com"), rules).collect()} == {"t.foo.com.vn": ("foo.com.vn", "first"), "foo.net": ("foo.net", "third")}
+    assert {r.registrable for r in urls.distinct_hosts(seen, "url", [], rules=rules).collect()} == {"foo.com.vn", "foo.net"}
+
+
 def test_header_filter(spark):
     cases = [("max-age=60", "text/css", 50, False), ("max-age=60", "text/css", 101, True), ("max-age=x", "text/css", 500, False), (None, "text/css", -1, True), ("public, max-age=9999999", "a", 500, False), ("max-age=1", "x/image-y", 2048, False), ("max-age=1", "image/png", 2049, True), ("private:max-age=5", None, 200, True)]
     frame = spark.createDataFrame(cases, "cache string, type string, length long, want boolean")
