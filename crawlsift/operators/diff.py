@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlsift.functions.text import similarity
+from crawlsift.functions.text import grams, similarity
+from crawlsift.sources.stored import stored
 
 CONTROL, VARIANT = "control", "variant"
 
@@ -88,25 +90,64 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, by: Sequence[str], name: st
     return alike.groupBy(*by, "left").agg(best.alias("_b")).select(*by, "left", "_b.right", "_b.similarity")
 
 
-#: Lengths of the pieces by which URLs and initiators meet.
-PIECES = (1, 4, 8, 16)
+#: Runs of RUN characters, of which the least by hash of each WINDOW neighbours stands for them.
+RUN = WINDOW = 8
+#: Length of the runs by which shorter texts meet.
+SHORT_RUN = 4
+
+
+def _shifted(column: str, by: int, join: Callable[[Column, Column], Column]) -> Column:
+    """Each element joined with the one `by` places later; null where there is none."""
+    return F.zip_with(column, F.slice(column, F.lit(by + 1), F.greatest(F.size(column), F.lit(1))), join)
+
+
+def _least_runs(rows: DataFrame, text: str) -> DataFrame:
+    """rows with _keys: a hash for each window of runs, the least of its runs'. A text of a window or more has them in common
+    with every text that contains it, at about two in nine places. Steps double the length, so the work is linear."""
+    out = rows.withColumn("_keys", F.split(text, ""))
+    for n in (1, 2, 4):
+        out = out.withColumn("_keys", _shifted("_keys", n, lambda a, b: F.concat(a, b)))
+    out = out.withColumn("_keys", F.transform(F.filter("_keys", lambda r: r.isNotNull()), lambda r: F.xxhash64(r)))
+    for n in (1, 2, 4):
+        out = out.withColumn("_keys", _shifted("_keys", n, lambda a, b: F.when(b.isNotNull(), F.least(a, b))))
+    return out.withColumn("_keys", F.array_distinct(F.filter("_keys", lambda h: h.isNotNull())))
+
+
+def _hashed_grams(text: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(grams(text, n), lambda g: F.xxhash64(g, F.lit(n))))
 
 
 def initiated(requests: DataFrame, by: Sequence[str], url: str, initiator_path: str) -> DataFrame:
-    """Requests whose initiator (host and path) is part of another request's URL on the same site.
+    """Requests whose initiator (host and path) is part of another request's URL on the same site; repeated requests stay,
+    and null or empty initiators, null URLs and null sites find none.
 
-    They meet by the initiator's last piece of 16 characters (8, 4 or 1, if it is shorter), which a URL that contains it
-    must have somewhere: an equi-join in place of comparing all of a site's requests.
+    An initiator is looked up by that of its keys which the fewest of the site's URLs have: hashes of the least runs of
+    its windows, which a URL that contains it has too. Those shorter than a window meet by short runs, which URLs give only if
+    there is such an initiator. Of the URLs that contain one only the least and the greatest are kept: one of them is another
+    than the request's own, or none is. So rows grow with the URLs and the matches, not with pairs of requests.
     """
-    size = F.element_at(F.filter(F.array(*map(F.lit, PIECES)), lambda n: n <= F.length(initiator_path)), -1)
-    asking = requests.where(F.length(initiator_path) > 0).select(*by, F.col(url).alias("_own"), F.col(initiator_path).alias("_part"), F.right(initiator_path, size).alias("_piece")).distinct()
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_url")))
-    pieces = F.flatten(F.transform(F.array(*map(F.lit, PIECES)), lambda n: F.transform(F.filter(at, lambda i: i + n - 1 <= F.length("_url")), lambda i: F.substring("_url", i, n))))
-    other = requests.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(url).alias("_url")).distinct().select("*", F.explode(F.array_distinct(pieces)).alias("_piece_"))
-    same = [F.col(c) == F.col(f"_{c}") for c in by]
-    found = asking.join(other, [*same, F.col("_piece") == F.col("_piece_"), F.contains("_url", "_part"), F.col("_url") != F.col("_own")], "left_semi")
-    key = [F.col(url) == F.col("_own"), F.col(initiator_path) == F.col("_part")]
-    return requests.join(found.select(*(F.col(c).alias(f"_{c}") for c in by), "_own", "_part").distinct(), [*same, *key], "left_semi")
+    site = [f"_b{i}" for i in range(len(by))]
+    of = [F.col(c).alias(s) for c, s in zip(by, site)]
+    known = F.lit(True)
+    for c in (*by, url):
+        known &= F.col(c).isNotNull()
+    parts = stored(requests.where(known & (F.length(initiator_path) > 0)).select(*of, F.col(initiator_path).alias("_part")).distinct(), "initiators")
+    seen = stored(requests.where(known).select(*of, F.col(url).alias("_url")).distinct(), "urls")
+    size = F.least(F.length("_part"), F.lit(SHORT_RUN))
+    short = F.length("_part") < RUN + WINDOW - 1
+    sizes = sorted(r[0] for r in parts.where(short).select(size).distinct().collect())  # SHORT_RUN numbers at most
+    # outer: else a filter on the arrays' sizes is pushed through all steps, which works them out many times over; joins drop nulls
+    few = [parts.where(short & (size == n)).select("*", F.explode(_hashed_grams(F.col("_part"), n)).alias("_key")) for n in sizes]
+    asked = reduce(DataFrame.unionByName, few, _least_runs(parts.where(~short), "_part").select(*site, "_part", F.explode_outer("_keys").alias("_key")))
+    more = [_hashed_grams(F.col("_url"), n) for n in sizes]
+    at = _least_runs(seen, "_url").select(*site, "_url", F.explode_outer(F.array_distinct(F.concat("_keys", *more))).alias("_key"))
+    counts = at.join(asked.select(*site, "_key").distinct(), [*site, "_key"], "left_semi").groupBy(*site, "_key").agg(F.count("*").alias("_n"))
+    chosen = asked.join(counts, [*site, "_key"]).groupBy(*site, "_part").agg(F.min(F.struct("_n", "_key")).alias("_k"))
+    chosen = chosen.select(*site, "_part", F.col("_k._key").alias("_key"))
+    inside = at.join(chosen, [*site, "_key"]).where(F.contains("_url", "_part")).groupBy(*site, "_part").agg(F.min("_url").alias("_least"), F.max("_url").alias("_greatest"))
+    same = [F.col(c) == F.col(s) for c, s in zip(by, site)]
+    other = (F.col("_least") != F.col(url)) | (F.col("_greatest") != F.col(url))
+    return requests.join(inside, [*same, F.col(initiator_path) == F.col("_part"), other], "left_semi")
 
 
 def complete_groups(rows: DataFrame, by: Sequence[str], parts: Sequence[str], wanted: int) -> DataFrame:

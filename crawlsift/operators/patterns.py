@@ -122,7 +122,8 @@ def matching(seen: DataFrame, patterns: DataFrame, url: str = "url") -> DataFram
     seen = stored(seen.where(F.col(url).isNotNull()).select(F.col(url).alias("_url")).distinct(), "urls")
     asked = stored(patterns.select("rule", F.explode("pieces").alias("piece")), "pieces")
     runs = not asked.where(F.col("piece").startswith("g")).isEmpty()
-    at = seen.select("_url", F.explode(_pieces_of_url(F.col("_url"), runs)).alias("piece"))
+    # outer: else a filter on the arrays' sizes works them out once more; joins drop nulls
+    at = seen.select("_url", F.explode_outer(_pieces_of_url(F.col("_url"), runs)).alias("piece"))
     counts = at.join(asked.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("piece")).alias("l"), "piece"))
     chosen = asked.join(counts, "piece", "left").groupBy("rule").agg(rarest.alias("_k")).where("_k.n > 0").select("rule", "_k.piece")
