@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
+from crawlsift.operators import structure
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Ancestors that count, smallest advertisement and largest hidden ancestor; fixed values.
@@ -22,20 +23,17 @@ IGNORED_ATTRIBUTES = ("srcset", "src-set", "alt", "title", "class", "target", "r
 IGNORE_WORDS = ("social", "twitter", "weibo", "facebook", "youtube", "pinterest", "instagram", "dailymotion", "digg", "email", "mailto", "Apple", "App Store", "nav", "feed", "menu", "footer", "embed", "linkedin")
 NOTICE_WORDS = ("disable", "detected", "adblocker", "whitelisting", "ad block", "support", "sponsor", "subscribe")
 LINK_WORDS = ("contact", "login", "terms", "help", "account", "privacy", "policies", "#", "iframe", "faq", "about", "upload", "download", "subscribe", "mailto", "signup", ".")
-#: Structure: steps above an element's own, attributes of a step, and attributes of which only the name tells; fixed values.
-STEPS, STEP_ATTRIBUTES = 3, 5
-LOOSE = ("srcset", "src-set", "class", "id", "style", "data")
 BLOCKED, HIDDEN = "abp-blocked-element", "anticv-hidden"
 _HIDDEN = re.compile(r"display:\s*none|visibility:\s*hidden|opacity:\s*0")
 #: Context that links give to what is inside them: blank and rel, rel alone, target alone, target outside forms.
 IN_REL, IN_ONLY_REL, IN_NO_REL, IN_TARGET = 1, 2, 4, 8
 
 LINK = "struct<tag:string,attributes:map<string,string>,siblings:int,levels:int,before_tag:string,before_contents:int,after_tag:string,after_contents:int,word_above:boolean>"
-ELEMENTS = f"number int, parent int, depth int, tag string, attributes map<string,string>, children int, contents int, siblings int, text string, string string, in_noscript boolean, hidden boolean, hidden_above boolean, word_above boolean, plain_above boolean, plain_out_of_form boolean, inside int, last int, place long, loose_place long, link {LINK}"
+ELEMENTS = f"number int, parent int, depth int, tag string, attributes map<string,string>, children int, contents int, siblings int, text string, string string, in_noscript boolean, hidden boolean, hidden_above boolean, word_above boolean, plain_above boolean, plain_out_of_form boolean, inside int, last int, rank int, open_above boolean, link {LINK}"
 
 
 class _Element:
-    __slots__ = ("parent", "tag", "attrs", "kids", "contents", "texts", "noscript", "inside", "plain", "unformed", "last", "depth", "hidden", "small", "word", "single", "rank")
+    __slots__ = ("parent", "tag", "attrs", "kids", "contents", "texts", "noscript", "inside", "plain", "unformed", "last", "depth", "hidden", "small", "word", "single", "rank", "open")
 
     def __init__(self, parent: int, tag: str, attrs: dict[str, str]):
         self.parent, self.tag, self.attrs = parent, tag, attrs
@@ -65,6 +63,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[_Element] = []
         self.open: list[int] = []
+        self.names: Counter[str] = Counter()  # of open elements
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         parent = self.open[-1] if self.open else -1
@@ -76,6 +75,7 @@ class _Page(HTMLParser):
         e.plain = up is not None and (up.plain or open_up and up.tag != "footer")
         e.unformed = up is not None and (up.unformed or open_up and up.tag not in ("footer", "form"))
         e.inside = up.inside | _context(up) if up else 0
+        e.open = up is not None and (up.open or BLOCKED not in up.attrs)
         number = len(self.rows)
         self.rows.append(e)
         e.last = number
@@ -87,6 +87,7 @@ class _Page(HTMLParser):
         e.plain = e.plain and clear if tag == "a" else e.plain
         if tag not in VOID:
             self.open.append(number)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -94,7 +95,7 @@ class _Page(HTMLParser):
             self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
+        for i in range(len(self.open) - 1, -1, -1) if self.names[tag] else ():
             if self.rows[self.open[i]].tag == tag:
                 self._close(i)
                 return
@@ -102,6 +103,7 @@ class _Page(HTMLParser):
     def _close(self, i: int) -> None:
         for number in self.open[i:]:
             self.rows[number].last = len(self.rows) - 1
+            self.names[self.rows[number].tag] -= 1
         del self.open[i:]
 
     def handle_data(self, data: str) -> None:
@@ -153,38 +155,6 @@ def _siblings(rows: list[_Element], e: _Element) -> int:
     return len(rows[e.parent].kids) - 1 if e.parent >= 0 and not e.noscript else 0
 
 
-def _step(e: _Element, loose: bool) -> str:
-    """An element's own part of its structure: tag and first attributes, those that change between loads by name alone."""
-    out = [e.tag]
-    for k, v in e.attrs.items():
-        if re.search(r"\d", k) or re.search("onclick|onload|onerror", k):
-            continue
-        if loose and k in LOOSE:
-            out.append(f"[{k}]")
-        elif not loose and v and "." not in k and "?" not in k:
-            out.append(f"[{k}={v}]")
-            if len(out) > STEP_ATTRIBUTES:
-                break
-    return "".join(out)
-
-
-def _place(rows: list[_Element], number: int, loose: bool) -> int | None:
-    """Hash of an element's structure: its own step, its position among siblings and the steps above; none on the body."""
-    e = rows[number]
-    if e.parent < 0 or e.noscript or "body" in _step(e, loose):
-        return None
-    kids = rows[e.parent].kids
-    at = e.rank
-    parts = [f"{_step(e, loose)}:{len(kids)}:{at}" if len(kids) > 1 else _step(e, loose)]
-    up = e.parent
-    for _ in range(STEPS):
-        parts.append(_step(rows[up], loose))
-        if rows[up].parent < 0 or rows[up].tag == "body":
-            break
-        up = rows[up].parent
-    return int.from_bytes(hashlib.blake2b(">".join(parts).encode(), digest_size=8).digest(), "big", signed=True)
-
-
 def _link(rows: list[_Element], e: _Element) -> dict | None:
     """The nearest ancestor with target or rel, and what features ask of it."""
     for a in _above(rows, e):
@@ -217,7 +187,7 @@ def _described(source: str | None) -> Iterator[tuple]:
         yield (
             n, e.parent, e.depth, e.tag, list(e.attrs.items()), len(e.kids), e.contents, _siblings(rows, e), "".join(e.texts), _string(rows, e), e.noscript,
             e.hidden, any(a.tag == "noscript" or a.hidden or a.small for a in above), any(a.word or a.tag == "noscript" for a in above), e.plain, e.unformed, e.inside, e.last,
-            _place(rows, n, False), _place(rows, n, True), _link(rows, e) if linked else None,
+            e.rank, e.open, _link(rows, e) if linked else None,
         )
 
 
@@ -235,8 +205,8 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
     The one step that needs a parser: each page is parsed once, in Arrow batches; all that follows is SQL. Beside its
     own tag, attributes and texts a row says what features ask of its surroundings: siblings; hidden, or with words to
     leave out, among the nearest ancestors; the kind of link it is inside of (inside, IN_*) and, for images in such a
-    link, the nearest ancestor with target or rel; the last number of its descendants, which follow it in order; and
-    hashes of its place in the page's structure (loose: without values that change between loads).
+    link, the nearest ancestor with target or rel; the last number of its descendants, which follow it in order; its
+    rank among its siblings, from 1; and whether some ancestor is not blocked.
     """
     kept = [c for c in pages.columns if c != html]
     fields = [f.split(" ", 1) for f in ELEMENTS.split(", ")]
@@ -476,36 +446,30 @@ def corresponding(control: DataFrame, variant: DataFrame, page: list[str], site:
     """(page, corresp_img_fp, corresp_iframe_fp, corresp_img_tp, corresp_iframe_tp): elements of the variant's page that
     stand where the control's page had frames, by the frames' party.
 
-    A frame's place is the structure of its parent. The variant's images and frames below elements of that place count,
-    if there are `most` or fewer, or fewer than twice the parent's children; if no place of a party has any, places
-    without values that change between loads are tried. Frames with a document of their own count as third party.
+    The variant's images and frames below elements that the selector of a frame's parent names count, if there are
+    `most` or fewer, or fewer than twice the parent's children; if no selector of a party has any, loose ones are
+    tried. Equal selectors are asked once, with the children of the first. Frames with a document of their own count as
+    third party, whatever their words. Places among siblings are counted in elements.
     control, variant: elements of pages, with page, site and site_word; both are read more than once, so a table pays.
     """
     clear = ~has(HIDDEN)
-    frames = control.where((_shown("iframe") & clear & (F.col("depth") > 0) & (has("src") | has("srcdoc"))) & ~F.col("in_noscript") & ~(has("src") & ignorable()))
+    frames = control.where(_shown("iframe") & clear & (F.col("depth") > 0) & (has("src") | has("srcdoc")) & ~F.col("in_noscript"))
     host = lambda u: urls.host(u)
     own = F.exists(value_urls(F.col("attributes"), F.col(site)), lambda u: F.contains(urls.registrable(host(u)), F.col(site_word)) | F.contains(urls.subdomain(host(u)), F.col(site_word)))
-    party = F.when(has("src") & own, "fp").otherwise("tp")
-    parents = control.select(*page, F.col("number").alias("parent"), "place", "loose_place", F.col("children").alias("held"))
-    places = frames.select(*page, "parent", party.alias("party")).join(parents, [*page, "parent"])
+    kind = lambda party, late: F.struct(party.alias("party"), F.lit(late).alias("late"))
+    kinds = F.array_compact(F.array(F.when(has("src") & ~ignorable(), kind(F.when(own, "fp").otherwise("tp"), 0)), F.when(has("srcdoc"), kind(F.lit("tp"), 1))))
+    parents = frames.select(*page, F.col("parent"), F.col("number").alias("frame"), F.explode(kinds).alias("k")).groupBy(*page, F.col("parent").alias("number"), "k.party").agg(F.min(F.struct("k.late", "frame")).alias("first"))
+    made = structure.selectors(control, parents, page)
+    asked = made.groupBy(*page, "party", "loose", "selector").agg(F.min_by(F.struct("path", "rank", "others", "held"), "first").alias("s")).select(*page, "party", "loose", "selector", "s.*")
     wanted = (_shown("img") | _shown("iframe")) & ~F.col("in_noscript") & ~ignorable() & ~too_small(pixels("width"), pixels("height"), F.lit(False))
-    found = variant.where(wanted).select(*page, "tag", F.col("number").alias("_n"))
-
-    def counted(place: str) -> DataFrame:
-        asked = places.where(F.col(place).isNotNull()).groupBy(*page, "party", place).agg(F.max("held").alias("held"))
-        spots = variant.where(F.col(place).isNotNull()).select(*page, place, "number", "last").join(asked, [*page, place])
-        under = spots.join(found, page).where((F.col("_n") > F.col("number")) & (F.col("_n") <= F.col("last")))
-        per_place = under.groupBy(*page, "party", place, "tag").agg(F.count_distinct("_n").alias("n"), F.max("held").alias("held"))
-        fits = (F.col("n") <= most) | ((F.col("held") >= 1) & (F.col("n") < 2 * F.col("held")))
-        sums = per_place.where(fits).groupBy(*page, "party")
-        return sums.agg(*(F.sum(F.when(F.col("tag") == t, F.col("n")).otherwise(0)).alias(t) for t in ("img", "iframe")))
-
-    strict, loose = counted("place"), counted("loose_place")
-    both = places.select(*page, "party").distinct().join(strict, [*page, "party"], "left").join(loose.withColumnsRenamed({"img": "_img", "iframe": "_iframe"}), [*page, "party"], "left")
-    some = (F.coalesce("img", F.lit(0)) + F.coalesce("iframe", F.lit(0))) > 0
-    final = both.select(*page, "party", *(F.coalesce(F.when(some, F.col(t)).otherwise(F.col(f"_{t}")), F.lit(0)).alias(t) for t in ("img", "iframe")))
-    out = [F.coalesce(F.max(F.when(F.col("party") == p, F.col(t))), F.lit(0)).alias(f"corresp_{t}_{p}") for p in ("fp", "tp") for t in ("img", "iframe")]
-    return final.groupBy(*page).agg(*out)
+    matched = structure.matching(variant, asked, page)
+    counts = structure.below(matched, variant.where(wanted), page, ["party", "loose", "selector", "held"])
+    fits = (F.col("n") <= most) | ((F.col("held") >= 1) & (F.col("n") < 2 * F.col("held")))
+    tags = {(t, f): F.coalesce(F.sum(F.when(fits & (F.col("tag") == t) & (F.col("loose") == f), F.col("n"))), F.lit(0)) for t in ("img", "iframe") for f in (False, True)}
+    sums = counts.groupBy(*page, "party").agg(*(x.alias(f"{t}_{int(f)}") for (t, f), x in tags.items()))
+    some = F.col("img_0") + F.col("iframe_0") > 0
+    out = [F.coalesce(F.max(F.when(F.col("party") == p, F.when(some, F.col(f"{t}_0")).otherwise(F.col(f"{t}_1")))), F.lit(0)).alias(f"corresp_{t}_{p}") for p in ("fp", "tp") for t in ("img", "iframe")]
+    return parents.select(*page, "party").distinct().join(sums, [*page, "party"], "left").groupBy(*page).agg(*out)
 
 
 def corresponding_features(found: DataFrame, trials: DataFrame, by: list[str], trial: str) -> DataFrame:

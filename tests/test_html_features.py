@@ -138,12 +138,3 @@ def test_streams(spark, tmp_path):
 
     assert ("x", 2) in run(streams.windowed_counts(source, "t", "1 minute", "1 minute", ["site"]), "w")
     assert {("x", 2), ("y", 1)} <= run(streams.sessions(source, "t", "5 minutes", "1 minute", ["site"]), "s")
-
-
-def test_places_do_not_hang_on_numbers_in_the_page(spark):
-    """200 siblings behind a longer or shorter head have the same places."""
-    body = "<body><div>" + "".join(f"<img src='/i{i}.png'>" for i in range(200)) + "</div></body>"
-    pages = spark.createDataFrame([(1, f"<html><head></head>{body}</html>", "s", "s"), (2, f"<html><head><meta><meta></head>{body}</html>", "s", "s")], "k int, html string, site_sld string, site_word string")
-    rows = html.elements(pages).where("tag = 'img'").select("k", "place").collect()
-    one, two = ([r.place for r in rows if r.k == k] for k in (1, 2))
-    assert len(set(one)) == 200 and sorted(one) == sorted(two)
