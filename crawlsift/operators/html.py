@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
 from crawlsift.operators import structure
+from crawlsift.sources.stored import stored
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Ancestors that count, smallest advertisement and largest hidden ancestor; fixed values.
@@ -460,7 +461,8 @@ def corresponding(control: DataFrame, variant: DataFrame, page: list[str], site:
     kinds = F.array_compact(F.array(F.when(has("src") & ~ignorable(), kind(F.when(own, "fp").otherwise("tp"), 0)), F.when(has("srcdoc"), kind(F.lit("tp"), 1))))
     parents = frames.select(*page, F.col("parent"), F.col("number").alias("frame"), F.explode(kinds).alias("k")).groupBy(*page, F.col("parent").alias("number"), "k.party").agg(F.min(F.struct("k.late", "frame")).alias("first"))
     made = structure.selectors(control, parents, page)
-    asked = made.groupBy(*page, "party", "loose", "selector").agg(F.min_by(F.struct("path", "rank", "others", "held"), "first").alias("s")).select(*page, "party", "loose", "selector", "s.*")
+    asked = made.groupBy(*page, "party", "loose", "selector").agg(F.min_by(F.struct("path", "rank", "others", "held"), "first").alias("s"))
+    asked = stored(asked.select(*page, "party", "loose", "selector", "s.*"), "selectors")
     wanted = (_shown("img") | _shown("iframe")) & ~F.col("in_noscript") & ~ignorable() & ~too_small(pixels("width"), pixels("height"), F.lit(False))
     matched = structure.matching(variant, asked, page)
     counts = structure.below(matched, variant.where(wanted), page, ["party", "loose", "selector", "held"])
