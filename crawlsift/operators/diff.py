@@ -64,13 +64,13 @@ def _grams(name: Column, size: int = 2) -> Column:
     return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda h: h == g)).cast("string")))
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, by: Sequence[str], name: str, least: float = 0.7) -> DataFrame:
-    """(by, left, right, similarity): for each distinct name of left the most similar one of right in the same block.
+def _alike(left: DataFrame, right: DataFrame, by: Sequence[str], name: str, least: float) -> DataFrame:
+    """(by, left, right, similarity): pairs of distinct names of the same block with a similarity of least or more.
 
     Names meet only where they share a pair of characters among the first of theirs, in one order for all names. An edit
     changes two of the n + 1 pairs of a name of n characters, and a name within reach has n / least characters at most:
     with k edits allowed, any 2k + 1 pairs hold a shared one. So no match is lost, and a domain of very many names is no
-    single group. Ties go to the smaller name. least is a half or more: names further apart need not share a pair.
+    single group. least is a half or more: names further apart need not share a pair.
     """
     if least < 0.5:
         raise ValueError("names this far apart need not share a pair of characters")
@@ -85,9 +85,64 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, by: Sequence[str], name: st
     same = [F.col(c) == F.col(f"_{c}") for c in by]
     near = F.least(F.length("left"), F.length("right")) >= F.greatest(F.length("left"), F.length("right")) * least - 1e-9
     pairs = keyed(a, "left").join(keyed(b, "right"), [*same, F.col("_k_left") == F.col("_k_right"), near])
-    alike = pairs.select(*by, "left", "right").distinct().withColumn("similarity", similarity(F.col("left"), F.col("right"))).where(F.col("similarity") >= least)
+    return pairs.select(*by, "left", "right").distinct().withColumn("similarity", similarity(F.col("left"), F.col("right"))).where(F.col("similarity") >= least)
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, by: Sequence[str], name: str, least: float = 0.7) -> DataFrame:
+    """(by, left, right, similarity): for each distinct name of left the most similar one of right in the same block.
+
+    Ties go to the smaller name. least is a half or more.
+    """
     best = F.min_by(F.struct("right", "similarity"), F.struct((-F.col("similarity")).alias("s"), "right"))
-    return alike.groupBy(*by, "left").agg(best.alias("_b")).select(*by, "left", "_b.right", "_b.similarity")
+    return _alike(left, right, by, name, least).groupBy(*by, "left").agg(best.alias("_b")).select(*by, "left", "_b.right", "_b.similarity")
+
+
+def _leaders(names: DataFrame, by: Sequence[str], least: float) -> DataFrame:
+    """(by, name): the names that no leader before them, in order of their digests, resembles.
+
+    Digests deal the names of a block to batches, each as large as all before it. A batch first drops what a leader
+    resembles; of the rest few resemble each other, since a crowd of like names has had a leader by then. Within a batch
+    those without a like name before them lead, what resembles them is dropped, and so on: few rounds, as the order is
+    that of a hash.
+    """
+    most = names.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    share = F.conv(F.substring(F.md5("name"), 1, 8), 16, 10).cast("long") + 1  # of 2^32
+    last = max(most - 1, 0).bit_length()
+    dealt = stored(names.withColumn("_batch", F.least(F.floor(32 - F.log2(share.cast("double"))), F.lit(last))), "names")
+    found = None
+    for batch in range(last, -1, -1):
+        open_ = dealt.where(F.col("_batch") == batch).drop("_batch")
+        if found is not None:
+            open_ = open_.join(_alike(open_, found, by, "name", least).select(*by, F.col("left").alias("name")), [*by, "name"], "left_anti")
+        open_ = stored(open_, "open")
+        pairs = stored(_alike(open_, open_, by, "name", least).where(F.md5("left") < F.md5("right")).select(*by, "left", "right"), "pairs")
+        new = []
+        while not pairs.isEmpty():
+            later = pairs.select(*by, F.col("right").alias("name")).distinct()
+            new.append(stored(open_.join(later, [*by, "name"], "left_anti"), "new"))
+            dropped = pairs.join(new[-1].withColumnRenamed("name", "left"), [*by, "left"], "left_semi").select(*by, F.col("right").alias("name")).distinct()
+            left = pairs.join(dropped.withColumnRenamed("name", "right"), [*by, "right"], "left_anti").join(dropped.withColumnRenamed("name", "left"), [*by, "left"], "left_anti")
+            open_ = stored(open_.join(new[-1], [*by, "name"], "left_anti").join(dropped, [*by, "name"], "left_anti"), "open")
+            pairs = stored(left.select(*by, "left", "right"), "pairs")
+        grown = reduce(DataFrame.unionByName, [*new, open_] if found is None else [found, *new, open_])
+        found = stored(grown, "leaders") if found is not None or new else open_
+    return found
+
+
+def leader_groups(rows: DataFrame, by: Sequence[str], name: str, arm: str = "arm", first: object = VARIANT, least: float = 0.7) -> DataFrame:
+    """(by, arm, name, leader, similarity): the groups of like names of each block.
+
+    Names of the first arm are taken in order of their MD5 digests: each joins the leader before it that is most like
+    it, with a similarity of least or more, or leads a group of its own. Names of other arms then join the most similar
+    leader, if there is one; others have no row. Ties go to the later leader. Null names have none. The order is fixed,
+    so groups do not hang on the order of rows, and no task holds a block.
+    """
+    names = rows.where(F.col(name).isNotNull()).select(*by, F.col(arm).alias("arm"), F.col(name).alias("name")).distinct()
+    leaders = _leaders(names.where(F.col("arm") == first).select(*by, "name"), by, least)
+    own = (F.col("arm") != first) | (F.md5("leader") <= F.md5("name"))
+    alike = _alike(names, leaders, by, "name", least).withColumnsRenamed({"left": "name", "right": "leader"})
+    best = F.max_by(F.struct("leader", "similarity"), F.struct("similarity", F.md5("leader").alias("o")))
+    return names.join(alike, [*by, "name"]).where(own).groupBy(*by, "arm", "name").agg(best.alias("_b")).select(*by, "arm", "name", "_b.leader", "_b.similarity")
 
 
 #: Runs of RUN characters, of which the least by hash of each WINDOW neighbours stands for them.
