@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crawlsift.functions import text as tx
 from crawlsift.functions import urls
 from crawlsift.operators import diff, features, html, patterns, requests, rules, series
-from crawlsift.plans import crawl, groups, more, slots
+from crawlsift.plans import crawl, groups, more, scalers, slots
 from crawlsift.sources import lists
 
 KEY, BINS, STEP = ["site", "arm", "trial"], 240, 3 * 3600 * 1000
@@ -549,6 +549,6 @@ ORACLES = {
         WHEN contains(r, '#?#') OR contains(r, '##') THEN 'element_hiding' ELSE 'request_blocking' END AS class,
         array_to_string(list_filter(list_transform(d, lambda x: regexp_replace(x, '^-', '')), lambda x: x <> ''), ' ') AS domains FROM d""",
 }
-QUERIES |= more.QUERIES | slots.QUERIES | groups.QUERIES
+QUERIES |= more.QUERIES | slots.QUERIES | groups.QUERIES | scalers.QUERIES
 QUERIES["site_rows"], ORACLES["site_rows"] = crawl.site_rows, crawl.SITE_ROWS_SQL
-ORACLES |= more.ORACLES | slots.ORACLES | groups.ORACLES
+ORACLES |= more.ORACLES | slots.ORACLES | groups.ORACLES | scalers.ORACLES
