@@ -11,7 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlsift.sources.stored import spread, stored
+
 SPIKE = 2
+#: Loads whose series one task takes.
+LOADS = 2000
 
 
 def bin_number(t: Column, start: Column, step: int, bins: int) -> Column:
@@ -24,13 +28,18 @@ def series_start(dom_first: Column, request_first: Column) -> Column:
     return F.floor(F.least(dom_first, F.when(request_first != 0, request_first)))
 
 
+def _found(events: DataFrame, by: Sequence[str], time: str, start: Column, step: int, bins: int, counts: dict[str, Column]) -> DataFrame:
+    """(by, _found): a series' bins that are not empty, as a map from bin to a struct of counts."""
+    found = events.withColumn("bin", bin_number(F.col(time), start, step, bins)).groupBy(*by, "bin").agg(*(F.sum(c.cast("long")).alias(n) for n, c in counts.items()))
+    return found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*counts)))).alias("_found"))
+
+
 def binned(events: DataFrame, by: Sequence[str], time: str, start: Column, step: int, bins: int, counts: dict[str, Column]) -> DataFrame:
     """(by, bin, counts...): conditions counted, or numbers added up, over the events of every bin, empty ones included.
 
     events are aggregated to (by, bin), then a series' bins to a map that the scaffold of all bins looks up.
     """
-    found = events.withColumn("bin", bin_number(F.col(time), start, step, bins)).groupBy(*by, "bin").agg(*(F.sum(c.cast("long")).alias(n) for n, c in counts.items()))
-    series = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct(*counts)))).alias("_found"))
+    series = _found(events, by, time, start, step, bins, counts)
     each = series.select(*by, "_found", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return each.select(*by, "bin", *(F.coalesce(F.get(F.transform(F.array(F.try_element_at("_found", F.col("bin"))), lambda x: x[n]), 0), F.lit(0).cast("long")).alias(n) for n in counts))
 
@@ -233,13 +242,8 @@ def event_counters() -> dict[str, Column]:
     return out | {"total_changes": out["nodes_added"] + out["nodes_removed"] + out["attribute_changed"] + out["text_changed"]}
 
 
-def capture_series(mutations: DataFrame, blocked_requests: DataFrame, by: Sequence[str], step: int = CAPTURE_STEP, bins: int = CAPTURE_BINS) -> DataFrame:
-    """(by, start, bin, COUNTERS...): the time series of page loads, a row a bin.
-
-    mutations: captures.mutation_events; blocked_requests: captures.blocked_requests; both with the columns in by. A
-    load starts at the earlier of both signals' first times, a request time of 0 not counting. Loads without
-    mutations have no series.
-    """
+def _capture_events(mutations: DataFrame, blocked_requests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, start, time, COUNTERS...): what each event of a load adds to its counters, of loads with mutations."""
     m = mutations.where(F.col("time").isNotNull()).select(*by, F.col("time").cast("double").alias("time"), F.lit(False).alias("request"), *(c.alias(n) for n, c in event_counters().items()))
     mine = {n: F.lit(int(n in ("blocked", "web_req_blocked"))) for n in COUNTERS}
     r = blocked_requests.where(F.col("requestTime").isNotNull()).select(*by, F.col("requestTime").alias("time"), F.lit(True).alias("request"), *(c.alias(n) for n, c in mine.items()))
@@ -247,7 +251,29 @@ def capture_series(mutations: DataFrame, blocked_requests: DataFrame, by: Sequen
     first = lambda request: F.min(F.when(F.col("request") == request, F.col("time")))
     starts = both.groupBy(*by).agg(first(False).alias("_dom"), first(True).alias("_request")).where(F.col("_dom").isNotNull())
     starts = starts.select(*by, series_start(F.col("_dom"), F.col("_request")).alias("start"))
-    return binned(both.join(starts, list(by)), [*by, "start"], "time", F.col("start"), step, bins, {n: F.col(n) for n in COUNTERS})
+    return both.join(starts, list(by))
+
+
+def capture_series(mutations: DataFrame, blocked_requests: DataFrame, by: Sequence[str], step: int = CAPTURE_STEP, bins: int = CAPTURE_BINS) -> DataFrame:
+    """(by, start, bin, COUNTERS...): the time series of page loads, a row a bin.
+
+    mutations: captures.mutation_events; blocked_requests: captures.blocked_requests; both with the columns in by. A
+    load starts at the earlier of both signals' first times, a request time of 0 not counting. Loads without
+    mutations have no series.
+    """
+    return binned(_capture_events(mutations, blocked_requests, by), [*by, "start"], "time", F.col("start"), step, bins, {n: F.col(n) for n in COUNTERS})
+
+
+def capture_features(mutations: DataFrame, blocked_requests: DataFrame, by: Sequence[str]) -> DataFrame:
+    """trial_features of capture_series. A load's bins stay in its one row and are never shuffled, grouped or sorted.
+
+    The bins that are not empty are stored, since few bytes stand for much work: tasks are dealt by loads, LOADS each.
+    """
+    found = stored(_found(_capture_events(mutations, blocked_requests, by), by, "time", F.col("start"), CAPTURE_STEP, CAPTURE_BINS, {n: F.col(n) for n in COUNTERS}), "bins")
+    none = F.lit(0).cast("long")
+    bin_of = lambda i, x: F.struct(i.alias("bin"), *(F.coalesce(x[n], none).alias(n) for n in COUNTERS))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(CAPTURE_BINS - 1)), lambda i: F.transform(F.array(F.try_element_at("_found", i)), lambda x: bin_of(i, x))[0])
+    return _load_features(spread(found, LOADS).select(*by, whole.alias("_series")), by)
 
 
 def series_rows(series: DataFrame, by: Sequence[str], step: int = CAPTURE_STEP) -> DataFrame:
@@ -261,6 +287,10 @@ def trial_features(series: DataFrame, by: Sequence[str]) -> DataFrame:
 
     series: by, bin and COUNTERS. Halves and fifths are of the bins that a series has; a short series has no fifths.
     """
+    return _load_features(packed(series, by, COUNTERS), by)
+
+
+def _load_features(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     s, n = F.col("_series"), F.size("_series")
     up = lambda v, least: F.filter(s, lambda x: x[v] >= least)
     values = lambda v, least: F.transform(up(v, least), lambda x: x[v])
@@ -289,7 +319,7 @@ def trial_features(series: DataFrame, by: Sequence[str]) -> DataFrame:
         out[f"ts_{v}_spikes"] = F.size(up(v, SPIKE))
         out[f"ts_{v}_max"] = F.coalesce(F.array_max(values(v, SPIKE)), F.lit(0))
         out[f"ts_{v}_min"] = F.coalesce(F.array_min(values(v, SPIKE)), F.lit(0))
-    return packed(series, by, COUNTERS).select(*by, *(c.cast("double").alias(k) for k, c in out.items()))
+    return rows.select(*by, *(c.cast("double").alias(k) for k, c in out.items()))
 
 
 def series_features(trials: DataFrame, by: Sequence[str], arm: str, control: object, variant: object, wanted: int) -> DataFrame:

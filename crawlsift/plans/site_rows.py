@@ -122,8 +122,8 @@ def mutation_rows(events: DataFrame) -> DataFrame:
 def series_of(mutations: DataFrame, events: DataFrame, trials: int) -> DataFrame:
     """(key, 97 series features) of sites with all trials of both arms."""
     load = ["key", "arm", "trial"]
-    rows = series.capture_series(mutations, captures.blocked_requests(events), load)
-    return series.series_features(series.trial_features(rows, load), ["key"], "arm", "control", "variant", trials)
+    rows = series.capture_features(mutations, captures.blocked_requests(events), load)
+    return series.series_features(rows, ["key"], "arm", "control", "variant", trials)
 
 
 def site_rows(request_events: DataFrame, mutation_events: DataFrame, pages: DataFrame, trials: int, truth: DataFrame | None = None, tracking: DataFrame | None = None, sizes: DataFrame | None = None, include_control: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -22,3 +22,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame, rows: int, *by: str) -> DataFrame:
+    """A stored table dealt to tasks of about so many rows (by columns, if there are any), and to each core at least: bytes
+    do not tell the work of rows that are small and take long, or that grow."""
+    n = max(-(-table.count() // rows), table.sparkSession.sparkContext.defaultParallelism)
+    return table.repartition(n, *by)
