@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crawlsift.functions.text import grams
 from crawlsift.operators.rules import TYPES, host_suffixes
-from crawlsift.sources.stored import stored
+from crawlsift.sources.stored import spread, stored
 
 #: Options that are understood besides types and domains; fixed values.
 OPTIONS = ("third-party", "~third-party", "match-case", "~match-case", "collapse", "~collapse")
@@ -24,8 +24,12 @@ _OPTIONS = r"\$(~?[\w-]+(?:=[^,\s]*)?(?:,~?[\w-]+(?:=[^,\s]*)?)*)$"
 #: An expression between slashes that is but text.
 _TEXT = r"^/(?:[\w%~-]|\\[./-])+/$"
 _GRAM = 3
+#: Characters of a token's part that a rule is looked up by.
+PART = 8
 #: Characters of an index that every executor may hold.
 SENT = 32 * 2**20
+#: URLs that one task cuts into pieces.
+URLS = 10_000
 _ASKED = ("exception", "types", "other_types", "third_party", "on", "off")
 
 
@@ -83,10 +87,15 @@ def _expression() -> Column:
     return F.concat(case, start, free, F.when(F.col("_end") == "|", r"\z").otherwise(""))
 
 
+def _marked(mark: str, names: Column) -> Column:
+    return F.transform(names, lambda n: F.concat(F.lit(mark), n))
+
+
 def _with_pieces(rows: DataFrame) -> DataFrame:
-    """Host, whole tokens (letters and digits between other characters), else runs of three characters of the longest text."""
+    """Host, whole tokens (letters and digits between other characters), ends of tokens that a pattern leaves open (PART
+    characters at most: a start, an end, or any place of a token); without all these, runs of three characters of the
+    longest text."""
     none = F.array().cast("array<string>")
-    marked = lambda mark, names: F.transform(names, lambda n: F.concat(F.lit(mark), n))
     core = _lower(F.col("_core"))
     runs = F.filter(F.split(core, r"[*^]+"), lambda r: r != "")
     rows = rows.withColumns(
@@ -96,43 +105,65 @@ def _with_pieces(rows: DataFrame) -> DataFrame:
         }
     )
     host = F.regexp_extract("_closed", r"^/([a-z0-9_-]+(?:\.[a-z0-9_-]+)*)[\^/:?|]", 1)
-    tokens = F.regexp_extract_all("_closed", F.lit("(?<=[^a-z0-9%*])([a-z0-9%]+)(?=[^a-z0-9%*])"), F.lit(1))
-    rows = rows.withColumn("_whole", F.array_distinct(F.concat(F.when((F.col("_start") == "||") & (host != ""), F.array(F.concat(F.lit("h"), host))).otherwise(none), marked("t", tokens))))
+    found = lambda before, after: F.regexp_extract_all("_closed", F.lit(f"{before}([a-z0-9%]+){after}"), F.lit(1))
+    left, right = "(?<=[^a-z0-9%*])", "(?=[^a-z0-9%*])"
+    # an open side is a star or the pattern's own end
+    open_left, open_right = r"(?<![^*])", r"(?![^*])"
+    starts = F.transform(found(left, open_right), lambda n: F.left(n, F.lit(PART)))
+    ends = F.transform(found(open_left, right), lambda n: F.right(n, F.lit(PART)))
+    inner = F.flatten(F.transform(found(open_left, open_right), lambda n: F.when(F.length(n) <= PART, F.array(n)).otherwise(grams(n, PART))))
+    whole = F.concat(F.when((F.col("_start") == "||") & (host != ""), F.array(F.concat(F.lit("h"), host))).otherwise(none), _marked("t", found(left, right)))
+    rows = rows.withColumn("_whole", F.array_distinct(F.concat(whole, _marked("p", starts), _marked("s", ends), _marked("i", inner))))
     some = F.when(F.length("_longest") < _GRAM, F.array("_longest")).otherwise(grams(F.col("_longest"), _GRAM))
-    return rows.withColumn("pieces", F.when(F.size("_whole") > 0, F.col("_whole")).when(F.col("_longest").isNull(), none).otherwise(F.array_distinct(marked("g", some))))
+    return rows.withColumn("pieces", F.when(F.size("_whole") > 0, F.col("_whole")).when(F.col("_longest").isNull(), none).otherwise(F.array_distinct(_marked("g", some))))
 
 
-def _pieces_of_url(url: Column, runs: bool) -> Column:
+def _pieces_of_url(url: Column, kinds: list[tuple[str, int]]) -> Column:
+    """The pieces that patterns may ask of a URL; of those of a fixed length only the kinds (mark, length) that some does."""
     low = _lower(url)
-    tokens = F.transform(F.regexp_extract_all(low, F.lit("([a-z0-9%]+)"), F.lit(1)), lambda t: F.concat(F.lit("t"), t))
     host = F.regexp_extract(low, rf"^[a-z][a-z0-9+.-]*:/+([{_INNER}]*)", 1)
-    parts = [tokens, F.transform(host_suffixes(host), lambda h: F.concat(F.lit("h"), h))]
-    if runs:
-        parts += [F.transform(grams(low, n), lambda g: F.concat(F.lit("g"), g)) for n in range(1, _GRAM + 1)]
+    parts = [_marked("t", F.regexp_extract_all(low, F.lit("([a-z0-9%]+)"), F.lit(1))), _marked("h", host_suffixes(host))]
+    inside = "[a-z0-9%]"
+    forms = {"p": rf"(?<!{inside})({inside}{{n}})", "s": rf"({inside}{{n}})(?!{inside})", "i": rf"(?=({inside}{{n}}))"}
+    for mark, n in kinds:
+        some = grams(low, n) if mark == "g" else F.regexp_extract_all(low, F.lit(forms[mark].replace("{n}", f"{{{n}}}")), F.lit(1))
+        parts.append(_marked(mark, some))
     return F.array_distinct(F.concat(*parts))
 
 
 def matching(seen: DataFrame, patterns: DataFrame, url: str = "url") -> DataFrame:
     """(url, rule): each distinct URL with each rule whose pattern it matches; rules without pieces are left out.
 
-    A rule is looked up by that of its pieces which the fewest URLs have (ties: the longest, then by name); a rule with a
-    piece that no URL has is done. The index is stored and its characters are summed: up to SENT it is broadcast, beyond
-    that both sides are shuffled by piece, where a frequent piece is a skewed join that AQE splits. Null URLs match nothing.
+    Pieces are whole tokens and open parts of tokens, so that a number that a rule names is one, whatever stands around it,
+    and few URLs meet a rule that they do not match. A rule is looked up by that of its pieces which the fewest URLs have
+    (ties: the longest, then by name); a rule with a piece that no URL has is done. The index is stored and its characters
+    are summed: up to SENT it is broadcast, beyond that both sides are shuffled by piece, where a frequent piece is a skewed
+    join that AQE splits. Null URLs match nothing.
     """
     seen = stored(seen.where(F.col(url).isNotNull()).select(F.col(url).alias("_url")).distinct(), "urls")
     asked = stored(patterns.select("rule", F.explode("pieces").alias("piece")), "pieces")
-    runs = not asked.where(F.col("piece").startswith("g")).isEmpty()
+    kind = asked.select(F.substring("piece", 1, 1).alias("mark"), (F.length("piece") - 1).alias("n"))
+    kinds = sorted((r.mark, r.n) for r in kind.where(~F.col("mark").isin("h", "t")).distinct().collect())  # 3 * PART + _GRAM at most
     # outer: else a filter on the arrays' sizes works them out once more; joins drop nulls
-    at = seen.select("_url", F.explode_outer(_pieces_of_url(F.col("_url"), runs)).alias("piece"))
-    counts = at.join(asked.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
+    at = spread(seen, URLS).select("_url", F.explode_outer(_pieces_of_url(F.col("_url"), kinds)).alias("piece"))
+    counts = at.join(_sent(asked.select("piece").distinct(), "piece"), "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("piece")).alias("l"), "piece"))
     chosen = asked.join(counts, "piece", "left").groupBy("rule").agg(rarest.alias("_k")).where("_k.n > 0").select("rule", "_k.piece")
     index = stored(patterns.select("rule", "pattern").join(chosen.withColumnRenamed("piece", "_piece"), "rule"), "index")
     size = index.agg(F.sum(F.length("rule") + F.length("pattern") + F.length("_piece"))).first()[0] or 0
-    at, index = (at, F.broadcast(index)) if size <= SENT else (at.hint("merge"), index)
+    if size <= SENT:
+        index = F.broadcast(index)
+    else:  # most pieces of URLs are no rule's: those go before the shuffle where the pieces asked can be sent
+        at = at.join(_sent(index.select(F.col("_piece").alias("piece")).distinct(), "piece"), "piece", "left_semi").hint("merge")
     return at.join(index, [F.col("piece") == F.col("_piece"), F.rlike("_url", "pattern")]).select(F.col("_url").alias(url), "rule")
 
 
+def _sent(names: DataFrame, column: str) -> DataFrame:
+    """Names to broadcast if they have SENT characters at most."""
+    size = names.agg(F.sum(F.length(column))).first()[0] or 0
+    return F.broadcast(names) if size <= SENT else names
+
+
 def judged(requests: DataFrame, patterns: DataFrame, url: str = "url", site: str = "site_host", resource_type: str = "resource_type", third_party: str = "third_party_request") -> DataFrame:
     """The requests that some rule applies to, with all their columns and blocked: no exception applies.
 
@@ -145,7 +176,7 @@ def judged(requests: DataFrame, patterns: DataFrame, url: str = "url", site: str
         kind = F.when(kind == known, name).otherwise(kind)
     of = {"_u": F.col(url), "_s": F.lower(F.coalesce(F.col(site), F.lit(""))), "_t": F.when(kind.isin(*TYPES), kind), "_p": F.col(third_party)}
     asked = requests.where(F.col(url).isNotNull()).withColumns(of)
-    contexts = stored(asked.select(*of).distinct(), "contexts").withColumn("_sites", host_suffixes(F.col("_s")))
+    contexts = spread(stored(asked.select(*of).distinct(), "contexts"), URLS).withColumn("_sites", host_suffixes(F.col("_s")))
     patterns = stored(patterns, "patterns")
     known = patterns.select("rule", *(F.col(c).alias(f"_{c}") for c in _ASKED), F.size("pieces").alias("_pieces"), F.col("pattern").alias("_pattern"))
 

@@ -114,3 +114,26 @@ def test_rules_left_out_and_empty_tables(spark):
     clash = row.withColumns({"rule": F.lit(1), "blocked": F.lit("x"), "pattern": F.lit("("), "piece": F.lit(2)})
     out = patterns.judged(clash, known)
     assert out.columns == [c for c in clash.columns if c != "blocked"] + ["blocked"] and [r.blocked for r in out.collect()] == [True, True]
+
+
+def test_rules_meet_few_urls_that_they_do_not_match(spark):
+    """Rules that share all their whole tokens with many URLs are told apart by the numbers that they leave open."""
+    urls = [f"http://www.a.com/en/{n}?page=2" for n in range(1000, 1400)]
+    text = [f for n in range(1000, 1400) for f in (f"||a.com^*{n}", f"{n}?page=", f"|http:*/en/{n}", f"/en/{n}*page", f"/{n}/", f"-a.*{n}")]
+    known, _ = patterns.compiled(spark.createDataFrame([(r,) for r in text], "rule string"))
+    kinds = [("i", 4), ("p", 4), ("s", 4)]
+    at = spark.createDataFrame([(u,) for u in urls], "url string").select("url", F.explode(patterns._pieces_of_url(F.col("url"), kinds)).alias("piece"))
+    counts = at.groupBy("piece").count()
+    rarest = known.select("rule", F.explode("pieces").alias("piece")).join(counts, "piece").groupBy("rule").agg(F.min("count").alias("n"))
+    assert rarest.agg(F.max("n")).first()[0] == 1
+    got = patterns.matching(spark.createDataFrame([(u,) for u in urls], "url string"), known)
+    assert got.count() == 5 * 400
+
+
+def test_long_parts_of_tokens(spark):
+    long = "abcdefghij0123456789" * 3
+    urls = [f"http://x.com/q-{long}-1", f"http://x.com/q-{long[1:]}", f"http://x.com/{long}z", "http://x.com/abcdefgh"]
+    rules = [f"{long}-", f"-{long}*1", long[5:40], f"{long[2:]}|", f"*{long}z*", "abcdefgh*"]
+    known, _ = patterns.compiled(spark.createDataFrame([(r,) for r in rules], "rule string"))
+    got = {(r.url, r.rule) for r in patterns.matching(spark.createDataFrame([(u,) for u in urls], "url string"), known).collect()}
+    assert got == {(u, r) for u in urls for r in rules if brute(r, u)} and len(got) > 8
