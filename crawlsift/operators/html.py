@@ -34,24 +34,36 @@ ELEMENTS = f"number int, parent int, depth int, tag string, attributes map<strin
 
 
 class _Element:
-    __slots__ = ("parent", "tag", "attrs", "kids", "contents", "texts", "noscript", "inside", "plain", "unformed", "last", "depth", "hidden", "small", "word", "single", "rank", "open")
+    __slots__ = ("parent", "tag", "attrs", "kids", "contents", "texts", "noscript", "inside", "plain", "unformed", "last", "depth", "hidden", "single", "rank", "open", "_small", "_word")
 
     def __init__(self, parent: int, tag: str, attrs: dict[str, str]):
         self.parent, self.tag, self.attrs = parent, tag, attrs
         self.kids, self.contents, self.texts, self.single = [], 0, [], None
         self.rank = 0  # among its parent's kids, from 1
-        style = attrs.get("style", "")
-        self.hidden = bool(_HIDDEN.search(style))
-        self.small = any(n is not None and n <= HIDDEN_SIZE for n in (_size(attrs, style, "height"), _size(attrs, style, "width")))
-        values = [v.lower() for v in attrs.values()]
-        self.word = any(w in v for v in values for w in IGNORE_WORDS) or any("google" in v and "play" in v for v in values)
+        self.hidden = bool(attrs) and bool(_HIDDEN.search(attrs.get("style", "")))
+        self._small = self._word = None
+
+    # what only the ancestors of some elements are asked is worked out then, once
+    @property
+    def small(self) -> bool:
+        if self._small is None:
+            style = self.attrs.get("style", "")
+            self._small = bool(self.attrs) and any(n is not None and n <= HIDDEN_SIZE for n in (_size(self.attrs, style, "height"), _size(self.attrs, style, "width")))
+        return self._small
+
+    @property
+    def word(self) -> bool:
+        if self._word is None:
+            values = "\0".join(self.attrs.values()).lower()
+            self._word = any(w in values for w in IGNORE_WORDS) or "google" in values and any("google" in v and "play" in v for v in values.split("\0"))
+        return self._word
 
 
 def _size(attrs: dict[str, str], style: str, name: str) -> int | None:
     """Whole pixels of an element by its style, its attribute, or as the browser measured it."""
-    named = re.findall(rf"(?:^|;)\s*{name}\s*:\s*(-?\d+)(?:px)?\s*(?:!important)?\s*(?=;|$)", style, re.I)
+    named = re.findall(rf"(?:^|;)\s*{name}\s*:\s*(-?\d+)(?:px)?\s*(?:!important)?\s*(?=;|$)", style, re.I) if style else ()
     for value in (*named[-1:], attrs.get(name), attrs.get(f"anticv-offset{name}")):
-        found = re.fullmatch(r"\s*(-?\d{1,9})(?:px)?\s*", value or "")
+        found = value and re.fullmatch(r"\s*(-?\d{1,9})(?:px)?\s*", value)
         if found:
             return int(found[1])
     return None
@@ -177,12 +189,21 @@ def _link(rows: list[_Element], e: _Element) -> dict | None:
     return None
 
 
-def _described(source: str | None) -> Iterator[tuple]:
+def _eligible(e: _Element) -> bool:
+    """All that selected takes is, by what the element itself says."""
+    if e.noscript or e.hidden:
+        return False
+    return "src" in e.attrs and (e.inside > 0 or e.tag == "iframe") or e.tag == "a" and not e.kids and "href" in e.attrs or e.tag == "span" and e.inside & IN_TARGET > 0
+
+
+def _described(source: str | None, eligible: bool = False) -> Iterator[tuple]:
     page = _Page()
     page.feed(source or "")
     page.finish()
     rows = page.rows
     for n, e in enumerate(rows):
+        if eligible and not _eligible(e):
+            continue
         above = _above(rows, e)
         linked = e.inside & (IN_REL | IN_ONLY_REL | IN_NO_REL) and "src" in e.attrs
         yield (
@@ -200,7 +221,7 @@ def _arrow(kind: str) -> pa.DataType:
     return pa.struct([(n, known[t]) for n, t in fields])
 
 
-def elements(pages: DataFrame, html: str = "html") -> DataFrame:
+def elements(pages: DataFrame, html: str = "html", eligible: bool = False) -> DataFrame:
     """A row an element of each page, with the other columns of pages. Null html has no elements.
 
     The one step that needs a parser: each page is parsed once, in Arrow batches; all that follows is SQL. Beside its
@@ -208,6 +229,8 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
     leave out, among the nearest ancestors; the kind of link it is inside of (inside, IN_*) and, for images in such a
     link, the nearest ancestor with target or rel; the last number of its descendants, which follow it in order; its
     rank among its siblings, from 1; and whether some ancestor is not blocked.
+
+    eligible: only elements that selected may take leave the parser, for features that read no others.
     """
     kept = [c for c in pages.columns if c != html]
     fields = [f.split(" ", 1) for f in ELEMENTS.split(", ")]
@@ -217,7 +240,7 @@ def elements(pages: DataFrame, html: str = "html") -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, source in enumerate(batch.column(batch.num_columns - 1)):
-                rows = list(_described(source.as_py()))
+                rows = list(_described(source.as_py(), eligible))
                 columns = [c.take(pa.array([i] * len(rows), pa.int64())) for c in batch.columns[:-1]]
                 columns += [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays(columns, [*kept, *(n for n, _ in fields)])

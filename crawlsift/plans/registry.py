@@ -151,7 +151,7 @@ def _framed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _framed(spark, sf_dir).withColumns({"site_sld": urls.registrable(F.col("host")), "site_word": urls.domain_word(F.col("host")), "trial": F.lit(0)})
-    found = html.elements(pages.select("page_id", "trial", "site_sld", "site_word", "html"))
+    found = html.elements(pages.select("page_id", "trial", "site_sld", "site_word", "html"), eligible=True)
     measured = html.element_measures(html.qualified(html.selected(found), ["page_id", "trial"], "site_sld", "site_word"))
     return html.page_features(measured, pages, ["page_id"], "trial")
 
